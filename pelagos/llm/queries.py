@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagos.llm import common, mixing, packing, simhash
+from pelagos.llm import common, mixing, packing, simhash, suffixes
 
 MIX = {"weights": (5, 2, 1), "share": 1.5, "ceiling": 2.0, "seed": 20240229}
 CAPACITY = 2048
@@ -29,6 +29,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of what is left of every document; see ``suffixes.remove_repeats``."""
+    left = suffixes.remove_repeats(common.table(spark, sf_dir, "documents"), 100)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document; see ``mixing.mix``."""
     mixed = mixing.mix(common.table(spark, sf_dir, "documents"), **MIX)
@@ -38,6 +44,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 
