@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagos.llm import common, mixing, packing, simhash, suffixes
+from pelagos.llm import common, fingerprint, mixing, packing, simhash, suffixes
 
 MIX = {"weights": (5, 2, 1), "share": 1.5, "ceiling": 2.0, "seed": 20240229}
 CAPACITY = 2048
@@ -35,6 +35,23 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and likenesses of every document, and for those whose id is divisible by 100 how many rows lie
+    within three bits of theirs; see ``fingerprint.against_edits`` and ``fingerprint.near_counts``."""
+    rows = common.materialize(fingerprint.against_edits(common.table(spark, sf_dir, "documents")), "edits")
+    counts = fingerprint.near_counts(rows.select("doc_id", "fp"), 3, 100)
+    return rows.join(counts, "fp", "left").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        simhash.as_hex(F.col("fp")).alias("fingerprint"),
+        simhash.as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        F.when(F.col("doc_id") % 100 == 0, F.col("n_near")).alias("n_near"),
+    )
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document; see ``mixing.mix``."""
     mixed = mixing.mix(common.table(spark, sf_dir, "documents"), **MIX)
@@ -45,6 +62,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op8_document_fingerprints": op8_document_fingerprints,
     "op10_source_mixing": op10_source_mixing,
 }
 
