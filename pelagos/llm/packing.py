@@ -9,6 +9,7 @@ each length and look their places up in the plan.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,28 +22,37 @@ from pyspark.sql.window import Window
 
 from pelagos.llm import common
 
-#: Tokenizer results kept per Python worker, in white-space separated chunks.
-CACHE = 200_000
-#: Longest chunk that is kept.
+#: Tokenizer results kept per Python worker, about 200 bytes each.
+CACHE = 1_000_000
+#: Longest chunk that is kept, in bytes.
 KEPT = 64
+#: Marks that end a word; the tokenizer never joins them to the letter or digit before.
+ENDING = re.compile(rb"(?<=[a-z0-9])([.,;:!?]+)(?=\s|$)")
 
 
 class ChunkIds(dict):
-    """Token ids (little-endian 32-bit bytes) of white-space separated chunks, computed once each."""
+    """Token ids (little-endian 32-bit bytes) of chunks of text, computed once each."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = np.array(self.tokenizer.encode(chunk.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= KEPT:
             if len(self) >= CACHE:
                 self.clear()
             self[chunk] = ids
         return ids
 
+    def of(self, text: str) -> bytes:
+        """Ids of a whole text. The tokenizer lowers case, drops white space and never joins across it, so chunks
+        are looked up with A-Z lowered and end marks apart; a text that may hold special tokens keeps its case."""
+        data = text.encode("utf-8", "surrogatepass")
+        chunks = data.split() if b"<|" in data else ENDING.sub(rb" \1", data.lower()).split()
+        return b"".join(map(self.__getitem__, chunks))
+
 
 @lru_cache(maxsize=2)
 def _chunk_ids(path: str) -> ChunkIds:
@@ -62,7 +72,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = b"".join(map(known.__getitem__, (text.as_py() or "").split())) + bytes(4)
+                ids = known.of(text.as_py() or "") + bytes(4)
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))

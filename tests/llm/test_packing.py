@@ -48,3 +48,12 @@ def test_awkward_rows(awkward, nothing):
     rows = packing.pack(awkward, queries.tokenizer_path(), 64).collect()
     check(awkward, rows, 64)
     assert packing.pack(nothing, queries.tokenizer_path(), 64).count() == 0
+
+
+def test_chunks_give_the_tokenizer_s_own_ids():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    known = packing.ChunkIds(queries.tokenizer_path())
+    for text in ("Don't stop, it's 3.14!? OK... a,b ,c", "ÀÉÎ naïve É é İstanbul ΣΑΣ, ſ K.", "<|ENDOFTEXT|> <|endoftext|>x, y.", "tab\tnew\nline\x0b\x0c\x1c  x.", "'S 'll. a's, x'", "ab.!? cd!x e,."):
+        assert known.of(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
