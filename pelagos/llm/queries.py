@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagos.llm import common, fingerprint, mixing, packing, simhash, suffixes
+from pelagos.llm import common, fingerprint, lines, mixing, packing, rules, simhash, suffixes
 
 MIX = {"weights": (5, 2, 1), "share": 1.5, "ceiling": 2.0, "seed": 20240229}
 CAPACITY = 2048
+LINES = {"min_docs": 5, "depth": 3, "similarity": 0.75}
 
 
 def tokenizer_path() -> str:
@@ -18,6 +19,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs; see ``lines.dedup_lines``."""
+    return lines.dedup_lines(common.table(spark, sf_dir, "documents"), **LINES)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; see ``simhash.near_duplicates``."""
     found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
@@ -52,6 +58,13 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict for every document; see ``rules.judge``."""
+    return rules.judge(common.table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document; see ``mixing.mix``."""
     mixed = mixing.mix(common.table(spark, sf_dir, "documents"), **MIX)
@@ -59,14 +72,39 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op8_document_fingerprints": op8_document_fingerprints,
+    "op9_quality_rules": op9_quality_rules,
     "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLES = {
+    "op1_line_dedup": """
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents
+), line AS (
+  SELECT doc_id, n AS line_no, list_filter(regexp_split_to_array(regexp_replace(all_lines[n + 1], '[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*', '<*>', 'g'), '[\\x20\\x09-\\x0D]+'), lambda t: t <> '') AS tokens
+  FROM (SELECT doc_id, all_lines, unnest(range(len(all_lines))) AS n FROM split)
+), masked AS (
+  SELECT doc_id, line_no, tokens, len(tokens)::VARCHAR || ' ' || array_to_string(tokens[1:3], ' ') AS leaf, array_to_string(tokens, ' ') AS h FROM line WHERE len(tokens) > 0
+), pairs AS (SELECT DISTINCT doc_id, leaf, h FROM masked),
+busy AS (SELECT leaf FROM pairs GROUP BY leaf HAVING count(*) >= 5),
+known AS (SELECT leaf, h, count(*) AS docs, string_split(h, ' ') AS tokens FROM pairs WHERE leaf IN (SELECT leaf FROM busy) GROUP BY leaf, h),
+cells AS (SELECT leaf, h, docs, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM known),
+constant AS (SELECT leaf, pos, token FROM cells WHERE token <> '<*>' GROUP BY leaf, pos, token HAVING sum(docs) >= 5),
+seen AS (SELECT c.leaf, c.h, c.pos, CASE WHEN k.token IS NULL THEN '<*>' ELSE c.token END AS token, CASE WHEN c.token <> '<*>' THEN (k.token IS NOT NULL)::INT END AS fixed FROM cells c LEFT JOIN constant k ON c.leaf = k.leaf AND c.pos = k.pos AND c.token = k.token),
+built AS (SELECT leaf, h, string_agg(token, ' ' ORDER BY pos) AS template, avg(fixed) AS share FROM seen GROUP BY leaf, h),
+instances AS (SELECT m.doc_id, m.line_no, b.leaf || chr(1) || b.template AS template FROM masked m JOIN built b ON m.h = b.h AND m.leaf = b.leaf WHERE b.share >= 0.75),
+counted AS (SELECT template, min(doc_id) AS first_doc FROM instances GROUP BY template HAVING count(DISTINCT doc_id) >= 5),
+dropped AS (SELECT DISTINCT i.doc_id, i.line_no FROM instances i JOIN counted c ON i.template = c.template WHERE i.doc_id <> c.first_doc),
+lost AS (SELECT doc_id, list(line_no) AS gone FROM dropped GROUP BY doc_id)
+SELECT s.doc_id, len(all_lines)::INT AS n_lines, coalesce(len(gone), 0)::INT AS n_dropped,
+       coalesce(array_to_string(list_filter(all_lines, lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), chr(10)), '') AS text
+FROM split s LEFT JOIN lost l ON s.doc_id = l.doc_id
+""",
     "op10_source_mixing": """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
