@@ -93,17 +93,20 @@ def against_edits(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     ranges = n * per_partition
     cuts = base.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
     cuts = sorted(set(cuts))
-    bucket = F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
+    bucket = F.coalesce(F.array_size(F.filter(F.lit(cuts), lambda x: x <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
     dealt = base.withColumn("bucket", bucket.cast("int"))
     firsts = sorted(
         (r["bucket"], r["nulls"], r["low"])
         for r in dealt.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("nulls")).collect()
     )
+    low, before = [0] * (len(cuts) + 1), [0] * (len(cuts) + 1)
+    for i, (own, _, first) in enumerate(firsts):
+        low[own], before[own] = first or 0, firsts[i - 1][0]
+    nulls_first = bool(firsts and firsts[0][1])
+    is_null = F.col("doc_id").isNull()
+    is_first = (F.col("doc_id") == F.get(F.lit(low), F.col("bucket"))) & ~(F.lit(nulls_first) & (F.col("bucket") == 0)) | (is_null & F.lit(nulls_first))
+    also = F.when(F.coalesce(is_first, is_null), F.struct(F.get(F.lit(before), F.col("bucket")).alias("bucket"), F.lit(False).alias("own")))
     place = F.struct(F.col("bucket"), F.lit(True).alias("own"))
-    also = F.lit(None).cast("struct<bucket:int,own:boolean>")
-    for (before, _, _), (own, nulls, low) in zip([firsts[-1], *firsts[:-1]] if firsts else [], firsts, strict=True):
-        is_first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(low)
-        also = F.when((F.col("bucket") == own) & is_first, F.struct(F.lit(before).cast("int").alias("bucket"), F.lit(False).alias("own"))).otherwise(also)
     sent = dealt.select("doc_id", "text", F.explode(F.array_compact(F.array(place, also))).alias("at")).select("at.bucket", "at.own", "doc_id", "text")
     sorted_rows = common.tuned(sent, ["bucket"]).sortWithinPartitions("bucket", F.desc("own"), F.col("doc_id").asc_nulls_first(), "text")
     return sorted_rows.mapInArrow(
