@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagos.llm import common, fingerprint, lines, mixing, packing, rules, simhash, suffixes
+from pelagos.llm import common, fingerprint, language, lines, mixing, packing, quality, rules, simhash, suffixes
 
 MIX = {"weights": (5, 2, 1), "share": 1.5, "ceiling": 2.0, "seed": 20240229}
 CAPACITY = 2048
+LANGUAGE_SAMPLE = 4000
+QUALITY = {"positives": 8000, "unlabelled": 8000}
 LINES = {"min_docs": 5, "depth": 3, "similarity": 0.75}
 
 
@@ -24,6 +26,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(common.table(spark, sf_dir, "documents"), **LINES)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; see ``quality.fit`` and ``quality.score``."""
+    docs = common.table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, common.table(spark, sf_dir, "labels"), **QUALITY))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; see ``simhash.near_duplicates``."""
     found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
@@ -41,6 +49,13 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page, text likelihoods learnt from labelled documents; see ``language.identify``."""
+    model = language.fit(common.table(spark, sf_dir, "documents"), LANGUAGE_SAMPLE)
+    found = language.identify(language.page_evidence(common.table(spark, sf_dir, "pages")), model, markup=True)
+    return found.withColumnRenamed("id", "page_id")
+
+
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and likenesses of every document, and for those whose id is divisible by 100 how many rows lie
     within three bits of theirs; see ``fingerprint.against_edits`` and ``fingerprint.near_counts``."""
@@ -73,9 +88,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_language_id": op7_language_id,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mixing": op10_source_mixing,
