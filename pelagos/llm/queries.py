@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagos.llm import common, fingerprint, language, lines, mixing, packing, quality, rules, simhash, suffixes
+from pelagos.llm import common, fingerprint, language, lines, mixing, packing, pseudo, quality, rules, simhash, suffixes
 
 MIX = {"weights": (5, 2, 1), "share": 1.5, "ceiling": 2.0, "seed": 20240229}
 CAPACITY = 2048
+#: Words of a shingle and bits between linked fingerprints, as the near-duplicate query's contract sets them.
+SHINGLE, RADIUS = 3, 3
 LANGUAGE_SAMPLE = 4000
 QUALITY = {"positives": 8000, "unlabelled": 8000}
 LINES = {"min_docs": 5, "depth": 3, "similarity": 0.75}
@@ -34,7 +36,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; see ``simhash.near_duplicates``."""
-    found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"), SHINGLE, RADIUS)
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -43,6 +45,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of every document under a network trained on all of them; see ``pseudo.fit``."""
+    docs = common.table(spark, sf_dir, "documents")
+    return pseudo.score(docs, pseudo.fit(docs))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of what is left of every document; see ``suffixes.remove_repeats``."""
     left = suffixes.remove_repeats(common.table(spark, sf_dir, "documents"), 100)
@@ -91,6 +99,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_language_id": op7_language_id,
     "op8_document_fingerprints": op8_document_fingerprints,
