@@ -67,15 +67,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _digest(doc_id, text: str, fp: int, following: str, next_fp: int) -> tuple:
     changed = edited(text, following)
     other = fingerprint(changed)
     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-    return doc_id, len(text), digest, _signed(fp), _signed(other), likeness(fp, other), likeness(fp, next_fp)
+    return doc_id, len(text), digest, simhash._signed(fp), simhash._signed(other), likeness(fp, other), likeness(fp, next_fp)
 
 
 def against_edits(docs: DataFrame, per_partition: int = 4) -> DataFrame:
@@ -121,7 +117,7 @@ def search(queries: DataFrame, points: DataFrame, radius: int = 3) -> DataFrame:
     at least one choice of blocks, so each table joins on the bits of its choice; a pair is kept in the first table
     it meets in only, so none comes twice. More, narrower blocks are taken as the points grow.
     """
-    masks = [_signed(m) for m in simhash.block_masks(radius, simhash.blocks_for(points.count(), radius))]
+    masks = [simhash._signed(m) for m in simhash.block_masks(radius, simhash.blocks_for(points.count(), radius))]
     keys = lambda x: F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col(x).bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
     left = queries.select("q", keys("q").alias("k")).select("q", "k.t", "k.key")
     right = points.select("fp", keys("fp").alias("k")).select("fp", "k.t", "k.key")

@@ -11,6 +11,8 @@ MIX = {"weights": (5, 2, 1), "share": 1.5, "ceiling": 2.0, "seed": 20240229}
 CAPACITY = 2048
 #: Words of a shingle and bits between linked fingerprints, as the near-duplicate query's contract sets them.
 SHINGLE, RADIUS = 3, 3
+#: The pipeline's near duplicates: five-word shingles, similarity 0.8 or more.
+NEAR = {"width": 5, "similarity": 0.8}
 LANGUAGE_SAMPLE = 4000
 QUALITY = {"positives": 8000, "unlabelled": 8000}
 LINES = {"min_docs": 5, "depth": 3, "similarity": 0.75}

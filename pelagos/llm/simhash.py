@@ -1,23 +1,30 @@
 """SimHash near-duplicates: majority fingerprints of word shingles, compared exactly in tiles.
 
-The comparison is exact: fingerprints at ``radius`` or fewer differing bits must agree on at least one
-choice of ``n_blocks - radius`` of their blocks, so rows meet in buckets keyed by those bits, and inside
-a bucket tiles are compared with numpy exclusive-or and bit counts; pairs of tiles whose population counts
-differ by more than the radius are skipped. Buckets beyond ``TILE`` rows are dealt to many tasks as pairs
-of tiles, so no bucket is ever gathered in one place. Equal fingerprints are one row here however many
-documents share them.
+Fingerprints meet in buckets keyed by some of their bits, and inside a bucket tiles are compared with numpy
+exclusive-or and bit counts; pairs of tiles whose population counts differ by more than the radius are skipped.
+Two ways of choosing the bits:
+
+* 64 bits and a small radius: the bits fall into blocks, and every choice of ``n_blocks - radius`` of them is a
+  bucket key. Fingerprints within the radius agree on at least one choice, so no link is lost.
+* 256 bits and the radius of a wanted similarity: keys are seeded draws of bits, as many as make two fingerprints
+  of just that similarity meet with probability 0.95 (more alike ones nearly always).
+
+Buckets beyond ``TILE`` rows are dealt to many tasks as pairs of tiles, so no bucket is ever gathered in one place,
+and of each pair of tiles only a spanning forest of the links is returned. Equal fingerprints are one row however
+many documents share them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_digest
 
 from pelagos.llm import common
 
@@ -29,65 +36,75 @@ STEP = 256
 CHUNK = 1 << 15
 
 
-def shingle_hashes(text: str | None, width: int, seed: int = 42) -> list[int]:
-    """XXH64 of every ``width``-word shingle of ``text`` with A-Z lowered, repeats included.
+# ---- fingerprints ---------------------------------------------------------------------------------
 
-    Fewer words than ``width``: one hash of the whole sequence; no word: none.
+
+def shingles(text: str | None, width: int) -> list[bytes]:
+    """Every ``width``-word shingle of ``text`` with A-Z lowered, repeats included.
+
+    Fewer words than ``width``: the whole sequence; no word: none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return []
     if len(words) < width:
-        return [xxh64_intdigest(b" ".join(words), seed)]
-    return [xxh64_intdigest(b" ".join(x), seed) for x in zip(*(words[i:] for i in range(width)), strict=False)]
+        return [b" ".join(words)]
+    return list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
 
 
-def majority(hashes: list[int]) -> int:
-    """The 64-bit number whose bits are set in over half of ``hashes``; 0 for none."""
-    if not hashes:
-        return 0
-    votes = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), CHUNK):
-        part = np.array(hashes[i : i + CHUNK], "<u8")
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), "little")
+def majority(text: str | None, width: int, words: int) -> np.ndarray:
+    """``words`` numbers of 64 bits, each bit set if it is set in over half of the shingles' hashes; zeros for no word.
 
+    One number: XXH64 with seed 42. More: XXH3 of 128 bits with seeds 0, 1, ...
+    """
+    parts = shingles(text, width)
+    votes = np.zeros(64 * words, np.int64)
+    for i in range(0, len(parts), CHUNK):
+        some = parts[i : i + CHUNK]
+        if words == 1:
+            # Digests are big-endian; turned round, bit b of the number is bit b of the bytes.
+            hashed = np.frombuffer(b"".join([xxh64_digest(s, 42) for s in some]), ">u8").astype("<u8").view(np.uint8).reshape(len(some), 8)
+        else:
+            hashed = np.concatenate([np.frombuffer(b"".join([xxh3_128_digest(s, k) for s in some]), np.uint8).reshape(len(some), 16) for k in range(words // 2)], axis=1)
+        votes += np.unpackbits(hashed, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(parts), bitorder="little").view("<u8")
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` per row of ``docs(doc_id, text)``; ``fp`` holds the 64 bits as a long. Null text: no words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [majority(shingle_hashes(x.as_py(), width)) for x in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+def names(words: int) -> list[str]:
+    return [f"f{k}" for k in range(words)]
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
+def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
+    """``(doc_id, tag, f0, ...)`` per row of ``docs(doc_id, text)``; each f holds 64 bits as a long, tag is a hash of
+    the text. Null text: no words."""
 
-def block_masks(radius: int, n_blocks: int) -> list[int]:
-    """Bit masks of every choice of ``n_blocks - radius`` of ``n_blocks`` even blocks of 64 bits."""
-    edges = [64 * i // n_blocks for i in range(n_blocks + 1)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(blocks, n_blocks - radius)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([majority(x.as_py(), width, words) for x in batch.column(2)], np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.record_batch([*batch.columns[:2], *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(words))], ["doc_id", "tag", *names(words)])
 
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, tag long, " + ", ".join(f"{n} long" for n in names(words)))
 
-def blocks_for(n: int, radius: int) -> int:
-    """Fewest blocks with which a bucket of ``n`` spread fingerprints holds about 64 rows or fewer."""
-    k = radius + 1
-    while k < 2 * radius + 2 and n > 64 << (64 * (k - radius) // k):
-        k += 1
-    return k
+
+# ---- tiles ----------------------------------------------------------------------------------------
 
 
 def _tile_links(fa: np.ndarray, fb: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within ``radius``; both sides come sorted by population count."""
-    pa_, pb_ = np.bitwise_count(fa), np.bitwise_count(fb)
+    """Index pairs of rows within ``radius`` bits; rows of either side come sorted by population count."""
+    pop_a, pop_b = (np.bitwise_count(f).sum(axis=1, dtype=np.int64) for f in (fa, fb))
     left, right = [], []
     for i in range(0, len(fa), STEP):
         for j in range(i if same else 0, len(fb), STEP):
-            if int(pb_[j]) - int(pa_[min(i + STEP, len(fa)) - 1]) > radius or int(pa_[i]) - int(pb_[min(j + STEP, len(fb)) - 1]) > radius:
+            if pop_b[j] - pop_a[min(i + STEP, len(fa)) - 1] > radius or pop_a[i] - pop_b[min(j + STEP, len(fb)) - 1] > radius:
                 continue
-            x, y = np.nonzero(np.bitwise_count(fa[i : i + STEP, None] ^ fb[None, j : j + STEP]) <= radius)
+            bits = np.bitwise_count(fa[i : i + STEP, None, 0] ^ fb[None, j : j + STEP, 0])
+            if fa.shape[1] > 1:
+                bits = bits.astype(np.uint16)
+                for k in range(1, fa.shape[1]):
+                    bits += np.bitwise_count(fa[i : i + STEP, None, k] ^ fb[None, j : j + STEP, k])
+            x, y = np.nonzero(bits <= radius)
             left.append(x + i)
             right.append(y + j)
     if not left:
@@ -117,93 +134,152 @@ def _forest(nodes: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int,
 
 
 def _compare(radius: int):
-    """mapInArrow body: rows ``(g, side, fp, node)`` sorted by g, side and population count; side 2 is compared with itself."""
+    """mapInArrow body: rows ``(g, side, node, f0, ...)`` sorted by g, side and population count, to links ``(a, b)``.
+    Side 2 is compared with itself, side 0 with side 1."""
 
-    def links(side, fp, node):
+    def links(side: np.ndarray, node: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
         if side[0] == 2:
-            return _forest(node, *_tile_links(fp, fp, radius, True))
+            return _forest(node, *_tile_links(fps, fps, radius, True))
         cut = int(np.searchsorted(side, 1))
-        x, y = _tile_links(fp[:cut], fp[cut:], radius, False)
+        x, y = _tile_links(fps[:cut], fps[cut:], radius, False)
         return _forest(node, x, y + cut)
 
+    def found(rows: list[np.ndarray], cuts: list[int]) -> pa.RecordBatch:
+        fps = np.stack(rows[3:], axis=1).view(np.uint64)
+        out = []
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if end - start > 1:
+                out += links(rows[1][start:end], rows[2][start:end], fps[start:end])
+        return pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held:
                 rows = [np.concatenate(p) for p in zip(held, rows, strict=True)]
-            cuts = np.flatnonzero(np.diff(rows[0])) + 1
-            found, start = [], 0
-            for end in cuts.tolist():
-                if end - start > 1:
-                    found += links(rows[1][start:end], rows[2][start:end].view(np.uint64), rows[3][start:end])
-                start = end
-            held = [r[start:] for r in rows]
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        if held and len(held[0]) > 1:
-            found = links(held[1], held[2].view(np.uint64), held[3])
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            cuts = [0, *(np.flatnonzero(np.diff(rows[0])) + 1).tolist()]
+            yield found(rows, cuts)
+            held = [r[cuts[-1] :] for r in rows]
+        if held:
+            yield found(held, [0, len(held[0])])
 
     return run
 
 
-def links(points: DataFrame, radius: int = 3) -> DataFrame:
-    """Links ``(a, b)`` between the nodes of ``points(fp, node)`` (one row per fingerprint) that connect exactly
-    the fingerprints chained by steps of ``radius`` or fewer bits: of each tile pair's links a spanning forest."""
-    masks = block_masks(radius, blocks_for(points.count(), radius))
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = points.select(
-        "fp", "node", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])).alias("key")
-    ).withColumn("pop", F.bit_count("fp"))
-    sized = keyed.groupBy("key", F.shiftright("pop", 2).alias("band")).count()
+# ---- buckets --------------------------------------------------------------------------------------
+
+
+def block_masks(radius: int, n_blocks: int) -> list[int]:
+    """Bit masks of every choice of ``n_blocks - radius`` of ``n_blocks`` even blocks of 64 bits."""
+    edges = [64 * i // n_blocks for i in range(n_blocks + 1)]
+    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in combinations(blocks, n_blocks - radius)]
+
+
+def blocks_for(n: int, radius: int) -> int:
+    """Fewest blocks with which a bucket of ``n`` spread fingerprints holds about 64 rows or fewer."""
+    k = radius + 1
+    while k < 2 * radius + 2 and n > 64 << (64 * (k - radius) // k):
+        k += 1
+    return k
+
+
+def radius_of(similarity: float, words: int) -> int:
+    """Bits in which fingerprints of texts with that Jaccard similarity differ at most, a standard deviation allowed."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(64 * words * share + math.sqrt(64 * words * share * (1 - share)))
+
+
+def drawn_masks(n: int, similarity: float, words: int, recall: float = 0.95) -> list[list[int]]:
+    """Seeded draws of bits, wide enough for buckets of about 64 of ``n`` rows and enough of them for ``recall``."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    width = max(12, min(32, math.ceil(math.log2(max(1, n) / 64))))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** width))
+    rng = np.random.default_rng(64)
+    out = []
+    for _ in range(tables):
+        bits = rng.choice(64 * words, width, replace=False).tolist()
+        out.append([sum(1 << (b % 64) for b in bits if b // 64 == k) for k in range(words)])
+    return out
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def links(points: DataFrame, masks: list[list[int]], radius: int) -> DataFrame:
+    """Links ``(a, b)`` that connect exactly the nodes of ``points(node, f0, ...)`` chained by steps of ``radius`` or
+    fewer bits, among rows that agree on the bits of at least one of ``masks``."""
+    fs = names(len(masks[0]))
+    key = lambda i, m: F.xxhash64(F.lit(i), *[F.col(f).bitwiseAND(F.lit(_signed(x))) for f, x in zip(fs, m, strict=True)])
+    pop = sum((F.bit_count(f) for f in fs[1:]), F.bit_count(fs[0]))
+    keyed = points.select("node", *fs, pop.alias("pop"), F.explode(F.array(*[key(i, m) for i, m in enumerate(masks)])).alias("key"))
+    # Population counts in bands of radius + 1: only equal and adjacent bands can hold links.
+    band = F.floor(F.col("pop") / (radius + 1)).cast("int")
+    sized = keyed.groupBy("key", band.alias("band")).count()
     totals = sized.groupBy("key").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", "count"))).alias("bands"))
     met = keyed.join(totals.where("total > 1"), "key")
-    small = met.where(F.col("total") <= TILE).select(F.col("key").alias("g"), F.lit(2).alias("side"), "fp", "node", "pop")
-    # Bands of four population counts: only equal and adjacent bands can hold links of three bits.
-    step = (radius + 4) // 4
-    salts = lambda band: F.coalesce(F.ceil(F.try_element_at("bands", band) / TILE), F.lit(0)).cast("int")
-    band = F.shiftright("pop", 2)
-    own = F.pmod(F.xxhash64("fp"), salts(band)).cast("int")
+    rest = ["node", *fs, "pop"]
+    small = met.where(F.col("total") <= TILE).select(F.col("key").alias("g"), F.lit(2).alias("side"), *rest)
+    salts = lambda b: F.coalesce(F.ceil(F.try_element_at("bands", b) / TILE), F.lit(0)).cast("int")
+    own = F.pmod(F.xxhash64(*fs), salts(band)).cast("int")
     upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: i < n)
     pair = lambda b1, s1, b2, s2, side: F.struct(F.xxhash64("key", b1, s1, b2, s2).alias("g"), side.alias("side"))
     within = F.transform(
         upto(salts(band)),
         lambda j: pair(band, F.least(j, own), band, F.greatest(j, own), F.when(j == own, 2).when(own < j, 0).otherwise(1)),
     )
-    with_above = lambda d: F.transform(upto(salts(band + d)), lambda j: pair(band, own, band + d, j, F.lit(0)))
-    with_below = lambda d: F.transform(upto(salts(band - d)), lambda j: pair(band - d, j, band, own, F.lit(1)))
-    across = [f(d) for d in range(1, step + 1) for f in (with_above, with_below)]
-    large = met.where(F.col("total") > TILE).select(F.explode(F.concat(within, *across)).alias("t"), "fp", "node", "pop").select("t.g", "t.side", "fp", "node", "pop")
-    tiles = common.tuned(small.unionByName(large), ["g"]).sortWithinPartitions("g", "side", "pop").select("g", F.col("side").cast("int"), "fp", "node")
+    above = F.transform(upto(salts(band + 1)), lambda j: pair(band, own, band + 1, j, F.lit(0)))
+    below = F.transform(upto(salts(band - 1)), lambda j: pair(band - 1, j, band, own, F.lit(1)))
+    large = met.where(F.col("total") > TILE).select(F.explode(F.concat(within, above, below)).alias("t"), *rest).select("t.g", "t.side", *rest)
+    tiles = common.tuned(small.unionByName(large), ["g"]).sortWithinPartitions("g", "side", "pop").select("g", F.col("side").cast("int"), "node", *fs)
     return tiles.mapInArrow(_compare(radius), "a long, b long")
 
 
+def _labelled(prints: DataFrame, masks, radius: int) -> DataFrame:
+    """``(f0, ..., low, node, component)`` per different fingerprint of ``prints``; nodes are its smallest doc_id, or a
+    number made of its bits where it has none (``low`` null)."""
+    fs = [c for c in prints.columns if c not in ("doc_id", "tag")]
+    stand_in = F.shiftrightunsigned(F.xxhash64(*fs), 3) + F.lit(1 << 61)
+    points = prints.groupBy(*fs).agg(F.min("doc_id").alias("low")).withColumn("node", F.coalesce("low", stand_in))
+    points = common.materialize(points, "points")
+    joined = common.components(links(points.select("node", *fs), masks(points.count()), radius))
+    return points.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """``(doc_id, fp, component_id)`` per row of ``docs(doc_id, text)``.
 
-    Documents whose fingerprints differ in ``radius`` or fewer bits are linked; ``component_id`` is the smallest
+    Documents whose 64-bit fingerprints differ in ``radius`` or fewer bits are linked; ``component_id`` is the smallest
     doc_id reachable, itself included. Null and empty texts have fingerprint zero and are linked like any other;
     repeated rows and doc_ids are allowed (each row is returned); other columns are ignored; an empty table gives
-    no rows. A fingerprint that only rows with a null doc_id have is its own component, null.
+    no rows. The component of rows that reach no doc_id but null is null.
     """
     prints = common.materialize(fingerprints(docs, width), "fingerprints")
-    points = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "points")
-    joined = common.components(links(points.where("node is not null"), radius))
-    label = points.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+    label = _labelled(prints, lambda n: [[m] for m in block_masks(radius, blocks_for(n, radius))], radius)
+    label = common.materialize(label.select("f0", "low", "node", "component"), "labels")
+    known = label.where("low is not null").groupBy("component").agg(F.min("low").alias("component_id"))
+    named = label.join(known, "component", "left").select("f0", "component_id")
+    return prints.join(named, "f0").select("doc_id", F.col("f0").alias("fp"), "component_id")
 
 
-def as_hex(fp) -> F.Column:
+def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicate(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: that of its smallest doc_id (one of equal rows)."""
-    keep = near_duplicates(docs, width, radius).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    columns = [F.first(c).alias(c) for c in docs.columns if c != "doc_id"]
-    return kept.groupBy("doc_id").agg(*columns).select(*docs.columns)
+def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that of the smallest doc_id (null last).
+
+    Texts are linked if their fingerprints of ``64 * words`` bits over ``width``-word shingles are as near as those of
+    texts with Jaccard ``similarity``. Texts without words are one group. Repeated rows are one; columns are kept.
+    """
+    prints = common.materialize(fingerprints(docs, width, words), "fingerprints")
+    label = _labelled(prints, lambda n: drawn_masks(n, similarity, words), radius_of(similarity, words))
+    group = prints.join(label.select(*names(words), "component"), names(words))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
+    keep = group.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.tag").alias("__tag"))
+    tagged = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__tag": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    missing = lambda c: F.coalesce(c, F.lit(-1))
+    same = (missing(tagged["__id"]) == missing(keep["__id"])) & (tagged["__tag"] == keep["__tag"]) & tagged["__id"].eqNullSafe(keep["__id"])
+    return tagged.join(keep, same, "left_semi").dropDuplicates(["__id", "__tag"]).select(*docs.columns)

@@ -40,7 +40,7 @@ def test_search_finds_all_within_the_radius(spark, documents):
     base = [r.fp for r in fingerprint.against_edits(documents).select("fp").distinct().collect()]
     unsigned = [b % 2**64 for b in base]
     unsigned = sorted({u ^ f for u in unsigned[:60] for f in (0, 1, 3 << 40, 1 << 63 | 5, 15)})
-    points = spark.createDataFrame([(fingerprint._signed(u),) for u in unsigned], "fp long")
+    points = spark.createDataFrame([(simhash._signed(u),) for u in unsigned], "fp long")
     for radius in (1, 3, 5):
         got = {(r.q % 2**64, r.fp % 2**64) for r in fingerprint.search(points.withColumnRenamed("fp", "q"), points, radius).collect()}
         assert got == {(a, b) for a in unsigned for b in unsigned if (a ^ b).bit_count() <= radius}

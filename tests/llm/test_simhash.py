@@ -39,8 +39,9 @@ def test_many_near_fingerprints_in_tile_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 16)
     fps = [(i * 0x9E3779B97F4A7C15 ^ (1 << i % 64)) % (1 << 12) | (i % 7) << 40 for i in range(400)]
     fps = sorted(set(fps))
-    points = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, node long")
-    got = {r.node: r.component for r in common.components(simhash.links(points)).collect()}
+    points = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "f0 long, node long")
+    masks = [[m] for m in simhash.block_masks(3, 4)]
+    got = {r.node: r.component for r in common.components(simhash.links(points, masks, 3)).collect()}
     group = list(range(len(fps)))
     for i in range(len(fps)):
         for j in range(i):
@@ -63,3 +64,28 @@ def test_components_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in common.components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_near_copies_of_that_similarity_go(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows, groups = [], []
+    for g in range(60):
+        text = [word() for _ in range(300)]
+        rows.append((len(rows), " ".join(text)))
+        members = [len(rows) - 1]
+        for _ in range(g % 4):
+            copy = list(text)
+            for _ in range(4):  # 20 of 296 shingles change: similarity about 0.87
+                copy[rng.randrange(300)] = word()
+            members.append(len(rows))
+            rows.append((len(rows), " ".join(copy)))
+        groups.append(members)
+        # Too different to go: every tenth word changed.
+        rows.append((len(rows), " ".join(word() if i % 10 == 0 else w for i, w in enumerate(text))))
+        groups.append([len(rows) - 1])
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {min(g) for g in groups} <= kept
+    assert len(kept) <= 1.05 * len(groups)
