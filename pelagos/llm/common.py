@@ -43,6 +43,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_or_shuffled(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df`` (narrow and materialized) marked for broadcast if it has at most ``most`` rows; else as it is, for a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once although the body uses it again and again."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tuned(df: DataFrame, by: list, factor: int = 1) -> DataFrame:
     """Hash-partition by ``by`` into the session's number of shuffle partitions (times ``factor``)."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

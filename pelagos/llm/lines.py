@@ -15,11 +15,12 @@ from pelagos.llm import common
 
 FIELD = "<*>"
 #: Tokens with a digit in them: numbers, dates, addresses, keys.
-VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*"
 
 
 def _tokens(line: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(line, VARIABLE, FIELD), common.SPACE), lambda t: t != "")
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, FIELD)).otherwise(line)
+    return F.filter(F.split(F.translate(masked, "\t\x0b\f\r", "    "), " "), lambda t: t != "")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -30,22 +31,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _lines(keyed: DataFrame, depth: int) -> DataFrame:
-    """One row per line that has a token, with its leaf and the hash ``h`` of its masked tokens."""
-    split = keyed.select("d", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    tokens = split.select("d", "tag", "line_no", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
-    return tokens.select(
-        "d", "tag", "line_no", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64(F.size("tokens"), "tokens").alias("h"), "tokens"
-    )
+def _lines(keyed: DataFrame, depth: int, masked: bool) -> DataFrame:
+    """One row per line that has a token: its leaf, the hash ``h`` of its masked tokens and, if asked for, these.
+
+    Lines are parsed inside the array that is exploded, so each is parsed once whatever is filtered afterwards.
+    """
+
+    def parsed(line: Column) -> Column:
+        leaf = lambda t: F.xxhash64(F.size(t), F.slice(t, 1, depth)).alias("leaf")
+        text = lambda t: [F.array_join(t, " ").alias("masked")] if masked else []
+        return common.let(_tokens(line), lambda t: F.struct(F.size(t).alias("n"), leaf(t), F.xxhash64(F.size(t), t).alias("h"), *text(t)))
+
+    rows = keyed.select("d", "tag", F.posexplode(F.transform(F.split("text", "\n"), parsed)).alias("line_no", "x")).where("x.n > 0")
+    return rows.select("d", "tag", "line_no", "x.leaf", "x.h", *(["x.masked"] if masked else []))
 
 
-def _templates(places: DataFrame, lines: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+def _templates(places: DataFrame, keyed: DataFrame, min_docs: int, depth: int, similarity: float) -> DataFrame:
     """``(h, template)`` of the lines that are instances of a template."""
     docs = places.select("d", "tag", "leaf", "h").distinct()
     busy = docs.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    known = docs.join(busy, "leaf", "left_semi").groupBy("leaf", "h").agg(F.count("*").alias("docs"))
-    texts = lines.join(busy, "leaf", "left_semi").groupBy("leaf", "h").agg(F.first("tokens").alias("tokens"))
-    cells = texts.join(known, ["leaf", "h"]).select("leaf", "h", "docs", F.posexplode("tokens").alias("pos", "token"))
+    known = common.materialize(docs.join(busy, "leaf", "left_semi").groupBy("h").agg(F.count("*").alias("docs")), "known")
+    wanted = _lines(keyed, depth, True).join(common.small_or_shuffled(known), "h")
+    texts = wanted.groupBy("leaf", "h", "docs").agg(F.first("masked").alias("masked"))
+    cells = texts.select("leaf", "h", "docs", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
     constant = cells.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support")).where((F.col("support") >= min_docs) & (F.col("token") != FIELD))
     seen = cells.join(constant, ["leaf", "pos", "token"], "left").select(
         "leaf",
@@ -60,10 +68,10 @@ def _templates(places: DataFrame, lines: DataFrame, min_docs: int, similarity: f
 
 def recurring(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarity: float = 0.75) -> DataFrame:
     """``(d, tag, dropped)``: numbers of the lines to drop, in order, for each text that loses any."""
-    lines = _lines(_keyed(docs), depth)
-    places = common.materialize(lines.drop("tokens"), "lines")
-    templates = common.materialize(_templates(places, lines, min_docs, similarity), "templates")
-    of = places.join(templates, "h").select("d", "tag", "line_no", "template")
+    keyed = _keyed(docs)
+    places = common.materialize(_lines(keyed, depth, False), "lines")
+    templates = common.materialize(_templates(places, keyed, min_docs, depth, similarity), "templates")
+    of = places.join(common.small_or_shuffled(templates), "h").select("d", "tag", "line_no", "template")
     counted = of.select("template", "d", "tag").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("d", "tag")).alias("first"))
     drop = of.join(counted.where(F.col("docs") >= min_docs), "template").where(F.struct("d", "tag") != F.col("first"))
     return drop.groupBy("d", "tag").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))

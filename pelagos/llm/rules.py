@@ -23,11 +23,6 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WHITE = " \t\n\x0b\f\r"
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is worked out once although the body uses it again and again."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _repeat_words(words: Column) -> Column:
     """Words in three-word windows that come twice or more in the text; windows are sorted by hash to find them."""
 
@@ -43,7 +38,7 @@ def _repeat_words(words: Column) -> Column:
     windows = lambda w: F.transform(
         F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))
     )
-    count = _let(words, lambda w: F.when(F.size(w) >= 3, _let(F.array_sort(windows(w)), lambda s: covered(twice(s)))))
+    count = common.let(words, lambda w: F.when(F.size(w) >= 3, common.let(F.array_sort(windows(w)), lambda s: covered(twice(s)))))
     return F.coalesce(count, F.lit(0)).cast("long")
 
 
@@ -61,7 +56,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.size(words).cast("long").alias("n_words"),
         without(WHITE).cast("long").alias("word_chars"),
         (F.length("text") - without(SYMBOLS)).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
+        common.let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
         _repeat_words(words).alias("n_repeat_words"),
         (F.length("text") - without(CAPITALS)).alias("capitals"),
     )
