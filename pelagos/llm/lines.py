@@ -18,9 +18,16 @@ FIELD = "<*>"
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*"
 
 
-def _tokens(line: Column) -> Column:
+def _masked(line: Column) -> Column:
+    """``line`` with variable tokens masked and every white space character a blank."""
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, FIELD)).otherwise(line)
-    return F.filter(F.split(F.translate(masked, "\t\x0b\f\r", "    "), " "), lambda t: t != "")
+    return F.translate(masked, "\t\x0b\f\r", "    ")
+
+
+def _tokens(masked: Column) -> Column:
+    parts = F.split(masked, " ")
+    spaced = masked.contains("  ") | masked.startswith(" ") | masked.endswith(" ") | (masked == "")
+    return F.when(spaced, F.filter(parts, lambda t: t != "")).otherwise(parts)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -31,28 +38,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _lines(keyed: DataFrame, depth: int, masked: bool) -> DataFrame:
-    """One row per line that has a token: its leaf, the hash ``h`` of its masked tokens and, if asked for, these.
+def _places(keyed: DataFrame, depth: int) -> DataFrame:
+    """One row per line that has a token: its number, its leaf and the hash ``h`` of its masked text.
 
     Lines are parsed inside the array that is exploded, so each is parsed once whatever is filtered afterwards.
     """
 
     def parsed(line: Column) -> Column:
         leaf = lambda t: F.xxhash64(F.size(t), F.slice(t, 1, depth)).alias("leaf")
-        text = lambda t: [F.array_join(t, " ").alias("masked")] if masked else []
-        return common.let(_tokens(line), lambda t: F.struct(F.size(t).alias("n"), leaf(t), F.xxhash64(F.size(t), t).alias("h"), *text(t)))
+        tokens = lambda m: common.let(_tokens(m), lambda t: F.struct(F.size(t).alias("n"), leaf(t), F.xxhash64(m).alias("h")))
+        return common.let(_masked(line), tokens)
 
     rows = keyed.select("d", "tag", F.posexplode(F.transform(F.split("text", "\n"), parsed)).alias("line_no", "x")).where("x.n > 0")
-    return rows.select("d", "tag", "line_no", "x.leaf", "x.h", *(["x.masked"] if masked else []))
+    return rows.select("d", "tag", "line_no", "x.leaf", "x.h")
 
 
-def _templates(places: DataFrame, keyed: DataFrame, min_docs: int, depth: int, similarity: float) -> DataFrame:
+def _templates(places: DataFrame, keyed: DataFrame, min_docs: int, similarity: float) -> DataFrame:
     """``(h, template)`` of the lines that are instances of a template."""
     docs = places.select("d", "tag", "leaf", "h").distinct()
     busy = docs.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    known = common.materialize(docs.join(busy, "leaf", "left_semi").groupBy("h").agg(F.count("*").alias("docs")), "known")
-    wanted = _lines(keyed, depth, True).join(common.small_or_shuffled(known), "h")
-    texts = wanted.groupBy("leaf", "h", "docs").agg(F.first("masked").alias("masked"))
+    known = common.materialize(docs.join(busy, "leaf", "left_semi").groupBy("leaf", "h").agg(F.count("*").alias("docs")), "known")
+    # The texts of those lines only: a second reading that needs no more than each line's hash.
+    hashed = lambda line: common.let(_masked(line), lambda m: F.struct(m.alias("masked"), F.xxhash64(m).alias("h")))
+    wanted = keyed.select(F.explode(F.transform(F.split("text", "\n"), hashed)).alias("x")).select("x.h", "x.masked")
+    texts = wanted.join(common.small_or_shuffled(known), "h").groupBy("leaf", "h", "docs").agg(F.first("masked").alias("masked"))
+    texts = texts.withColumn("masked", F.array_join(_tokens(F.col("masked")), " "))
     cells = texts.select("leaf", "h", "docs", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
     constant = cells.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support")).where((F.col("support") >= min_docs) & (F.col("token") != FIELD))
     seen = cells.join(constant, ["leaf", "pos", "token"], "left").select(
@@ -69,8 +79,8 @@ def _templates(places: DataFrame, keyed: DataFrame, min_docs: int, depth: int, s
 def recurring(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarity: float = 0.75) -> DataFrame:
     """``(d, tag, dropped)``: numbers of the lines to drop, in order, for each text that loses any."""
     keyed = _keyed(docs)
-    places = common.materialize(_lines(keyed, depth, False), "lines")
-    templates = common.materialize(_templates(places, keyed, min_docs, depth, similarity), "templates")
+    places = common.materialize(_places(keyed, depth), "lines")
+    templates = common.materialize(_templates(places, keyed, min_docs, similarity), "templates")
     of = places.join(common.small_or_shuffled(templates), "h").select("d", "tag", "line_no", "template")
     counted = of.select("template", "d", "tag").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("d", "tag")).alias("first"))
     drop = of.join(counted.where(F.col("docs") >= min_docs), "template").where(F.struct("d", "tag") != F.col("first"))

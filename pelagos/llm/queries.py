@@ -114,13 +114,15 @@ ORACLES = {
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents
 ), line AS (
-  SELECT doc_id, n AS line_no, list_filter(regexp_split_to_array(regexp_replace(all_lines[n + 1], '[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*', '<*>', 'g'), '[\\x20\\x09-\\x0D]+'), lambda t: t <> '') AS tokens
+  SELECT doc_id, n AS line_no, translate(regexp_replace(all_lines[n + 1], '[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*', '<*>', 'g'), chr(9) || chr(11) || chr(12) || chr(13), '    ') AS h
   FROM (SELECT doc_id, all_lines, unnest(range(len(all_lines))) AS n FROM split)
+), token AS (
+  SELECT doc_id, line_no, h, list_filter(string_split(h, ' '), lambda t: t <> '') AS tokens FROM line
 ), masked AS (
-  SELECT doc_id, line_no, tokens, len(tokens)::VARCHAR || ' ' || array_to_string(tokens[1:3], ' ') AS leaf, array_to_string(tokens, ' ') AS h FROM line WHERE len(tokens) > 0
+  SELECT doc_id, line_no, h, len(tokens)::VARCHAR || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM token WHERE len(tokens) > 0
 ), pairs AS (SELECT DISTINCT doc_id, leaf, h FROM masked),
 busy AS (SELECT leaf FROM pairs GROUP BY leaf HAVING count(*) >= 5),
-known AS (SELECT leaf, h, count(*) AS docs, string_split(h, ' ') AS tokens FROM pairs WHERE leaf IN (SELECT leaf FROM busy) GROUP BY leaf, h),
+known AS (SELECT leaf, h, count(*) AS docs, list_filter(string_split(h, ' '), lambda t: t <> '') AS tokens FROM pairs WHERE leaf IN (SELECT leaf FROM busy) GROUP BY leaf, h),
 cells AS (SELECT leaf, h, docs, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM known),
 constant AS (SELECT leaf, pos, token FROM cells WHERE token <> '<*>' GROUP BY leaf, pos, token HAVING sum(docs) >= 5),
 seen AS (SELECT c.leaf, c.h, c.pos, CASE WHEN k.token IS NULL THEN '<*>' ELSE c.token END AS token, CASE WHEN c.token <> '<*>' THEN (k.token IS NOT NULL)::INT END AS fixed FROM cells c LEFT JOIN constant k ON c.leaf = k.leaf AND c.pos = k.pos AND c.token = k.token),
