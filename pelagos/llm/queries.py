@@ -48,9 +48,8 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pseudo-likelihood of every document under a network trained on all of them; see ``pseudo.fit``."""
-    docs = common.table(spark, sf_dir, "documents")
-    return pseudo.score(docs, pseudo.fit(docs))
+    """Pseudo-likelihood of every document under a network trained on all of them; see ``pseudo.pseudo_likelihood``."""
+    return pseudo.pseudo_likelihood(common.table(spark, sf_dir, "documents"))
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
