@@ -1,0 +1 @@
+"""Findings analytics on Spark: sources, operators, functions, streams and sinks for security findings at scale."""
