@@ -62,7 +62,7 @@ def _templates(places: DataFrame, keyed: DataFrame, min_docs: int, similarity: f
     hashed = lambda line: common.let(_masked(line), lambda m: F.struct(m.alias("masked"), F.xxhash64(m).alias("h")))
     wanted = keyed.select(F.explode(F.transform(F.split("text", "\n"), hashed)).alias("x")).select("x.h", "x.masked")
     texts = wanted.join(common.small_or_shuffled(known), "h").groupBy("leaf", "h", "docs").agg(F.first("masked").alias("masked"))
-    texts = texts.withColumn("masked", F.array_join(_tokens(F.col("masked")), " "))
+    texts = common.materialize(texts.withColumn("masked", F.array_join(_tokens(F.col("masked")), " ")), "texts")
     cells = texts.select("leaf", "h", "docs", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
     constant = cells.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support")).where((F.col("support") >= min_docs) & (F.col("token") != FIELD))
     seen = cells.join(constant, ["leaf", "pos", "token"], "left").select(
