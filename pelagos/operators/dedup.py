@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelagos import schema
+from pelagos import schema, session
 from pelagos.functions import scalars as S
 
 
@@ -137,6 +137,7 @@ def greedy(findings: DataFrame, tolerance: int = 5) -> DataFrame:
 def components(pairs: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataFrame:
     """``(ord, group)``: smallest ``ord`` reachable over ``pairs(a, b)``, by label propagation; each round is a grouped
     minimum and a pointer jump, cut with a checkpoint. Raises if it has not settled after ``rounds``."""
+    session.ensure_checkpoint_dir(pairs.sparkSession)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = nodes.select("ord", F.col("ord").alias("group")).checkpoint()
     for _ in range(rounds):

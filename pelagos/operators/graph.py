@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pelagos import session
+
 
 def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 50) -> DataFrame:
     """``(start, node)``: every node that can be reached from each start, itself included. Semi-naive: each round joins
     only the pairs that are new, and lineage is cut with a checkpoint."""
+    session.ensure_checkpoint_dir(edges.sparkSession)
     known = starts.select("start", F.col("start").alias("node")).distinct().checkpoint()
     new = known
     for _ in range(rounds):
@@ -22,6 +25,7 @@ def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 50) -> DataFram
 
 def simple_paths(edges: DataFrame, starts: DataFrame, sinks: DataFrame, most: int = 10) -> DataFrame:
     """``(start, sink, path)``: paths of at most ``most`` nodes that repeat none; a path carries its nodes, so cycles end."""
+    session.ensure_checkpoint_dir(edges.sparkSession)
     paths = starts.select("start", F.col("start").alias("node"), F.array("start").alias("path"))
     every = paths
     for _ in range(most - 1):
@@ -36,6 +40,7 @@ def simple_paths(edges: DataFrame, starts: DataFrame, sinks: DataFrame, most: in
 def taint(flows: DataFrame, sources: DataFrame, sanitizers: DataFrame, rounds: int = 10) -> DataFrame:
     """``(node, label, hops)``: nodes that a labelled source reaches over ``flows(src, dst)`` without passing a sanitizer, with
     the label that comes first (fewest hops, then smallest label); at most ``rounds`` hops."""
+    session.ensure_checkpoint_dir(flows.sparkSession)
     clean = sanitizers.select(F.col("node").alias("dst")).distinct()
     open_flows = flows.select("src", "dst").join(clean, "dst", "left_anti").checkpoint()
     known = sources.groupBy("node").agg(F.min("label").alias("label")).select("node", "label", F.lit(0).alias("hops")).checkpoint()

@@ -186,7 +186,6 @@ def f16(spark, sf):
 def d1_components(spark, sf):
     """Similar findings as connected components; smallest member names the group."""
     f = views.findings(spark, sf)
-    ensure_checkpoint_dir(spark)
     return dedup.components(dedup.near_pairs(f, 1), f)
 
 
@@ -369,10 +368,3 @@ def u2(spark, sf):
 def u3(spark, sf):
     return setops.coverage_histogram(views.findings(spark, sf), ["type", "file", "line"], "tool")
 
-
-def ensure_checkpoint_dir(spark) -> None:
-    """The cluster's folder where it is set; one of our own only where it is not, as in tests."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pelagos-"))

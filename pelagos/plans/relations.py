@@ -8,13 +8,11 @@ from pelagos import schema
 from pelagos.functions import scalars as S
 from pelagos.operators import evaluate, graph, joins, rank, storage, text, vectors
 from pelagos.plans import views
-from pelagos.plans.findings import CATEGORY, FINGERPRINT, WEIGHT, ensure_checkpoint_dir
+from pelagos.plans.findings import CATEGORY, FINGERPRINT, WEIGHT
 from pelagos.plans.registry import query
 from pelagos.sinks import writers
 from pelagos.streaming import events as streams
 
-BASE_PRINT = FINGERPRINT
-
 
 def _with_print(f):
     return f.withColumn("fingerprint", S.fingerprint(F.col("type"), F.col("file"), F.col("function"), F.col("message")))
@@ -292,14 +290,12 @@ def g3(spark, sf):
 
 @query("g4_reachability", "r(start, node) AS (SELECT src, src FROM edges WHERE src % 400 = 399 UNION SELECT r.start, e.dst FROM r JOIN edges e ON r.node = e.src) SELECT start, node FROM r")
 def g4(spark, sf):
-    ensure_checkpoint_dir(spark)
     e = views.edges(spark, sf)
     return graph.reachable(e, e.where("src % 400 = 399").select(F.col("src").alias("start")).distinct())
 
 
 @query("g5_simple_paths", "p(start, node, path) AS (SELECT DISTINCT src, src, [src] FROM edges WHERE src % 400 = 399 UNION ALL SELECT p.start, e.dst, list_append(p.path, e.dst) FROM p JOIN edges e ON p.node = e.src WHERE NOT list_contains(p.path, e.dst) AND len(p.path) < 8) SELECT start, node AS sink, array_to_string(path, '>') AS path FROM p WHERE node < 10")
 def g5(spark, sf):
-    ensure_checkpoint_dir(spark)
     e = views.edges(spark, sf)
     starts = e.where("src % 400 = 399").select(F.col("src").alias("start")).distinct()
     sinks = e.where("dst < 10").select(F.col("dst").alias("sink")).distinct()
@@ -309,7 +305,6 @@ def g5(spark, sf):
 
 @query("g8_taint", "src AS (SELECT DISTINCT src AS node, 's' || (src % 3) AS label FROM edges WHERE src % 500 = 499), t(node, label, hops) AS (SELECT node, label, 0 FROM src UNION SELECT e.dst, t.label, t.hops + 1 FROM t JOIN edges e ON t.node = e.src WHERE e.dst % 7 <> 0 AND t.hops < 10), h AS (SELECT node, min(hops) AS hops FROM t GROUP BY node) SELECT t.node, min(t.label) AS label, h.hops::INT AS hops FROM t JOIN h ON t.node = h.node AND t.hops = h.hops GROUP BY t.node, h.hops")
 def g8(spark, sf):
-    ensure_checkpoint_dir(spark)
     e = views.edges(spark, sf)
     sources = e.where("src % 500 = 499").select(F.col("src").alias("node"), F.concat(F.lit("s"), F.col("src") % 3).alias("label")).distinct()
     clean = e.select(F.col("dst").alias("node")).where("node % 7 = 0").distinct()

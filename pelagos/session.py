@@ -17,3 +17,12 @@ def local(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSessi
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder that the session names; to one of our own only where none is named."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        import tempfile
+
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pelagos-"))
