@@ -29,10 +29,10 @@ def bug_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def labelled_folders(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files with the name of their folder as ``category``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    name = F.col("_metadata.file_path")
-    return files.select(name.alias("path"), F.regexp_extract(name, r"([^/]+)/[^/]+$", 1).alias("category"), F.col("value").alias("text"))
+    """Whole files, byte for byte, with the name of their folder as ``category``; bytes that are no UTF-8 are replaced."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return files.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("category"), text.alias("text"))
 
 
 def manifest(spark: SparkSession, manifest_path: str, files: DataFrame) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Every registered query of the engine against its SQL on the smallest tables."""
+"""Every registered query of the engine against its SQL at the gate's scale."""
 
 import duckdb
 import pytest
 
 from pelagos import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
