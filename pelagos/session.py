@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -26,3 +28,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         import tempfile
 
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pelagos-"))
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if they can see that folder.
+
+    On a cluster the package is installed or sent with --py-files; then this changes nothing that matters.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
