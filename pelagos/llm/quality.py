@@ -1,8 +1,7 @@
 """Quality scores by positive-unlabelled learning with the non-negative risk estimator.
 
 Trusted positives are documents labelled good; everything else is unlabelled web text of either kind. The share of
-good text in it (the class prior) is estimated from how much denser positives are among positives than among
-unlabelled rows. A small network then minimises the non-negative unbiased risk
+good text in it (the class prior) is estimated from how many of either pass the same threshold. A small network then minimises the non-negative unbiased risk
 prior * E_pos[l(f)] + max(0, E_unl[l(-f)] - prior * E_pos[l(-f)]).
 """
 
@@ -89,13 +88,19 @@ def _descend(net: Network, step, steps: int, rate: float) -> None:
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray, hidden: int, seed: int) -> float:
-    """Share of positives among the unlabelled: where only positives lie, they are 1/prior times as dense among
-    positives as among the unlabelled, so the mean density ratio over (other) positives is the inverse of the prior.
-    The ratio is that of a classifier of positive against unlabelled rows, fitted on one half and averaged on the other.
+    """Share of positives among the unlabelled, from a classifier of positive against unlabelled rows.
+
+    Above any threshold lie a share q_p of the positives and a share q_u >= prior * q_p of the unlabelled, with
+    equality where no negative lies above it; so the least q_u / q_p is the estimate. The classifier is fitted on one
+    half of the rows and the shares are counted on the other, over thresholds that most positives pass. The estimate
+    is lowered by three hundredths of itself: one that is too high makes the risk of the negatives vanish before they
+    are learnt, one that is a little too low costs next to nothing.
     """
     rng = np.random.default_rng(seed)
     p, u = rng.permutation(positive), rng.permutation(unlabelled)
-    fit_p, held_p, fit_u = p[::2], p[1::2], u[::2]
+    fit_p, held_p, fit_u, held_u = p[::2], p[1::2], u[::2], u[1::2]
+    if not len(held_p) or not len(held_u):
+        return 0.5
     every = np.concatenate((fit_p, fit_u))
     net = Network(every.mean(axis=0), every.std(axis=0) + 1e-3, hidden, seed)
 
@@ -105,8 +110,11 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, hidden: int, seed:
         return net.gradient(z, h, (sigmoid(f) - np.repeat([1.0, 0.0], 256)) / 512)
 
     _descend(net, step, 400, 0.01)
-    ratio = np.exp(np.clip(net.forward(held_p if len(held_p) else fit_p)[2], -5, 5))
-    return float(np.clip(1 / max(1.0, ratio.mean()), 0.05, 0.98))
+    own, other = np.sort(net.forward(held_p)[2]), np.sort(net.forward(held_u)[2])
+    thresholds = own[: max(1, len(own) // 3)]
+    q_p = 1 - np.searchsorted(own, thresholds) / len(own)
+    q_u = 1 - np.searchsorted(other, thresholds) / len(other)
+    return float(np.clip(0.97 * (q_u / q_p).min(), 0.05, 0.97))
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, hidden: int = 16, steps: int = 1200, seed: int = 11) -> tuple[Network, float]:
