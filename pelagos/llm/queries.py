@@ -109,6 +109,21 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_suffix_array_dedup": """
+WITH hexed AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+sized AS (SELECT doc_id, h, length(h) // 2 AS n FROM hexed),
+starts AS (SELECT doc_id, unnest(range(n - 99)) AS s FROM sized WHERE n >= 100),
+windows AS (SELECT t.doc_id, t.s, md5(substr(z.h, 2 * t.s + 1, 200)) AS w FROM starts t JOIN sized z ON t.doc_id = z.doc_id),
+ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS k FROM windows),
+again AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM ranked WHERE k > 1),
+runs AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM again),
+spans AS (SELECT doc_id, r, min(s) AS a, max(s) + 100 AS b FROM runs GROUP BY doc_id, r),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+lost AS (SELECT g.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last_b, string_agg(substr(z.h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM gaps g JOIN sized z ON g.doc_id = z.doc_id GROUP BY g.doc_id)
+SELECT z.doc_id, z.n AS n_bytes, coalesce(l.n_removed, 0)::BIGINT AS n_removed, coalesce(l.n_spans, 0)::BIGINT AS n_spans,
+       sha256(from_hex(CASE WHEN l.doc_id IS NULL THEN z.h ELSE l.kept || substr(z.h, 2 * l.last_b + 1) END)) AS kept_sha256
+FROM sized z LEFT JOIN lost l ON z.doc_id = l.doc_id
+""",
     "op1_line_dedup": """
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents
