@@ -6,7 +6,7 @@ from pelagos.plans import registry
 
 
 def _load() -> None:
-    from pelagos.plans import findings, relations  # noqa: F401
+    from pelagos.plans import findings, more, relations  # noqa: F401
 
 
 def queries() -> dict:

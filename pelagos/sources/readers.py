@@ -53,7 +53,31 @@ ADAPTERS = {
     "detector-list": ("results.detectors", {"type": "check", "severity": "impact", "message": "description", "confidence": "confidence"}),
     "issue-list": ("issues", {"type": "title", "severity": "severity", "message": "description", "line": "lineno", "file": "filename"}),
     "match-list": ("matches", {"type": "rule", "severity": "level", "message": "text", "line": "line", "file": "path"}),
+    "test-list": ("tests", {"type": "name", "severity": "status", "message": "error", "function": "function", "file": "contract"}),
+    "proof-list": ("rules", {"type": "rule", "severity": "status", "message": "counterexample", "function": "function"}),
+    "finding-list": ("findings", {"type": "type", "severity": "severity", "message": "message", "line": "line", "file": "file", "function": "function", "confidence": "confidence"}),
+    "vulnerability-list": ("vulnerabilities", {"type": "vulnerability_type", "severity": "severity", "message": "explanation", "line": "line", "function": "function", "confidence": "confidence"}),
 }
+#: Kind of document that each tool's captured output is.
+TOOL_KIND = {
+    "detector-list": ("slither", "wake", "semgrep", "smartbugs_detector", "upgradability_checker"),
+    "issue-list": ("aderyn", "solhint", "fouranalyzer", "mythril", "oyente", "manticore", "pakala", "solcmc", "smtchecker"),
+    "match-list": ("gas_analyzer", "mev_detector", "threat_model", "defi", "advanced_detector", "crosschain", "zk_circuit", "bridge_monitor", "l2_validator", "circom_analyzer", "cairo", "solana", "move", "near", "stellar", "algorand", "cardano"),
+    "test-list": ("echidna", "medusa", "foundry", "dogefuzz", "vertigo", "hardhat"),
+    "proof-list": ("halmos", "certora", "propertygpt", "scribble"),
+    "finding-list": ("dagnn", "smartbugs_ml", "smartguard", "peculiar", "contract_clone_detector", "llmbugscanner", "audit_consensus", "exploit_synthesizer", "vuln_verifier", "remediation_validator"),
+    "vulnerability-list": ("smartllm", "gptscan", "llmsmartaudit", "gptlens", "llamaaudit", "iaudit", "frontier_llm"),
+}
+
+
+def collect(spark: SparkSession, outputs: dict[str, str]) -> DataFrame:
+    """Captured outputs of several tools, ``tool -> path``, as one table of raw findings."""
+    kind = {tool: k for k, tools in TOOL_KIND.items() for tool in tools}
+    frames = [adapt(spark, path, kind.get(tool, "finding-list"), tool) for tool, path in outputs.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def adapt(spark: SparkSession, path: str, adapter: str, tool: str) -> DataFrame:

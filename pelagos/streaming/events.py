@@ -134,3 +134,21 @@ def upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order
         last.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def progress(updates: DataFrame, key: str = "audit_id") -> DataFrame:
+    """Per audit: findings and finished tools so far, the last state and whether it has ended (a running aggregate)."""
+    return updates.groupBy(key).agg(
+        F.sum(F.coalesce("found", F.lit(0))).alias("findings"), F.count_if(F.col("event") == "tool_completed").alias("tools_done"), F.max_by("event", "seq").alias("last_event"),
+        F.bool_or(F.col("event").isin("completed", "failed")).alias("ended"),
+    )
+
+
+def retraining_due(feedback: DataFrame, key: str, least: int) -> DataFrame:
+    """Models whose queue of feedback is long enough to train again."""
+    return feedback.groupBy(key).agg(F.count("*").alias("queued")).withColumn("due", F.col("queued") >= least)
+
+
+def published(messages: DataFrame, types: list[str], kind: str = "context_type") -> DataFrame:
+    """Messages of the types that a subscriber asked for."""
+    return messages.where(F.col(kind).isin(types))
