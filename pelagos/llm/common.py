@@ -43,6 +43,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete every table that ``materialize`` has left in the shared folder; for when no result is needed any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pelagos")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_or_shuffled(df: DataFrame, most: int = 500_000) -> DataFrame:
     """``df`` (narrow and materialized) marked for broadcast if it has at most ``most`` rows; else as it is, for a shuffle."""
     return F.broadcast(df) if df.count() <= most else df

@@ -70,8 +70,9 @@ def fit(labelled: DataFrame, sample: int = 4000, least: int = 5, most: int = 64)
     table = np.full((len(langs), BUCKETS), 0.1)
     place = {x: i for i, x in enumerate(langs)}
     counts = chosen.where(F.col("lang").isin(langs)).mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    for r in counts.collect():
-        table[place[r["lang"]], r["bucket"]] += r["n"]
+    got = counts.toArrow()  # a number per language and bucket at most
+    row = np.array([place[x] for x in got["lang"].to_pylist()], np.int64)
+    np.add.at(table, (row, got["bucket"].to_numpy().astype(np.int64)), got["n"].to_numpy())
     return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32) if langs else table
 
 
