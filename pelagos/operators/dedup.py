@@ -5,6 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,32 +107,35 @@ def near_pairs(findings: DataFrame, tolerance: int = 5, least: float = 0.85) ->
 
 
 def greedy(findings: DataFrame, tolerance: int = 5) -> DataFrame:
-    """``(ord, group)``: one forward pass per file and category, a row joining the first group that has a row within
-    ``tolerance`` lines; depends on the order of arrival, as the components of ``near_pairs`` do not.
+    """``(ord, group)``: one forward pass per file, category and function, a row joining the first group that has a row
+    within ``tolerance`` lines; depends on the order of arrival, as the components of ``near_pairs`` do not.
 
-    Groups are those of one file, category and function; a gap of more than ``tolerance`` lines splits them
-    further before Python sees them, so that one task holds one dense stretch of one file only.
+    A gap of more than ``tolerance`` lines splits a function's rows before Python sees them; sorted partitions are read
+    row by row, and what is held are the lines of one such stretch.
     """
     by = ["file", "category", "function"]
     base = findings.select("ord", "file", "function", "line", S.category(F.col("type")).alias("category"))
-    previous = F.lag("line").over(Window.partitionBy(*by).orderBy("line", "ord"))
-    gap = base.withColumn("gap", F.coalesce((F.col("line") - previous > tolerance).cast("int"), F.lit(0)))
-    stretch = gap.withColumn("stretch", F.sum("gap").over(Window.partitionBy(*by).orderBy("line", "ord")))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        groups: list[tuple[int, list[int]]] = []
-        out = []
-        for ord_, line in sorted(zip(rows["ord"], rows["line"], strict=True)):
-            found = next((g for g in groups if any(abs(line - x) <= tolerance for x in g[1])), None)
-            if found is None:
-                groups.append(found := (ord_, []))
-            found[1].append(line)
-            out.append((ord_, found[0]))
-        return pd.DataFrame(out, columns=["ord", "group"])
-
-    sized = stretch.withColumn("n", F.count("*").over(Window.partitionBy(*by, "stretch")))
-    alone = sized.where("n = 1").select("ord", F.col("ord").alias("group"))
-    return alone.unionByName(sized.where("n > 1").groupBy(*by, "stretch").applyInPandas(fold, "ord long, group long"))
+    w = Window.partitionBy(*by).orderBy("line", "ord")
+    gap = F.coalesce((F.col("line") - F.lag("line").over(w) > tolerance).cast("int"), F.lit(0))
+    stretch = base.withColumn("gap", gap).withColumn("g", F.xxhash64(*by, F.sum("gap").over(w)))
+
+    def run(batches):
+        last, groups = None, []
+        for batch in batches:
+            out = []
+            for g, at, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != last:
+                    last, groups = g, []
+                found = next((x for x in groups if any(abs(line - n) <= tolerance for n in x[1])), None)
+                if found is None:
+                    groups.append(found := (at, set()))
+                found[1].add(line)
+                out.append(found[0])
+            yield pa.record_batch([batch.column(1), pa.array(out, pa.int64())], ["ord", "group"])
+
+    n = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stretch.repartition(n, "g").sortWithinPartitions("g", "ord").select("g", "ord", "line")
+    return dealt.mapInArrow(run, "ord long, group long")
 
 
 def components(pairs: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataFrame:

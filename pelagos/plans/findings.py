@@ -272,13 +272,13 @@ def a20(spark, sf):
     return score.consensus(views.findings(spark, sf))
 
 
-@query("a24_ewma")
+@query("a24_ewma", "SELECT tool, round_even(list_reduce(list_prepend(0.5::DOUBLE, list((value > 50)::INT::DOUBLE ORDER BY ord)), lambda m, v: 0.7::DOUBLE * m + 0.3::DOUBLE * v), 9) AS ewma FROM findings GROUP BY tool")
 def a24(spark, sf):
     e = score.ewma(views.findings(spark, sf).withColumn("hit", F.col("value") > 50), "tool", "hit", "ord")
     return e.select("tool", F.bround("ewma", 9).alias("ewma"))
 
 
-@query("a25_clamped_adjustment")
+@query("a25_clamped_adjustment", "SELECT tool, round_even(list_reduce(list_prepend(0.0::DOUBLE, list(CASE WHEN value > 50 THEN 0.02::DOUBLE ELSE -0.05::DOUBLE END ORDER BY ord)), lambda x, m: greatest(-0.3::DOUBLE, least(0.2::DOUBLE, x + m))), 6) AS adjustment FROM findings GROUP BY tool")
 def a25(spark, sf):
     out = score.clamped_walk(views.findings(spark, sf).withColumn("up", F.col("value") > 50), "tool", "up", "ord")
     return out.select("tool", F.bround("adjustment", 6).alias("adjustment"))

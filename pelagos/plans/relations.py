@@ -57,13 +57,11 @@ def j5(spark, sf):
     return joins.interval_join(f.where("tool = 'slither'").select("ord", "file", "line"), spans, "file", "line", "lo", "hi").select("ord", "bug")
 
 
-@query("j9_similar_sets", "t AS (SELECT vec_id, list_distinct(list_transform(embedding[1:12], lambda x, i: i || ':' || floor(x * 1.5)::INT)) AS s FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round_even(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity FROM t a JOIN t b ON a.vec_id < b.vec_id WHERE len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) >= 0.8")
+@query("j9_similar_sets", "t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS s FROM documents), k AS (SELECT doc_id, s, len(s) AS n FROM t WHERE len(s) >= 20), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS both_n, len(list_intersect(a.s, b.s)) AS shared FROM k a JOIN k b ON a.doc_id < b.doc_id AND a.n >= 0.9 * b.n AND b.n >= 0.9 * a.n) SELECT a, b, round_even(shared::DOUBLE / (both_n - shared), 6) AS similarity FROM p WHERE shared::DOUBLE / (both_n - shared) >= 0.9")
 def j9(spark, sf):
-    """Vectors as sets of rough coordinates, joined by Jaccard similarity."""
-    e = views.table(spark, sf, "embeddings")
-    items = F.transform(F.slice("embedding", 1, 12), lambda x, i: F.concat_ws(":", (i + 1).cast("string"), F.floor(x.cast("double") * 1.5).cast("int").cast("string")))
-    out = joins.similar_sets(e.select("vec_id", items.alias("s")), "vec_id", "s", 0.8)
-    return out.withColumn("similarity", F.bround("similarity", 6))
+    """Documents as sets of words, joined by Jaccard similarity of 0.9 or more."""
+    d = views.table(spark, sf, "documents").select("doc_id", F.array_distinct(text.words()).alias("s")).where(F.size("s") >= 20)
+    return joins.similar_sets(d, "doc_id", "s", 0.9).withColumn("similarity", F.bround("similarity", 6))
 
 
 @query("j12_lookup_joins", f"SELECT ord, {WEIGHT} AS weight, c.category, controls FROM (SELECT ord, tool, {CATEGORY} AS category FROM findings) c LEFT JOIN (SELECT category, count(*) AS controls FROM (VALUES " + ", ".join(f"('{c}', '{x}')" for c, xs in schema.CONTROLS.items() for x in xs) + ") t(category, control) GROUP BY 1) d ON c.category = d.category")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -48,81 +49,81 @@ def once_within(events: DataFrame, keys: list[str], time: str, late: str) -> Dat
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def _accept_limited(times: list[float], state: list[float], calls: int, period: float) -> tuple[list[bool], list[float]]:
-    out = []
-    for t in times:
-        state = [x for x in state if x > t - period]
-        out.append(len(state) < calls)
-        if out[-1]:
-            state.append(t)
-    return out, state
+def _limited(calls: int, period: float):
+    """Whether a row is accepted, given the times of accepted rows, which are kept up to date."""
 
+    def step(t: float, held: list[float]) -> bool:
+        while held and held[0] <= t - period:
+            held.pop(0)
+        if len(held) < calls:
+            held.append(t)
+            return True
+        return False
 
-def _accept_spaced(times: list[float], last: float | None, gap: float) -> tuple[list[bool], float | None]:
-    out = []
-    for t in times:
-        out.append(last is None or t - last >= gap)
-        if out[-1]:
-            last = t
-    return out, last
+    return step
 
 
-def _per_key(events: DataFrame, key: str, time: str, step, empty) -> DataFrame:
-    """Rows of each key in time order through ``step(times, state) -> (accepted, state)``, in streams with kept state.
+def _spaced(gap: float):
+    def step(t: float, held: list[float]) -> bool:
+        if held and t - held[0] < gap:
+            return False
+        held[:] = [t]
+        return True
 
-    A batch comes split at the gaps that ``step`` forgets, so that a key with very many rows is many small groups; the
-    first row after such a gap is always accepted.
+    return step
+
+
+def _per_key(events: DataFrame, key: str, time: str, step, pause: float) -> DataFrame:
+    """Adds ``accepted``: rows of each key in time order through ``step(time, held)``.
+
+    A stream keeps ``held`` as state. A batch deals a key out by its pauses: after ``pause`` seconds without a row the
+    steps forget, so each stretch between pauses stands alone, and a key with very many rows is many stretches. Sorted
+    partitions are read row by row; no stretch is gathered.
     """
     columns = events.columns
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields) + ", accepted boolean"
-    seconds = lambda s: [x.timestamp() for x in s]
 
     def stateful(_key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else list(empty)
+        held = list(state.get[0]) if state.exists else []
         for rows in frames:
             rows = rows.sort_values(time, kind="stable")
-            accepted, held = step(seconds(rows[time]), held)
-            yield rows[columns].assign(accepted=accepted)
+            yield rows[columns].assign(accepted=[step(t.timestamp(), held) for t in rows[time]])
         state.update((held,))
 
     if events.isStreaming:
         return events.groupBy(key).applyInPandasWithState(stateful, out_schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
-    def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([time, *[c for c in columns if c.endswith("_id") and c != key]], kind="stable")
-        return rows[columns].assign(accepted=step(seconds(rows[time]), list(empty))[0])
-
-    first = events.where("stretch_rows = 1").withColumn("accepted", F.lit(True))
-    return events.where("stretch_rows > 1").groupBy(key, "stretch").applyInPandas(whole, out_schema).unionByName(first)
+    place = len(columns)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            accepted = []
+            keys, stretches, times = (batch.column(i).to_pylist() for i in (columns.index(key), place, place + 1))
+            for k, s, t in zip(keys, stretches, times, strict=True):
+                if (k, s) != last:
+                    last, held = (k, s), []
+                accepted.append(step(t / 1e6, held))
+            yield pa.record_batch([*batch.columns[:place], pa.array(accepted, pa.bool_())], [*columns, "accepted"])
 
-def _stretches(events: DataFrame, key: str, time: str, gap: float) -> DataFrame:
-    """Adds ``stretch``: rows of a key after a pause of ``gap`` seconds or more start anew, as the operators below forget."""
-    from pyspark.sql import Window
-
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
     w = Window.partitionBy(key).orderBy(time)
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    pause = micros(F.col(time)) - micros(F.lag(time).over(w)) >= int(gap * 1e6)
-    marked = events.withColumn("pause", F.coalesce(pause.cast("int"), F.lit(0))).withColumn("stretch", F.sum("pause").over(w)).drop("pause")
-    return marked.withColumn("stretch_rows", F.count("*").over(Window.partitionBy(key, "stretch")))
+    fresh = F.coalesce((micros - F.lag(micros).over(w) >= int(pause * 1e6)).cast("int"), F.lit(0))
+    marked = events.withColumn("__fresh", fresh).withColumn("__stretch", F.sum("__fresh").over(w)).withColumn("__at", micros)
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ties = [c for c in columns if c.endswith("_id") and c != key]
+    dealt = marked.repartition(n, key, "__stretch").sortWithinPartitions(key, "__stretch", time, *ties)
+    return dealt.select(*columns, "__stretch", "__at").mapInArrow(run, out_schema)
 
 
 def rate_limit(events: DataFrame, key: str, time: str, calls: int, period: float) -> DataFrame:
     """Adds ``accepted``: at most ``calls`` accepted rows of a key in any ``period`` seconds; rejected ones do not count."""
-    rows = events if events.isStreaming else _stretches(events, key, time, period)
-    out = _per_key(rows, key, time, lambda t, s: _accept_limited(t, s, calls, period), [])
-    return out.drop("stretch", "stretch_rows")
+    return _per_key(events, key, time, _limited(calls, period), period)
 
 
 def debounce(events: DataFrame, key: str, time: str, gap: float) -> DataFrame:
     """Adds ``accepted``: rows at least ``gap`` seconds after the last accepted row of their key."""
-
-    def step(times: list[float], held: list[float]) -> tuple[list[bool], list[float]]:
-        accepted, last = _accept_spaced(times, held[0] if held else None, gap)
-        return accepted, [] if last is None else [last]
-
-    rows = events if events.isStreaming else _stretches(events, key, time, gap)
-    return _per_key(rows, key, time, step, []).drop("stretch", "stretch_rows")
+    return _per_key(events, key, time, _spaced(gap), gap)
 
 
 def upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str):
