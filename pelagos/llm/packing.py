@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from pelagos.llm import common
 
 #: Tokenizer results kept per Python worker, about 200 bytes each.
-CACHE = 1_000_000
+CACHE = 300_000
 #: Longest chunk that is kept, in bytes.
 KEPT = 64
 #: Marks that end a word; the tokenizer never joins them to the letter or digit before.
