@@ -35,7 +35,7 @@ def correlated(findings: DataFrame, tolerance: int = 5) -> DataFrame:
     rows = findings.join(groups, "ord")
     weight = S.lookup(schema.TOOL_WEIGHT, F.col("tool"), 0.5)
     signal = F.when(F.lower("severity").isin("info", "low"), 0.3).otherwise(0.1) + F.when(F.col("confidence") < 0.3, 0.3).otherwise(0.0)
-    tools = F.count_distinct("tool")
+    tools = S.few_distinct(F.col("tool"))
     out = rows.groupBy("group").agg(
         tools.alias("tools"), F.count("*").alias("n"), F.bround(F.max(F.coalesce("confidence", F.lit(0.7))), 6).alias("base"),
         F.bround(F.avg(weight), 6).alias("reliability"), F.bround(F.avg(signal), 6).alias("fp"), F.max(S.lookup(schema.SEVERITY_ORDER, F.lower("severity"), 0)).alias("worst"),

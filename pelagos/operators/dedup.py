@@ -36,7 +36,7 @@ def semantic(findings: DataFrame, width: int = 15) -> DataFrame:
         noisy_or(F.col("weight")).alias("confidence"),
         F.max_by(F.struct("ord", "tool", "severity", "type", "line", "message"), "pick").alias("best"),
         F.array_sort(F.collect_set("tool")).alias("tools"),
-        F.count_distinct("tool").alias("tool_count"),
+        S.few_distinct(F.col("tool")).alias("tool_count"),
         F.count("*").alias("n_findings"),
     )
 
@@ -51,9 +51,10 @@ def exact(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def first_per(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
-    """The first row of each key by ``order``: an aggregate, not a window, so it is combined before the shuffle."""
+    """The first row of each key by ``order`` (different within a key): an aggregate, not a window, so it is combined before
+    the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, *[f"r.{c}" for c in rest])
+    return rows.groupBy(*keys).agg(*[(F.min(c) if c == order else F.min_by(c, order)).alias(c) for c in rest])
 
 
 def votes(findings: DataFrame, models: int, strategy: str = "majority", threshold: int = 2, width: int = 5) -> DataFrame:

@@ -44,8 +44,8 @@ def merge_groups(rows: DataFrame, group: list[str], boost: float = 0.15) -> Data
         F.max_by("severity", "pick").alias("severity"),
         F.max_by("line", "pick").alias("line"),
         F.array_sort(F.collect_set("tool")).alias("tools"),
-        F.count_distinct("tool").alias("confirmations"),
-        F.least(F.lit(1.0), F.max("confidence") + (F.count_distinct("tool") - 1) * boost).alias("confidence"),
+        S.few_distinct(F.col("tool")).alias("confirmations"),
+        F.least(F.lit(1.0), F.max("confidence") + (S.few_distinct(F.col("tool")) - 1) * boost).alias("confidence"),
         F.max_by("message", "length").alias("message"),
         F.count("*").alias("n_findings"),
     )
@@ -110,7 +110,7 @@ def consensus(findings: DataFrame, prior: float = 0.15, keep: float = 0.30, widt
     grouped = rows.groupBy("type", "file", "bucket").agg(
         F.sum(F.ln(weight / (1 - weight))).alias("evidence"),
         F.count("*").alias("tool_count"),
-        F.count_distinct(S.lookup(schema.TOOL_LAYER, F.col("tool"), 0)).alias("layer_count"),
+        S.few_distinct(S.lookup(schema.TOOL_LAYER, F.col("tool"), 0)).alias("layer_count"),
     )
     odds = F.ln(F.lit(prior / (1 - prior))) + F.col("evidence") + F.when(F.col("layer_count") >= 2, 0.5).otherwise(0.0) + F.when(F.col("layer_count") >= 3, 0.3).otherwise(0.0)
     posterior = F.least(1 / (1 + F.exp(-odds)), F.lit(0.98))

@@ -203,7 +203,7 @@ def d3(spark, sf):
 @query("d5_consensus_groups", "SELECT type, file, (line // 10) * 10 AS bucket, count(DISTINCT tool) AS tools, count(*) AS n FROM findings GROUP BY ALL")
 def d5(spark, sf):
     f = views.findings(spark, sf)
-    return f.groupBy("type", "file", S.bucket(F.col("line"), 10).alias("bucket")).agg(F.count_distinct("tool").alias("tools"), F.count("*").alias("n"))
+    return f.groupBy("type", "file", S.bucket(F.col("line"), 10).alias("bucket")).agg(S.few_distinct(F.col("tool")).alias("tools"), F.count("*").alias("n"))
 
 
 @query("d6_exact_collapse", "SELECT type, file, function, line, array_to_string(list_transform(list_sort(list({'o': o, 't': tool})), lambda x: x.t), ',') AS tools, min(o) AS first_ord, sum(n)::BIGINT - 1 AS collapsed FROM (SELECT type, file, function, line, tool, min(ord) AS o, count(*) AS n FROM findings GROUP BY ALL) GROUP BY ALL")
@@ -324,7 +324,7 @@ def a44(spark, sf):
 def a13(spark, sf):
     """Functions with findings of two or more categories; only a group whose worst is high is raised to critical."""
     g = views.findings(spark, sf).groupBy("file", "function").agg(
-        F.count_distinct(S.category(F.col("type"))).alias("kinds"), F.max(S.lookup(schema.SEVERITY_ORDER, F.lower("severity"), 0)).alias("worst"), F.count_if(F.col("severity") == "Critical").alias("critical")
+        S.few_distinct(S.category(F.col("type"))).alias("kinds"), F.max(S.lookup(schema.SEVERITY_ORDER, F.lower("severity"), 0)).alias("worst"), F.count_if(F.col("severity") == "Critical").alias("critical")
     )
     named = F.when(F.col("worst") == 3, "critical").when(F.col("worst") == 4, "high").otherwise("medium")
     return g.where("kinds >= 2").select("file", "function", "kinds", "critical", named.alias("severity"))

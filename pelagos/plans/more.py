@@ -84,7 +84,7 @@ def a29(spark, sf):
 
 @query("a45_type_coverage", "SELECT tool, count(DISTINCT type) AS types, round_even(count(DISTINCT type) / 37.0::DOUBLE, 6) AS coverage FROM findings WHERE value > 100 GROUP BY tool")
 def a45(spark, sf):
-    g = views.findings(spark, sf).where("value > 100").groupBy("tool").agg(F.count_distinct("type").alias("types"))
+    g = views.findings(spark, sf).where("value > 100").groupBy("tool").agg(S.few_distinct(F.col("type")).alias("types"))
     return g.withColumn("coverage", F.bround(F.col("types") / 37.0, 6))
 
 
@@ -101,7 +101,7 @@ def j14(spark, sf):
     f = views.findings(spark, sf).select("ord", "tool", "file", "type", "line", "confidence")
     model, static = f.where("tool = 'smartllm'"), f.where(F.col("tool").isin("slither", "aderyn"))
     near = joins.band_join(model, static, ["file"], 5, "left")
-    v = near.groupBy("ord").agg(F.first(F.coalesce("confidence", F.lit(0.7))).alias("c"), F.count_distinct(F.when(F.col("r_type") == F.col("type"), F.col("r_tool"))).alias("typed"), F.count("r_ord").alias("near"))
+    v = near.groupBy("ord").agg(F.first(F.coalesce("confidence", F.lit(0.7))).alias("c"), S.few_distinct(F.when(F.col("r_type") == F.col("type"), F.col("r_tool"))).alias("typed"), F.count("r_ord").alias("near"))
     change = F.when(F.col("typed") > 0, 0.25).when(F.col("near") > 0, 0.15).otherwise(-0.2)
     return v.select("ord", "typed", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c") + change)), 6).alias("confidence"))
 

@@ -92,7 +92,7 @@ def j15(spark, sf):
 
 @query("j17_same_place_tools", "SELECT file, line, count(DISTINCT tool) AS tools FROM findings GROUP BY file, line HAVING count(DISTINCT tool) > 1")
 def j17(spark, sf):
-    return views.findings(spark, sf).groupBy("file", "line").agg(F.count_distinct("tool").alias("tools")).where("tools > 1")
+    return views.findings(spark, sf).groupBy("file", "line").agg(S.few_distinct(F.col("tool")).alias("tools")).where("tools > 1")
 
 
 @query("j18_paired_join", "a AS (SELECT file, max(value) AS v FROM findings WHERE tool = 'slither' GROUP BY file), b AS (SELECT file, max(value) AS v FROM findings WHERE tool = 'mythril' GROUP BY file) SELECT a.file, a.v AS on_value, b.v AS off_value FROM a JOIN b ON a.file = b.file")
