@@ -35,9 +35,13 @@ def visible(page: str) -> str:
     return html.unescape(MARKUP.sub(" ", page))
 
 
+#: A-Z to a-z, every other ASCII byte that is no letter to a blank: digits, marks and symbols are of no language.
+LETTERS = bytes(b if b > 127 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
+
+
 def trigrams(text: str) -> np.ndarray:
-    """Buckets of all byte trigrams of ``text`` with A-Z lowered and each white space run one blank."""
-    data = np.frombuffer(b" %b " % b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), np.uint8).astype(np.uint32)
+    """Buckets of all byte trigrams of the letters of ``text``, each run of anything else between them one blank."""
+    data = np.frombuffer(b" %b " % b" ".join(text.encode("utf-8", "surrogatepass").translate(LETTERS).split()), np.uint8).astype(np.uint32)
     if len(data) < 3:
         return np.zeros(0, np.uint32)
     return ((data[:-2] << 16 | data[1:-1] << 8 | data[2:]) * np.uint32(2654435761)) >> np.uint32(17)
