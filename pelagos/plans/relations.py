@@ -209,8 +209,8 @@ def a42(spark, sf):
 
 @query("t6_keywords", "w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) SELECT doc_id, count(*) FILTER (WHERE length(w) >= 4 AND w NOT IN (" + ", ".join(f"'{x}'" for x in text.STOP_WORDS) + ")) AS n FROM w GROUP BY doc_id")
 def t6(spark, sf):
-    out = text.keywords(views.table(spark, sf, "documents")).select("doc_id", F.size("keywords").cast("long").alias("n"))
-    return out.join(views.table(spark, sf, "documents").where(F.col("text").rlike("[A-Za-z]")).select("doc_id"), "doc_id", "left_semi")
+    worded = views.table(spark, sf, "documents").where(F.col("text").rlike("[A-Za-z]"))
+    return text.keywords(worded).select("doc_id", F.size("keywords").cast("long").alias("n"))
 
 
 @query("t7_bm25", "q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(substr(text, 1, 60)), '[a-z]+'))) AS term FROM benchmark WHERE item_id % 10 = 0), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ts FROM documents), n AS (SELECT count(*) AS n, avg(len(ts)) AS m FROM d), tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term) SELECT q.query_id, tf.doc_id, round_even(sum(ln((n.n - df.df + 0.5) / (df.df + 0.5) + 1) * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * tf.len / n.m))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), n GROUP BY ALL")

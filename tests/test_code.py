@@ -115,3 +115,28 @@ def test_triage_model(spark):
     assert auc > 0.95
     scored = learn.score(rows, model)
     assert scored.count() == rows.count() and scored.where("p_real between 0 and 1").count() == rows.count()
+
+
+def test_detectors_are_table_functions(spark, docs):
+    from pelagos.functions import detectors
+
+    detectors.REGISTRY["broken"] = lambda text: iter([1 / 0])
+    try:
+        names = detectors.register(spark)
+        assert "detect_todo" in names
+        spark.createDataFrame([(1, "a\n// TODO b"), (2, None)], "doc_id long, text string").createOrReplaceTempView("sources")
+        got = spark.sql("SELECT doc_id, d.* FROM sources, LATERAL detect_todo(text) d").collect()
+        assert [tuple(r) for r in got] == [(1, "todo", 2, "// TODO b")]
+        assert {r.rule for r in spark.sql("SELECT d.* FROM sources, LATERAL detect_broken(text) d").collect()} == {"error"}
+    finally:
+        del detectors.REGISTRY["broken"]
+
+
+def test_sub_clusters(spark):
+    from pelagos.operators import clusters
+
+    rows = [(0, "t", "High", "arithmetic", "a", "f", 1, "sum may overflow", 0.5), (1, "t", "High", "arithmetic", "a", "f", 2, "sum may overflow!", 0.5), (2, "t", "Low", "arithmetic", "zz", "f", 3, "quite another thing", 0.5), (3, "t", "Low", "timestamp", "a", "f", 3, "sum may overflow", 0.5)]
+    f = spark.createDataFrame(rows, FINDING)
+    got = {r.ord: r.cluster for r in clusters.sub_clusters(f).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert {r.cluster: r.n for r in clusters.summary(f, clusters.sub_clusters(f)).collect()} == {0: 2, 2: 1, 3: 1}
