@@ -31,9 +31,8 @@ def test_scores_match_a_plain_sum(spark, documents):
     rows = documents.selectExpr("doc_id id", "text", "cast(null as string) declared", "cast(null as string) suffix", "cast(null as string) host", "cast(null as string) domain")
     got = {r.id: r for r in language.identify(rows, (langs, table)).collect()}
     for r in documents.collect():
-        letters = "".join(c.lower() if c.isascii() else c for c in r.text)
-        data = (" " + " ".join("".join(c if not c.isascii() or c.isalpha() else " " for c in letters).split(" ")) + " ").encode()
-        data = b" " + b" ".join(x for x in data.split(b" ") if x) + b" "
+        letters = "".join(c if not c.isascii() else c.lower() if c.isalpha() else " " for c in r.text)
+        data = (" " + " ".join(x for x in letters.split(" ") if x) + " ").encode()
         sums = np.zeros(len(langs))
         for i in range(len(data) - 2):
             x = data[i] << 16 | data[i + 1] << 8 | data[i + 2]
