@@ -278,8 +278,9 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, words:
     label = _labelled(prints, lambda n: drawn_masks(n, similarity, words), radius_of(similarity, words))
     group = prints.join(label.select(*names(words), "component"), names(words))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
-    keep = group.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.tag").alias("__tag"))
-    tagged = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__tag": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    missing = lambda c: F.coalesce(c, F.lit(-1))
-    same = (missing(tagged["__id"]) == missing(keep["__id"])) & (tagged["__tag"] == keep["__tag"]) & tagged["__id"].eqNullSafe(keep["__id"])
-    return tagged.join(keep, same, "left_semi").dropDuplicates(["__id", "__tag"]).select(*docs.columns)
+    picked = group.groupBy("component").agg(F.min(order).alias("k")).select("k.doc_id", "k.tag")
+    # Both sides by one pair of keys, the null id told apart by its tag: the texts are shuffled once for join and distinct.
+    keys = lambda tag: {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__tag": F.xxhash64(tag, F.col("doc_id").isNull())}
+    keep = common.materialize(picked.withColumns(keys(F.col("tag"))).select("__id", "__tag"), "kept")
+    tagged = docs.withColumns(keys(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    return tagged.join(keep, ["__id", "__tag"], "left_semi").dropDuplicates(["__id", "__tag"]).select(*docs.columns)
