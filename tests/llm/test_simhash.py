@@ -1,5 +1,9 @@
+import random
 import re
+import tracemalloc
 
+import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -35,20 +39,61 @@ def test_matches_brute_force(documents):
     assert got == brute([(r.doc_id, r.text) for r in documents.collect()])
 
 
-def test_many_near_fingerprints_in_tile_pairs(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", 16)
-    fps = [(i * 0x9E3779B97F4A7C15 ^ (1 << i % 64)) % (1 << 12) | (i % 7) << 40 for i in range(400)]
-    fps = sorted(set(fps))
-    points = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "f0 long, node long")
-    masks = [[m] for m in simhash.block_masks(3, 4)]
-    got = {r.node: r.component for r in common.components(simhash.links(points, masks, 3)).collect()}
-    group = list(range(len(fps)))
-    for i in range(len(fps)):
+def grouped(n, linked):
+    group = list(range(n))
+    for i in range(n):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3 and group[i] != group[j]:
+            if group[i] != group[j] and linked(i, j):
                 hi, lo = max(group[i], group[j]), min(group[i], group[j])
                 group = [lo if g == hi else g for g in group]
-    assert {i: got.get(i, i) for i in range(len(fps))} == dict(enumerate(group))
+    return group
+
+
+@pytest.mark.parametrize("sheet", [16, 100])
+def test_many_near_fingerprints_in_pairs_of_sheets(spark, monkeypatch, sheet):
+    monkeypatch.setattr(simhash, "SHEET", sheet)
+    monkeypatch.setattr(simhash, "STEP", 8)
+    fps = [(i * 0x9E3779B97F4A7C15 ^ (1 << i % 64)) % (1 << 12) | (i % 7) << 40 for i in range(400)]
+    fps = sorted(set(fps))
+    points = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "f0 long, node long")
+    keys = [F.col("f0").bitwiseAND(F.lit(simhash._signed(m))) for m in simhash.block_masks(3, 4)]
+    got = {r.node: r.component for r in common.components(simhash.links(points, keys, 1, 3)).collect()}
+    want = grouped(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3)
+    assert {i: got.get(i, i) for i in range(len(fps))} == dict(enumerate(want))
+
+
+def test_one_component_needs_no_pairs_of_sheets(spark, monkeypatch):
+    """Rows of one large group of near copies are dealt twice, then once more: not once per other sheet."""
+    monkeypatch.setattr(simhash, "SHEET", 64)
+    rows = [(7, i, (1 << i % 60) | (1 << i // 60)) for i in range(1200)]
+    dealt = []
+    real = common.tuned
+    monkeypatch.setattr(common, "tuned", lambda df, by, factor=1: dealt.append(df.count()) or real(df, by, factor))
+    edges = simhash.sheet_links(spark.createDataFrame(rows, "key long, node long, f0 long"), 1, 4)
+    assert {r.component for r in common.components(edges).collect()} == {0}
+    assert dealt[0] == 2400 and dealt[-1] <= 1.5 * 1200
+
+
+def test_memory_of_a_sheet_of_near_rows():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 63, 4, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (2048, 4), dtype=np.uint64))
+    fps = fps[np.argsort(np.bitwise_count(fps).sum(axis=1), kind="stable")]
+    tracemalloc.start()
+    label = simhash._tile_labels(fps, 0, 56)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (label == 0).all() and peak < 16 << 20
+    label = simhash._tile_labels(fps, 0, 56, lambda a, b: True)
+    assert (label == 0).all()
+
+
+def test_sheets_of_long_sets_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHEET_BYTES", 4000)
+    sets = [np.arange(i // 10 * 1000, i // 10 * 1000 + 100 + i % 10, dtype=np.uint32).tobytes() for i in range(60)]
+    rows = [(1, i, 0, bytearray(x)) for i, x in enumerate(sets)]
+    edges = simhash.sheet_links(spark.createDataFrame(rows, "key long, node long, f0 long, shingles binary"), 1, 3, 0.8)
+    got = {r.node: r.component for r in common.components(edges).collect()}
+    assert got == {i: i // 10 * 10 for i in range(60)}
 
 
 def test_awkward_rows(awkward, nothing):
@@ -67,8 +112,6 @@ def test_components_long_chain(spark):
 
 
 def test_near_copies_of_that_similarity_go(spark):
-    import random
-
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
     rows, groups = [], []
@@ -89,3 +132,28 @@ def test_near_copies_of_that_similarity_go(spark):
     kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {min(g) for g in groups} <= kept
     assert len(kept) <= 1.05 * len(groups)
+
+
+def jaccard(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def test_pairs_at_the_threshold(spark):
+    """Planted pairs of similarity 0.8 and just above: nine in ten at least go; pairs below 0.8 all stay."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    rows, above, below = [], set(), set()
+    while len(above) < 300 or len(below) < 300:
+        text = [word() for _ in range(400)]
+        copy = list(text)
+        for at in range(7, 400, rng.choice([46, 48, 50, 44, 42, 40])):
+            copy[at] = word()
+        s = jaccard(*(set(simhash.shingles(" ".join(t), 5)) for t in (text, copy)))
+        side = above if 0.8 <= s < 0.82 else below if 0.76 < s < 0.8 else None
+        if side is not None and len(side) < 300:
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(copy))]
+            side.add(len(rows) - 1)
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert below <= kept
+    assert len(above & kept) <= 0.1 * len(above)
+    assert {i for i in range(0, len(rows), 2)} <= kept
