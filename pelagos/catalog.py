@@ -6,7 +6,7 @@ from pelagos.plans import registry
 
 
 def _load() -> None:
-    from pelagos.plans import extra, findings, more, relations  # noqa: F401
+    from pelagos.plans import extra, findings, more, relations, tools  # noqa: F401
 
 
 def queries() -> dict:

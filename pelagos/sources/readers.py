@@ -39,7 +39,10 @@ def manifest(spark: SparkSession, manifest_path: str, files: DataFrame) -> DataF
     """Annotated datasets: entries joined to the files there are, one row per annotated weakness."""
     shape = "name string, path string, pragma string, source string, vulnerabilities array<struct<category:string,lines:array<int>>>"
     entries = spark.read.schema(shape).option("multiLine", True).json(manifest_path)
-    joined = entries.join(files.select(F.col("path").alias("file_path"), "text"), F.col("file_path").endswith(F.col("path")))
+    # A file stands for every tail of its path, so that entries and files meet by equality.
+    parts = F.split("path", "/")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    joined = entries.join(files.select(F.explode(tails).alias("path"), "text"), "path")
     return joined.select("name", "path", "text", F.explode_outer("vulnerabilities").alias("v")).select("name", "path", "text", "v.category", "v.lines")
 
 
@@ -48,45 +51,7 @@ def incidents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"incidents array<struct<{shape.replace(' string', ':string').replace(' long', ':long')}>>").option("multiLine", True).json(path).select(F.explode("incidents").alias("i")).select("i.*")
 
 
-#: How a tool's own document becomes raw findings: path of the array, and its field for each raw field.
-ADAPTERS = {
-    "detector-list": ("results.detectors", {"type": "check", "severity": "impact", "message": "description", "confidence": "confidence"}),
-    "issue-list": ("issues", {"type": "title", "severity": "severity", "message": "description", "line": "lineno", "file": "filename"}),
-    "match-list": ("matches", {"type": "rule", "severity": "level", "message": "text", "line": "line", "file": "path"}),
-    "test-list": ("tests", {"type": "name", "severity": "status", "message": "error", "function": "function", "file": "contract"}),
-    "proof-list": ("rules", {"type": "rule", "severity": "status", "message": "counterexample", "function": "function"}),
-    "finding-list": ("findings", {"type": "type", "severity": "severity", "message": "message", "line": "line", "file": "file", "function": "function", "confidence": "confidence"}),
-    "vulnerability-list": ("vulnerabilities", {"type": "vulnerability_type", "severity": "severity", "message": "explanation", "line": "line", "function": "function", "confidence": "confidence"}),
-}
-#: Kind of document that each tool's captured output is.
-TOOL_KIND = {
-    "detector-list": ("slither", "wake", "semgrep", "smartbugs_detector", "upgradability_checker"),
-    "issue-list": ("aderyn", "solhint", "fouranalyzer", "mythril", "oyente", "manticore", "pakala", "solcmc", "smtchecker"),
-    "match-list": ("gas_analyzer", "mev_detector", "threat_model", "defi", "advanced_detector", "crosschain", "zk_circuit", "bridge_monitor", "l2_validator", "circom_analyzer", "cairo", "solana", "move", "near", "stellar", "algorand", "cardano"),
-    "test-list": ("echidna", "medusa", "foundry", "dogefuzz", "vertigo", "hardhat"),
-    "proof-list": ("halmos", "certora", "propertygpt", "scribble"),
-    "finding-list": ("dagnn", "smartbugs_ml", "smartguard", "peculiar", "contract_clone_detector", "llmbugscanner", "audit_consensus", "exploit_synthesizer", "vuln_verifier", "remediation_validator"),
-    "vulnerability-list": ("smartllm", "gptscan", "llmsmartaudit", "gptlens", "llamaaudit", "iaudit", "frontier_llm"),
-}
-
-
-def collect(spark: SparkSession, outputs: dict[str, str]) -> DataFrame:
-    """Captured outputs of several tools, ``tool -> path``, as one table of raw findings."""
-    kind = {tool: k for k, tools in TOOL_KIND.items() for tool in tools}
-    frames = [adapt(spark, path, kind.get(tool, "finding-list"), tool) for tool, path in outputs.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def adapt(spark: SparkSession, path: str, adapter: str, tool: str) -> DataFrame:
-    """``tool, raw`` rows of captured tool output: a schema and a projection per kind of tool, as data."""
-    array, fields = ADAPTERS[adapter]
-    shape = f"array<struct<{','.join(f'`{f}`:string' for f in sorted(set(fields.values())))}>>"
-    for part in reversed(array.split(".")):
-        shape = f"struct<{part}:{shape}>"
-    docs = spark.read.option("wholetext", True).text(path).select(F.from_json("value", shape).alias("d"))
-    rows = docs.select(F.explode(f"d.{array}").alias("x"))
-    raw = F.to_json(F.struct(*[F.col(f"x.{source}").alias(name) for name, source in fields.items()]))
-    return rows.select(F.lit(tool).alias("tool"), F.from_json(raw, schema.RAW_FINDING).alias("raw"))
+def tool_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """``ord, tool, contract, body`` of captured outputs in folders named after their tools, for ``tools.collect``."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
+    return files.select(F.xxhash64("path").alias("ord"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("tool"), F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("contract"), "body")

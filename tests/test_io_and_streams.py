@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pelagos.operators import normalize
 from pelagos.sinks import writers
-from pelagos.sources import readers
+from pelagos.sources import readers, tools
 from pelagos.streaming import events as streams
 
 FINDING = "ord long, tool string, severity string, type string, file string, function string, line int, message string, confidence double"
@@ -71,9 +71,13 @@ def test_other_readers(spark, tmp_path):
     assert [(r.category, r.text) for r in files.collect()] == [("reentrancy", "contract A {}\n")]
     (tmp_path / "m.json").write_text(json.dumps([{"name": "a.sol", "path": "reentrancy/a.sol", "vulnerabilities": [{"category": "re", "lines": [1, 2]}]}, {"name": "gone", "path": "gone.sol"}]))
     assert [(r.name, r.lines) for r in readers.manifest(spark, str(tmp_path / "m.json"), files).collect()] == [("a.sol", [1, 2])]
-    (tmp_path / "tool.json").write_text(json.dumps({"results": {"detectors": [{"check": "tx-origin", "impact": "High", "description": "d", "confidence": "Medium"}]}}))
-    row = normalize.normalize(readers.adapt(spark, str(tmp_path / "tool.json"), "detector-list", "slither")).first()
-    assert (row.tool, row.type, row.severity, row.confidence) == ("slither", "tx-origin", "high", 0.7)
+    (tmp_path / "out/slither").mkdir(parents=True)
+    (tmp_path / "out/slither/c.json").write_text(json.dumps({"results": {"detectors": [{"check": "tx-origin", "impact": "High", "description": "d", "confidence": "Medium"}]}}))
+    (tmp_path / "out/hardhat").mkdir()
+    (tmp_path / "out/hardhat/d.txt").write_text("ok\na/b.sol:3:4: Warning: Unused variable\n")
+    rows = {r.tool: r for r in tools.collect(readers.tool_outputs(spark, str(tmp_path / "out"))).collect()}
+    assert (rows["slither"].type, rows["slither"].severity, rows["slither"].confidence, rows["slither"].swc_id) == ("tx-origin", "High", 0.75, "SWC-115")
+    assert (rows["hardhat"].type, rows["hardhat"].file, rows["hardhat"].line) == ("unused_variable", "a/b.sol", 3)
     (tmp_path / "l.jsonl").write_text('{"a": 1}\nbroken\n')
     assert readers.json_lines(spark, str(tmp_path / "l.jsonl"), "a int").where("_corrupt_record is null").collect()[0].a == 1
     (tmp_path / "i.json").write_text(json.dumps({"incidents": [{"id": "1", "name": "n", "amount_lost_usd": 5}]}))
@@ -120,3 +124,9 @@ def test_streams_match_batches(spark, tmp_path):
     from pelagos.operators import storage
 
     assert {(r.k, r.event_id) for r in storage.latest(spark.read.parquet(str(tmp_path / "up")), ["k"], F.col("batch")).collect()} == {("k0", 57), ("k1", 58), ("k2", 59)}
+
+
+@pytest.mark.parametrize("shape", sorted(tools.SHAPES))
+def test_broken_outputs_give_no_rows(spark, shape):
+    rows = spark.createDataFrame([(1, "c", None), (2, "c", ""), (3, "c", "{"), (4, "c", "[]"), (5, "c", "{}")], "ord long, contract string, body string")
+    assert tools.normalize(rows, shape).collect() == []
