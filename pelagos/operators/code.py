@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,16 +40,22 @@ def normalized(code: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " "), r"\s+", " "))
 
 
+BRACE = re.compile(r"[{}]")
+
+
 def _cut(code: str) -> list[tuple[str, int, int, str, str]]:
     out = []
+    line, counted = 1, 0
     for m in HEAD.finditer(code):
-        depth, end = 1, m.end()
-        while end < len(code) and depth:
-            depth += {"{": 1, "}": -1}.get(code[end], 0)
-            end += 1
+        depth, end = 1, len(code)
+        for brace in BRACE.finditer(code, m.end()):
+            depth += 1 if brace[0] == "{" else -1
+            if not depth:
+                end = brace.end()
+                break
         name = m[2] or m[3] or m[1].split()[0]
-        first = code.count("\n", 0, m.start()) + 1
-        out.append((name, first, first + code.count("\n", m.start(), end), m[0][:-1].strip(), code[m.end() : end - 1 if not depth else end]))
+        line, counted = line + code.count("\n", counted, m.start()), m.start()
+        out.append((name, line, line + code.count("\n", m.start(), end), m[0][:-1].strip(), code[m.end() : end - 1 if not depth else end]))
     return out
 
 
@@ -110,33 +117,56 @@ def ir_calls(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.select("*", part(1).alias("kind"), part(2).alias("destination"), part(3).alias("target")).where("kind <> ''")
 
 
-#: Our own rules over code: name, pattern, pattern that makes it harmless nearby, category, severity.
+#: Rules over code: name, pattern, pattern that makes it harmless, where that must stand (within some lines, in the function, in
+#: the file), category, severity.
 CODE_RULES = [
-    ("external-call-value", r"\.call\{?\s*value|\.call\.value\(", r"nonReentrant", "reentrancy", "high"),
-    ("origin-authorization", r"tx\.origin\s*[!=]=", None, "access-control", "high"),
-    ("destruct", r"\bselfdestruct\s*\(|\bsuicide\s*\(", r"onlyOwner", "access-control", "critical"),
-    ("delegate", r"\.delegatecall\s*\(", None, "access-control", "high"),
-    ("block-time", r"\bblock\.timestamp\b|\bnow\b", None, "time-manipulation", "low"),
-    ("block-random", r"\bblockhash\s*\(|\bblock\.(?:difficulty|prevrandao)\b", None, "bad-randomness", "medium"),
-    ("ignored-send", r"^\s*[\w.\[\]()]+\.send\s*\(", r"require|if\s*\(", "unchecked-call", "medium"),
-    ("ignored-call", r"^\s*[\w.\[\]()]+\.call\s*[({]", r"require|\(bool", "unchecked-call", "medium"),
-    ("loop-over-length", r"for\s*\([^)]*\.length", None, "denial-of-service", "low"),
-    ("transient-store", r"\btstore\s*\(", r"\btstore\s*\([^,]+,\s*0\s*\)", "transient-storage", "medium"),
-    ("spot-price", r"\bgetReserves\s*\(|\bslot0\s*\(", r"\bobserve\s*\(|\btwap\b", "oracle", "high"),
-    ("unlimited-approval", r"approve\s*\([^,]+,\s*(?:type\(uint256\)\.max|uint256\(-1\)|~uint256\(0\))", None, "defi", "low"),
-    ("assembly-block", r"\bassembly\s*(?:\"[^\"]*\"\s*)?\{", None, "low-level", "info"),
-    ("unchecked-block", r"\bunchecked\s*\{", None, "integer-overflow", "low"),
-    ("bridge-without-nonce", r"\b(?:relay|bridge)Message\s*\(", r"nonce", "bridge", "high"),
+    ("call-with-value", r"\.call\s*\{\s*value|\.call\.value\s*\(", r"\bnonReentrant\b", "function", "reentrancy", "high"),
+    ("origin-compared", r"\btx\.origin\s*[!=]=|[!=]=\s*tx\.origin\b", None, "line", "access-control", "high"),
+    ("contract-ends", r"\b(?:selfdestruct|suicide)\b\s*\(", r"\bonlyOwner\b", "function", "access-control", "critical"),
+    ("foreign-code", r"\.delegatecall\s*[({]", None, "line", "access-control", "high"),
+    ("clock-read", r"\b(?:block\s*\.\s*timestamp|now)\b", None, "line", "time-manipulation", "low"),
+    ("block-as-dice", r"\bblockhash\s*\(|\bblock\.(?:difficulty|prevrandao)\b", r"\bVRF\w*", "file", "bad-randomness", "medium"),
+    ("send-unread", r"^\s*[\w.\[\]()]+\.send\s*\(", r"\brequire\b", "window", "unchecked-call", "medium"),
+    ("call-unread", r"^\s*[\w.\[\]()]+\.call\s*[({]", r"\(bool\b", "window", "unchecked-call", "medium"),
+    ("loop-to-length", r"\bfor\s*\([^;]*;[^;]*\.length\b", r"\bbreak\b", "function", "denial-of-service", "low"),
+    ("sends-in-loop", r"\bfor\b.*\.(?:send|transfer)\s*\(", None, "line", "denial-of-service", "medium"),
+    ("transient-kept", r"\btstore\s*\(", r"\btstore\s*\([^,]+,\s*0\s*\)", "function", "transient-storage", "medium"),
+    ("spot-price", r"\bgetReserves\s*\(|\bslot0\s*\(", r"\bobserve\s*\(|\b[tT][wW][aA][pP]", "file", "oracle", "high"),
+    ("endless-approval", r"\bapprove\s*\([^,]+,\s*(?:type\(uint256\)\.max|uint256\(-1\)|~uint256\(0\))", None, "line", "defi", "low"),
+    ("assembly", r"\bassembly\s*(?:\"[^\"]*\"\s*)?\{", None, "line", "low-level", "info"),
+    ("unchecked-block", r"\bunchecked\s*\{", None, "line", "integer-overflow", "low"),
+    ("old-compiler", r"\bpragma\s+solidity\s+[^0-9]*0\.[4-7]\.", r"\busing\s+SafeMath\b", "file", "integer-overflow", "low"),
+    ("bridge-unnumbered", r"\b(?:relay|bridge)Message\s*\(", r"\bnonces?\b", "file", "bridge", "high"),
 ]
+#: Lines that open a function-like block.
+OPENS = r"\b(?:function|constructor|modifier|fallback|receive)\b"
 
 
 def detect(docs: DataFrame, rules: list[tuple] = CODE_RULES, key: str = "doc_id", window: int = 3) -> DataFrame:
-    """Rule hits over comment-free code with category and severity: one reading for all rules."""
-    lines = text_ops.lines_of(docs.withColumn("text", without_comments(F.col("text"))), key)
-    hits = text_ops.scan(lines, [r[:3] for r in rules], key, window)
-    kinds = F.create_map(*[F.lit(x) for r in rules for x in (r[0], f"{r[3]}|{r[4]}")])
-    kind = F.split(F.element_at(kinds, F.col("rule")), r"\|")
-    return hits.select(key, "line_no", "rule", kind[0].alias("category"), kind[1].alias("severity"))
+    """``(key, line_no, rule, category, severity)``: rule hits over comment-free code that nothing in the rule's scope makes
+    harmless.
+
+    One reading of the lines for all rules. A hit and a harmless line meet by document, rule and place: the line itself and
+    those around it, the function, or the file; so only hits are shuffled, never lines.
+    """
+    all_lines = F.split(without_comments(F.col("text")), "\n")
+    heads = F.filter(F.transform("all", lambda x, i: F.when(x.rlike(OPENS), i)), lambda i: i.isNotNull())
+    lines = docs.select(F.col(key), all_lines.alias("all")).select(key, heads.alias("heads"), F.posexplode("all").alias("n", "line"))
+    named = lambda patterns: F.array_compact(F.array(*[F.when(F.col("line").rlike(p), F.lit(i)) for i, p in patterns]))
+    block = F.size(F.filter("heads", lambda h: h <= F.col("n")))
+    found = lines.select(
+        key, F.col("n"), block.alias("block"), named([(i, r[1]) for i, r in enumerate(rules)]).alias("hits"), named([(i, r[2]) for i, r in enumerate(rules) if r[2]]).alias("guards")
+    ).where((F.size("hits") > 0) | (F.size("guards") > 0))
+    table = lambda k, kind: F.element_at(F.array(*[F.lit(r[k]).cast(kind) for r in rules]), F.col("i") + 1)
+    places = lambda reach: (
+        F.when(table(3, "string") == "file", F.array(F.lit("file")))
+        .when(table(3, "string") == "function", F.array(F.concat(F.lit("b"), F.col("block"))))
+        .otherwise(F.transform(F.sequence(F.col("n") - reach, F.col("n") + reach), lambda x: F.concat(F.lit("l"), x)))
+    )
+    hits = found.select(key, "n", "block", F.explode("hits").alias("i")).select(key, "n", "i", places(0)[0].alias("place"))
+    guards = found.select(F.col(key).alias("g_key"), "n", "block", F.explode("guards").alias("i")).select("g_key", F.col("i").alias("g_i"), F.explode(places(window)).alias("g_place")).distinct()
+    open_hits = hits.join(guards, (F.col(key) == F.col("g_key")) & (F.col("i") == F.col("g_i")) & (F.col("place") == F.col("g_place")), "left_anti")
+    return open_hits.select(key, (F.col("n") + 1).alias("line_no"), table(0, "string").alias("rule"), table(4, "string").alias("category"), table(5, "string").alias("severity"))
 
 
 def first_per_category(hits: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -144,6 +174,75 @@ def first_per_category(hits: DataFrame, key: str = "doc_id") -> DataFrame:
     return hits.groupBy(key, "category").agg(F.min(F.struct("line_no", "rule", "severity")).alias("h")).select(key, "category", "h.line_no", "h.rule", "h.severity")
 
 
+def hit_summary(hits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per category and severity: hits, documents, first line of all."""
+    return hits.groupBy("category", "severity").agg(F.count("*").alias("hits"), F.count_distinct(key).alias("documents"), F.min("line_no").alias("first_line"))
+
+
+#: Traits that decide which economic rules apply to a contract: patterns of which all must be found.
+TRAITS = {
+    "vault": (r"\bdeposit\s*\(", r"\bwithdraw\s*\("),
+    "token": (r"\btransfer\s*\(", r"\bbalance(?:s|Of)\b"),
+    "spot_price": (r"\bgetReserves\s*\(|\bslot0\s*\(",),
+    "guarded": (r"\bnonReentrant\b",),
+}
+
+
+def traits(docs: DataFrame, wanted: dict[str, tuple[str, ...]] = TRAITS, key: str = "doc_id") -> DataFrame:
+    """A flag per trait: whether all its patterns are found in the code, comments left out."""
+    plain = docs.select(key, without_comments(F.col("text")).alias("plain"))
+    flag = lambda patterns: reduce(lambda a, b: a & b, [F.col("plain").rlike(p) for p in patterns])
+    return plain.select(key, *[flag(p).alias(name) for name, p in wanted.items()])
+
+
+TOKEN = r"[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+|[-+*/%=<>!&|^~]+|[(){}\[\];,.?:]"
+KEYWORDS = ("contract", "function", "public", "external", "internal", "private", "return", "if", "else", "for", "while", "emit", "require", "assembly", "import", "pragma", "mapping")
+
+
+def token_classes(docs: DataFrame, key: str = "doc_id", n: int = 2) -> DataFrame:
+    """Per document: tokens of each class, and how many different runs of ``n`` tokens there are."""
+    tokens = docs.select(key, F.regexp_extract_all(without_comments(F.col("text")), F.lit(TOKEN), F.lit(0)).alias("t"))
+    of = lambda test: F.size(F.filter("t", test))
+    word = r"^[A-Za-z_$]"
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("t", i, n), " "))
+    return tokens.select(
+        key, F.size("t").alias("tokens"), of(lambda x: x.isin(*KEYWORDS)).alias("keywords"), of(lambda x: x.rlike(word) & ~x.isin(*KEYWORDS)).alias("identifiers"),
+        of(lambda x: x.rlike("^[0-9]")).alias("numbers"), of(lambda x: x.rlike(r"^[-+*/%=<>!&|^~]")).alias("operators"),
+        F.when(F.size("t") >= n, F.size(F.array_distinct(runs))).otherwise(0).alias("different_runs"),
+    )
+
+
+def repo_calls(blocks: DataFrame, repo: str, key: str = "doc_id") -> DataFrame:
+    """Edges ``(repo, src_doc, src, dst_doc, dst)`` of the call graph over all documents of a repository: a call goes to the
+    function of that name in the same document if there is one, else to every one in the repository."""
+    names = F.array_except(F.array_distinct(F.regexp_extract_all("body", F.lit(CALL), F.lit(1))), F.array(*map(F.lit, NOT_CALLS)))
+    called = blocks.select(repo, F.col(key).alias("src_doc"), F.col("name").alias("src"), F.explode(names).alias("dst"))
+    known = blocks.select(repo, F.col(key).alias("dst_doc"), F.col("name").alias("dst")).distinct()
+    own = called.join(known.withColumnRenamed("dst_doc", "src_doc"), [repo, "src_doc", "dst"], "left_semi").withColumn("dst_doc", F.col("src_doc"))
+    other = called.join(known.withColumnRenamed("dst_doc", "src_doc"), [repo, "src_doc", "dst"], "left_anti").join(known, [repo, "dst"])
+    columns = [repo, "src_doc", "src", "dst_doc", "dst"]
+    return own.select(*columns).unionByName(other.select(*columns)).distinct()
+
+
+def graph_summary(blocks: DataFrame, edges: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per document: functions, open ones, guarded ones, ones that call out, and edges between them."""
+    flags = nodes(blocks, key)
+    counted = flags.groupBy(key).agg(
+        F.count("*").alias("functions"), F.count_if(F.col("visibility") == "open").alias("open"), F.count_if("guarded").alias("guarded"), F.count_if("calls_out").alias("calls_out")
+    )
+    return counted.join(edges.groupBy(key).agg(F.count("*").alias("edges")), key, "left").na.fill(0, ["edges"])
+
+
+def state_uses(lines: DataFrame, variables: tuple[str, ...], line: str = "line") -> DataFrame:
+    """Lines of intermediate code that assign ``X(type) := Y(type)``: the state variable written, and those read."""
+    left = F.regexp_extract(line, r"^\s*(\w+)\([^)]*\)\s*:?=", 1)
+    right = F.regexp_extract(line, r":?=\s*(.*)$", 1)
+    names = F.array_distinct(F.regexp_extract_all(right, F.lit(r"(\w+)\("), F.lit(1)))
+    state = F.array(*map(F.lit, variables))
+    rows = lines.select("*", F.when(F.array_contains(state, left), left).alias("written"), F.array_sort(F.array_intersect(names, state)).alias("read"))
+    return rows.where("written is not null or size(read) > 0")
+
+
 def indicator_score(docs: DataFrame, indicators: list[str], anti: list[str], severity_bonus: float, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pattern confidence: 0.7 for each indicator occurrence per indicator, less up to 0.4 for anti-patterns, plus the
     severity's bonus and 0.2, clamped to [0, 1]; documents without an indicator are left out."""

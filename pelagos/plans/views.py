@@ -58,6 +58,30 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("src"), other.alias("dst")).where("src <> dst").distinct()
 
 
+#: Source code of one contract per part ``k``, in SQL that reads alike in Spark and in the comparison.
+CONTRACT = " || chr(10) || ".join([
+    "'pragma solidity ^0.' || (4 + k % 5) || '.' || (k % 20) || ';'",
+    "'import \"@lib/pack' || (k % 3) || '/token.sol\";'",
+    "'contract C' || k || ' {'",
+    "'  // tx.origin == owner'",
+    "'  function a' || (k % 3) || '(uint x) public ' || CASE WHEN k % 4 = 0 THEN 'onlyOwner ' ELSE '' END || '{'",
+    "'    ' || CASE k % 6 WHEN 0 THEN 'msg.sender.call{value: x}(\"\");' WHEN 1 THEN 'require(tx.origin == owner);' WHEN 2 THEN 'selfdestruct(owner);' WHEN 3 THEN 'uint r = uint(blockhash(1));' WHEN 4 THEN 'assembly { tstore(0, x) }' ELSE 'total += x;' END",
+    "'    balances[msg.sender] = 0;'",
+    "'  }'",
+    "'  function b(uint n) external ' || CASE WHEN k % 3 = 0 THEN 'nonReentrant ' ELSE '' END || '{'",
+    "'    a' || (k % 2) || '(1);'",
+    "'    for (uint i = 0; i < list.length; i++) { list[i].send(n); }'",
+    "'    ' || CASE WHEN k % 5 = 0 THEN 'require(n > 0);' ELSE 'uint p = pair.getReserves();' END",
+    "'    ' || CASE k % 7 WHEN 0 THEN 'msg.sender.call{value: n}(\"\"); // twap' WHEN 1 THEN 'twapOf(n);' WHEN 2 THEN 'tstore(0, 0);' ELSE 'emit Done(n);' END",
+    "'  }'",
+    "'}'",
+])
+
+
+def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k")).select(F.col("k").alias("doc_id"), (F.col("k") % 50).alias("repo"), F.expr(CONTRACT).alias("text"))
+
+
 _TOOL = "[" + ", ".join(f"'{t}'" for t in TOOLS) + "]"
 _SEVERITY = "[" + ", ".join(f"'{s}'" for s in SEVERITIES) + "]"
 _TYPE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPES.items()) + " END"
@@ -70,5 +94,8 @@ SQL = {
     "baseline_run": "SELECT * REPLACE (line + CASE WHEN ord % 2 = 0 THEN 7 ELSE 0 END AS line) FROM findings WHERE ord % 3 <> 1",
     "tool_runs": "SELECT s_name AS tool, l_extendedprice AS time_ms, l_quantity AS found, l_returnflag <> 'R' AS success FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
     "doc_lines": "SELECT doc_id, n AS line_no, string_split(text, chr(10))[n] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)",
+    "contracts": f"SELECT k AS doc_id, k % 50 AS repo, {CONTRACT} AS text FROM (SELECT p_partkey::BIGINT AS k FROM part)",
+    "code_lines": "SELECT doc_id, repo, n, regexp_replace(l[n], '//.*', '') AS line, count(*) FILTER (WHERE regexp_matches(l[n], '\\bfunction\\b')) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM (SELECT doc_id, repo, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, repo, string_split(text, chr(10)) AS l FROM contracts))",
+    "blocks": "SELECT doc_id, repo, block, any_value(name) AS name, any_value(head) AS head, min(n) AS first_line, max(n) AS last_line, string_agg(line, chr(10) ORDER BY n) FILTER (WHERE n > first) AS body FROM (SELECT *, first_value(n) OVER w AS first, regexp_extract(first_value(line) OVER w, 'function (\\w+)', 1) AS name, first_value(line) OVER w AS head FROM code_lines WHERE block > 0 AND line <> '}' WINDOW w AS (PARTITION BY doc_id, block ORDER BY n)) GROUP BY doc_id, repo, block",
     "edges": "SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, unnest([p_partkey // 2, p_partkey // 3 + 1]) AS dst FROM part WHERE p_partkey < 2000) WHERE src <> dst",
 }

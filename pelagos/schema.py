@@ -44,6 +44,14 @@ SEVERITY_LABEL = {
 }
 GRADES = ((90, "A"), (80, "B"), (70, "C"), (60, "D"))
 CONFIDENCE_WORD = {"high": 0.9, "medium": 0.7, "low": 0.5}
+#: What fingerprints leave out of a message: fingerprints in stored baselines were made with just these.
+LINE_REFERENCE = (
+    r"(?i)"
+    r"\b(?:line|ln|row|col|column|position|offset)s?\s*[:#=]?\s*\d+(?:\s*[:,-]\s*\d+)?"
+    r"|(?<![\w.])[:@]\d+(?::\d+)?\b"
+    r"|\#\d+\b"
+    r"|\bL\d+\b"
+)
 #: CVSS metric weights.
 ATTACK_VECTOR = {"N": 0.85, "A": 0.62, "L": 0.55, "P": 0.2}
 ATTACK_COMPLEXITY = {"L": 0.77, "H": 0.44}

@@ -64,8 +64,8 @@ def test_versions_comments_imports(spark, docs):
 
 def test_rules_over_code(docs):
     hits = {(r.line_no, r.rule) for r in code.detect(docs).collect()}
-    assert (11, "external-call-value") in hits and (19, "origin-authorization") in hits
-    assert not any(rule == "destruct" for _, rule in hits)
+    assert (11, "call-with-value") in hits and (19, "origin-compared") in hits
+    assert not any(rule == "contract-ends" for _, rule in hits)
     assert not any(line == 10 for line, _ in hits)
     assert {r.category for r in code.first_per_category(code.detect(docs)).collect()} >= {"reentrancy", "access-control"}
     row = code.indicator_score(docs, [r"\.call\{", r"transfer\("], [r"onlyOwner"], 0.1).first()

@@ -193,3 +193,14 @@ def test_empty_inputs(spark):
     assert dedup.semantic(f).count() == dedup.near_pairs(f).count() == dedup.greedy(f).count() == score.security_score(f, ["file"]).count() == 0
     assert {r.n for r in score.risk_matrix(f).collect()} == {0}
     assert dedup.components(dedup.near_pairs(f), f).count() == score.consensus(f).count() == filters.gate(f, ["file"], "high", schema.SEVERITY_ORDER).count() == 0
+
+
+def test_fingerprints_leave_line_references_out(spark):
+    """Baselines that were stored earlier hold fingerprints made with these patterns."""
+    from pelagos import schema
+
+    styles = ["at line 12", "ln: 4", "row #7", "columns 3 - 9", "offset=5", "file.sol:10:4", "issue #33", "see L90", "L7 and L8"]
+    rows = spark.createDataFrame([(x,) for x in [*styles, "SWC-107 costs 5", "v1.2:3"]], "m string")
+    left = [r.x for r in rows.select(F.regexp_replace("m", schema.LINE_REFERENCE, "").alias("x")).collect()]
+    assert left[:9] == ["at ", "", "", "", "", "file.sol:10:4", "issue ", "see ", " and "]
+    assert left[9:] == ["SWC-107 costs 5", "v1.2:3"]
