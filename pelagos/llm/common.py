@@ -21,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share, as the session names it; a temporary one only where none is named."""
+    """The folder driver and executors share, as the session names it. Where none is named: a temporary one if all runs on
+    one machine, an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pelagos-"))
     return sc.getCheckpointDir()
 
@@ -55,6 +58,16 @@ def small_or_shuffled(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, ``row``, so that their names meet no others."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def unpacked(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``row``, those in ``changed`` replaced."""
+    return [changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, which is worked out once although the body uses it again and again."""
     return F.transform(F.array(value), body)[0]

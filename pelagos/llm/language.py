@@ -59,25 +59,31 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(x[at])], ["lang", "bucket", "n"])
 
 
-def fit(labelled: DataFrame, sample: int = 4000, least: int = 5, most: int = 64) -> tuple[list[str], np.ndarray]:
-    """Languages and their trigram log-probabilities, from about ``sample`` rows of ``labelled(doc_id, text, lang)``.
+def fit(labelled: DataFrame, per_language: int = 1000, most: int = 1000) -> tuple[list[str], np.ndarray]:
+    """Languages and their trigram log-probabilities, from about ``per_language`` rows of each ``lang`` of
+    ``labelled(doc_id, text, lang)``.
 
-    Rows are chosen by a hash of their id, so the choice spreads over the table and reruns agree. Languages with
-    fewer than ``least`` chosen rows are left out, and of more than ``most`` the rarest.
+    Rows are chosen by a hash of id and text, so the choice spreads over the table and reruns agree. Every language that
+    occurs is known, however rare; more than ``most`` of them are no languages and raise an error, as the table of
+    likelihoods goes to every task.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    share = min(1.0, sample / max(1, rows.count()))
-    chosen = rows.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    chosen = common.materialize(chosen.select("lang", "text"), "labelled")
-    known = chosen.groupBy("lang").count().where(F.col("count") >= least).orderBy(F.desc("count"), "lang").limit(most)
-    langs = sorted(r["lang"] for r in known.collect())
+    sizes = rows.groupBy("lang").count().orderBy("lang").limit(most + 1).collect()
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages")
+    langs = [r["lang"] for r in sizes]
+    if not langs:
+        return [], np.zeros((0, BUCKETS))
+    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, per_language / r["count"]) * (1 << 20)) + 1)])
+    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text"), F.lit(1 << 20))
+    chosen = rows.where(draw < F.element_at(shares, F.col("lang"))).select("lang", "text")
     table = np.full((len(langs), BUCKETS), 0.1)
     place = {x: i for i, x in enumerate(langs)}
-    counts = chosen.where(F.col("lang").isin(langs)).mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toArrow()  # a number per language and bucket at most
     row = np.array([place[x] for x in got["lang"].to_pylist()], np.int64)
     np.add.at(table, (row, got["bucket"].to_numpy().astype(np.int64)), got["n"].to_numpy())
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32) if langs else table
+    return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def _likelihoods(table: np.ndarray, markup: bool):
@@ -171,15 +177,15 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     )
 
 
-def with_language(docs: DataFrame, sample: int = 4000) -> DataFrame:
+def with_language(docs: DataFrame, per_language: int = 1000) -> DataFrame:
     """``docs`` without the rows that are rejected, ``lang`` as identified. Sources stand for hosts; nothing is declared.
 
-    Rows equal in text and source are identified alike, so they are joined back by a hash of both.
+    Rows equal in text and source are identified alike, so they are joined back by a hash of both. Other columns are
+    kept, whatever their names.
     """
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")))
     none = F.lit(None).cast("string")
-    keyed = docs.withColumn("__id", key)
-    rows = keyed.select(F.col("__id").alias("id"), "text", none.alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
-    found = identify(rows, fit(docs, sample)).groupBy("id").agg(F.max(F.struct("confidence", "lang", "accepted")).alias("f")).where("f.accepted")
-    joined = keyed.join(found.withColumnRenamed("id", "__id"), "__id").withColumn("lang", F.col("f.lang"))
-    return joined.select(*docs.columns)
+    keyed = docs.select(key.alias("id"), common.packed(docs))
+    rows = keyed.select("id", "row.text", none.alias("declared"), none.alias("suffix"), F.col("row.source").alias("host"), none.alias("domain"))
+    found = identify(rows, fit(docs, per_language)).groupBy("id").agg(F.max(F.struct("confidence", "lang", "accepted")).alias("f")).where("f.accepted")
+    return keyed.join(found, "id").select(*common.unpacked(docs, lang=F.col("f.lang")))

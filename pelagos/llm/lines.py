@@ -83,7 +83,8 @@ def recurring(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarity: fl
     templates = common.materialize(_templates(places, keyed, min_docs, similarity), "templates")
     of = places.join(common.small_or_shuffled(templates), "h").select("d", "tag", "line_no", "template")
     counted = of.select("template", "d", "tag").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("d", "tag")).alias("first"))
-    drop = of.join(counted.where(F.col("docs") >= min_docs), "template").where(F.struct("d", "tag") != F.col("first"))
+    counted = common.materialize(counted.where(F.col("docs") >= min_docs).select("template", "first"), "counted")
+    drop = of.join(common.small_or_shuffled(counted), "template").where(F.struct("d", "tag") != F.col("first"))
     return drop.groupBy("d", "tag").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
@@ -113,13 +114,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarity:
 
 
 def without_recurring_lines(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarity: float = 0.75) -> DataFrame:
-    """``docs`` with all its columns, ``text`` (and ``n_chars``, where there is one) after ``dedup_lines``."""
+    """``docs`` with all its columns, whatever their names, ``text`` (and ``n_chars``, where there is one) after ``dedup_lines``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__tag": F.xxhash64(text)})
-    drop = recurring(docs, min_docs, depth, similarity).select(F.col("d").alias("__d"), F.col("tag").alias("__tag"), F.col("dropped").alias("__dropped"))
-    joined = named.join(drop, ["__d", "__tag"], "left").withColumn("__lines", F.split("text", "\n"))
-    kept = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(_without(F.col("__lines"), F.col("__dropped")), "\n"))
-    out = joined.withColumn("text", kept)
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("tag"), F.split(text, "\n").alias("lines"), common.packed(docs))
+    joined = named.join(recurring(docs, min_docs, depth, similarity), ["d", "tag"], "left")
+    kept = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(F.array_join(_without(F.col("lines"), F.col("dropped")), "\n"))
+    parts = joined.select("row", "dropped", kept.alias("kept"))
+    changed = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__dropped").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("dropped").isNull(), F.col("row.n_chars")).otherwise(F.length("kept").cast("long"))
+    return parts.select(*common.unpacked(docs, **changed))

@@ -69,15 +69,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     joined back, so it is never gathered.
     """
     sizes = _sized(docs)
-    targets = source_targets(sizes, weights, share, ceiling).withColumnRenamed("source", "__source")
-    joined = sizes.join(targets, F.col("source").eqNullSafe(F.col("__source")))
+    targets = source_targets(sizes, weights, share, ceiling).withColumnRenamed("source", "of_source")
+    joined = sizes.join(targets, F.col("source").eqNullSafe(F.col("of_source")))
     return joined.select("doc_id", "source", "size", "source_size", "target", _copies(_rate(), F.col("doc_id"), seed).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, ceiling: float = 2.0, seed: int = 20240229) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it (0 times: left out); nulls and ties as in ``mix``."""
     targets = source_targets(_sized(docs), weights, share, ceiling)
-    rates = targets.select(F.col("source").alias("__source"), _rate().alias("__rate"))
-    taken = docs.join(rates, F.col("source").cast("string").eqNullSafe(F.col("__source")))
-    copies = F.array_repeat(F.lit(0), _copies(F.col("__rate"), F.col("doc_id"), seed).cast("int"))
-    return taken.select(*[docs[c] for c in docs.columns], F.explode(copies).alias("__copy")).drop("__copy")
+    rates = targets.select(F.col("source").alias("of_source"), _rate().alias("rate"))
+    taken = docs.select(common.packed(docs)).join(rates, F.col("row.source").cast("string").eqNullSafe(F.col("of_source")))
+    copies = F.array_repeat(F.lit(0), _copies(F.col("rate"), F.col("row.doc_id"), seed).cast("int"))
+    return taken.select("row", F.explode(copies).alias("copy")).select(*common.unpacked(docs))

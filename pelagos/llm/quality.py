@@ -154,10 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: i
     chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).withColumn("__good", F.lit(True))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(learn)
     share = min(1.0, unlabelled / max(1, docs.select("doc_id").where(learn).count()))
-    drawn = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(13)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    drawn = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text", F.lit(13)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
     # At most ``positives`` ids are broadcast.
     marked = rows.join(F.broadcast(chosen), "doc_id", "left").select("text", F.coalesce("__good", F.lit(False)).alias("good"), drawn.alias("drawn"))
-    sample = marked.where("good or drawn").mapInArrow(_featurize, "x array<double>, good boolean, drawn boolean").toPandas()
+    # One id or text may be most rows: equal rows of the sample are one, with a count, and weigh as many.
+    sample = marked.where("good or drawn").distinct().mapInArrow(_featurize, "x array<double>, good boolean, drawn boolean").toPandas()
     stacked = np.array(sample["x"].tolist(), np.float64).reshape(-1, N_FEATURES)
     order = np.lexsort(stacked.T)
     stacked, good_rows, drawn_rows = stacked[order], sample["good"].to_numpy(bool)[order], sample["drawn"].to_numpy(bool)[order]

@@ -13,7 +13,8 @@ CAPACITY = 2048
 SHINGLE, RADIUS = 3, 3
 #: The pipeline's near duplicates: five-word shingles, similarity 0.8 or more.
 NEAR = {"width": 5, "similarity": 0.8}
-LANGUAGE_SAMPLE = 4000
+#: Labelled documents of each language that text likelihoods are counted on.
+LANGUAGE_SAMPLE = 1000
 QUALITY = {"positives": 8000, "unlabelled": 8000}
 LINES = {"min_docs": 5, "depth": 3, "similarity": 0.75}
 

@@ -1,14 +1,18 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions only.
 
-Per language and source, the minimum covariance determinant is estimated by concentration steps on transformed
-statistics of the texts: distances under the current centre and covariance, the ``share`` of smallest distances,
-centre and covariance of those, again. Texts far from their group's centre by Mahalanobis distance are rejected.
+Per language and source, the minimum covariance determinant of transformed statistics of the texts is searched from
+several starts: the covariance of all rows and those of small hashed subsets. A concentration step takes the distances
+under a start's centre and covariance, keeps the ``share`` of smallest ones, and takes centre and covariance of those.
+After two steps the starts of least determinant go on until the determinant falls no more, and the least is kept. Texts
+far from their group's centre by Mahalanobis distance are rejected. Every step is one set of sums for all groups and
+starts; sums are of whole numbers, so that neither order nor layout of the rows changes a result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pelagos.llm import common
 
@@ -18,6 +22,10 @@ STATS = (("x_word_length", 0.1), ("x_symbols", 0.25), ("x_dup_lines", 0.35), ("x
 CONSISTENCY = 1.41
 #: 0.9999 quantile of chi2 with five degrees of freedom.
 CUTOFF = 25.74
+#: Statistics are counted in steps of 1 / SCALE, so that sums are exact.
+SCALE = 10_000
+#: Distances fall into this many classes each time they grow by e; the share of smallest ones ends with a class.
+CLASSES = 128
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WHITE = " \t\n\x0b\f\r"
@@ -72,15 +80,10 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def _grouped(rows: DataFrame, least: int) -> DataFrame:
-    """``rows`` with their group ``g``: language and source where it has ``least`` rows, else the rest of the language,
-    else all the rest; null where even that is too few."""
+def _levels(rows: DataFrame) -> DataFrame:
+    """``rows`` with the names of their groups: ``g2`` of language and source, ``g1`` of the language, ``g0`` of all."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    rows = rows.withColumns({"g_lang": name("lang"), "g": F.concat_ws("\x01", name("lang"), name("source"))})
-    for wider in (F.col("g_lang"), F.lit("rest"), F.lit(None).cast("string")):
-        enough = rows.where("g is not null").groupBy("g").count().where(F.col("count") >= least).select("g", F.lit(True).alias("enough"))
-        rows = rows.join(enough, "g", "left").withColumn("g", F.when(F.col("enough"), F.col("g")).otherwise(wider)).drop("enough")
-    return rows.drop("g_lang")
+    return rows.withColumns({"g2": F.concat_ws("\x01", F.lit("2"), name("lang"), name("source")), "g1": F.concat_ws("\x01", F.lit("1"), name("lang")), "g0": F.lit("0")})
 
 
 def _factor(params: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
@@ -91,7 +94,7 @@ def _factor(params: DataFrame, names: list[str], floors: list[float]) -> DataFra
             for k in range(j):
                 entry = entry - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             params = params.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(entry, F.lit(1e-12))) if i == j else entry / F.col(f"l_{j}_{j}"))
-    return params.drop(*[f"c_{i}_{j}" for i in range(len(names)) for j in range(i, len(names))])
+    return params
 
 
 def _distance(names: list[str]) -> list[tuple[str, Column]]:
@@ -112,47 +115,99 @@ def _far(rows: DataFrame, params: DataFrame, names: list[str]) -> DataFrame:
     return rows
 
 
-def estimate(rows: DataFrame, share: float = 0.75, steps: int = 4) -> DataFrame:
-    """Centre ``m_i`` and factor ``l_i_j`` per group of ``rows(g, x_...)`` after ``steps`` concentration steps.
+def _moments(near: DataFrame, names: list[str]) -> DataFrame:
+    """Rows ``n``, centre ``m_i`` and covariance ``c_i_j`` per group and start, out of exact sums."""
+    k = range(len(names))
+    whole = [F.round(F.col(n) * SCALE).cast("decimal(12,0)") for n in names]
+    sums = near.groupBy("g", "start").agg(
+        F.count("*").alias("n"),
+        *[F.sum(whole[i]).cast("double").alias(f"s_{i}") for i in k],
+        *[F.sum(whole[i] * whole[j]).cast("double").alias(f"p_{i}_{j}") for i in k for j in k if i <= j],
+    )
+    return sums.select(
+        "g", "start", "n",
+        *[(F.col(f"s_{i}") / F.col("n") / SCALE).alias(f"m_{i}") for i in k],
+        *[((F.col(f"p_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n")) / F.col("n") / SCALE**2).alias(f"c_{i}_{j}") for i in k for j in k if i <= j],
+    )
+
+
+def _step(rows: DataFrame, params: DataFrame, names: list[str], floors: list[float], share: float) -> DataFrame:
+    """Centre, covariance, factor and determinant of the ``share`` of rows nearest under ``params``, per group and start."""
+    far = _far(rows, params.select("g", "start", *[c for c in params.columns if c[:2] in ("m_", "l_")]), names)
+    far = far.select("g", "start", *names, F.floor(F.ln(F.greatest("d2", F.lit(1e-9))) * CLASSES).alias("class"))
+    counted = far.groupBy("g", "start", "class").count()
+    group = Window.partitionBy("g", "start")
+    upto = counted.select("g", "start", "class", F.sum("count").over(group.orderBy("class")).alias("upto"), F.sum("count").over(group).alias("all"))
+    cut = upto.where(F.col("upto") >= F.ceil(share * F.col("all"))).groupBy("g", "start").agg(F.min("class").alias("cut"))
+    near = far.join(cut, ["g", "start"]).where("class <= cut")
+    found = _factor(_moments(near, names), names, floors)
+    return found.withColumn("det", sum((F.ln(f"l_{i}_{i}") for i in range(1, len(names))), F.ln("l_0_0")))
+
+
+def _least(params: DataFrame, most: int) -> DataFrame:
+    """The ``most`` starts of least determinant of each group."""
+    place = F.row_number().over(Window.partitionBy("g").orderBy("det", "start"))
+    return params.withColumn("place", place).where(F.col("place") <= most).drop("place")
+
 
-    The first distances are from the medians, scaled by the median absolute deviations (least deviations applied).
-    Only sums and mergeable quantiles are taken of a group, so one that holds most rows is combined before the shuffle.
+def estimate(rows: DataFrame, share: float = 0.75, starts: int = 8, subset: int = 12, steps: int = 30) -> DataFrame:
+    """``g, n, m_i, c_i_j, det`` of least determinant per group of ``rows(g, draw, x_...)``.
+
+    ``starts`` hashed subsets of about ``subset`` rows (``draw`` decides) and the group as a whole take two concentration
+    steps; the two best go on until the determinant's logarithm falls by less than 1e-6, ``steps`` at most.
     """
     names, floors = [n for n, _ in STATS], [s for _, s in STATS]
-    k = range(len(names))
-    medians = rows.groupBy("g").agg(*[F.percentile_approx(n, 0.5, 10_000).alias(f"m_{i}") for i, n in enumerate(names)])
-    medians = common.materialize(medians, "medians")
-    spread = rows.join(medians, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"s_{i}") for i, n in enumerate(names)])
-    scaled = medians.join(spread, "g").select(
-        "g", *[f"m_{i}" for i in k], *[(F.pow(1.4826 * F.col(f"s_{i}"), 2) / CONSISTENCY if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in k for j in k if i <= j]
-    )
-    params = common.materialize(_factor(scaled, names, floors), "mcd")
+    sizes = rows.groupBy("g").agg(F.count("*").alias("size"))
+    unit = lambda k: F.shiftrightunsigned(F.xxhash64("draw", F.lit(k)), 11) / float(1 << 53)
+    chosen = F.array(F.lit(0), *[F.when(unit(k) < subset / F.col("size"), k) for k in range(1, starts + 1)])
+    drawn = rows.join(common.materialize(sizes, "sizes"), "g").select("g", *names, F.explode(F.array_compact(chosen)).alias("start"))
+    params = common.materialize(_factor(_moments(drawn, names), names, floors), "starts")
+    rows = rows.select("g", *names)
+    for _ in range(2):
+        params = common.materialize(_step(rows, params, names, floors, share), "mcd")
+    live = common.materialize(_least(params, 2), "mcd")
+    settled = []
     for _ in range(steps):
-        far = _far(rows, params, names).select("g", *names, "d2")
-        cut = far.groupBy("g").agg(F.percentile_approx("d2", share, 10_000).alias("cut"))
-        near = far.join(common.materialize(cut, "cut"), "g").where("d2 <= cut")
-        moments = near.groupBy("g").agg(
-            *[F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)],
-            *[F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in k for j in k if i <= j],
-        )
-        params = common.materialize(_factor(moments, names, floors), "mcd")
-    return params
+        after = common.materialize(_step(rows, live, names, floors, share), "mcd")
+        both = live.join(after.select("g", "start", F.col("det").alias("det_after")), ["g", "start"])
+        falls = F.col("det_after") < F.col("det") - 1e-6
+        settled.append(both.where(~falls).select(*live.columns))
+        live = common.materialize(after.join(both.where(falls).select("g", "start"), ["g", "start"]).select(*live.columns), "live")
+        if live.isEmpty():
+            break
+    for part in settled:
+        live = live.unionByName(part)
+    k = range(len(names))
+    return _least(live, 1).select("g", "n", *[f"m_{i}" for i in k], *[f"c_{i}_{j}" for i in k for j in k if i <= j], "det")
+
 
+def _shrunk(narrow: DataFrame, wide: DataFrame, prior: float, names: list[str]) -> DataFrame:
+    """Centre and covariance of each row of ``narrow``, those of its wider group mixed in as if ``prior`` rows were of them."""
+    values = [f"m_{i}" for i in range(len(names))] + [f"c_{i}_{j}" for i in range(len(names)) for j in range(i, len(names))]
+    wider = wide.select(F.col("g").alias("wider"), *[F.col(v).alias(f"w_{v}") for v in values])
+    mean = lambda v: (F.col("n") * F.col(v) + prior * F.col(f"w_{v}")) / (F.col("n") + prior)
+    return narrow.join(wider, "wider").select(*[c for c in narrow.columns if c not in (*values, "wider")], *[mean(v).alias(v) for v in values])
 
-def judge(docs: DataFrame, least: int = 50, share: float = 0.75, steps: int = 4, cutoff: float = CUTOFF) -> DataFrame:
+
+def judge(docs: DataFrame, prior: float = 50, share: float = 0.75, cutoff: float = CUTOFF) -> DataFrame:
     """The statistics, ``base_failed``, ``distance`` and ``kept`` of every row of ``docs(doc_id, text, lang, source)``.
 
     Rows that fail the base rules are not kept and not estimated from. A row is kept if its squared Mahalanobis
-    distance is at most ``cutoff``. Groups of fewer than ``least`` rows are judged with the rest of their language,
-    then with all the rest; rows that even then are too few to judge are kept (distance null). Null texts have no
-    words; null language or source are groups of their own; repeated rows count as often as they come; other columns
-    are ignored; an empty table gives no rows.
+    distance is at most ``cutoff``. The estimate of a language and source is mixed with its language's, weighing as
+    many rows as it rests on against ``prior``, and that of the language likewise with that of all rows: a group of one
+    row is judged by its language, one of thousands by itself. Null texts have no words; null language or source are
+    groups of their own; repeated rows count as often as they come; other columns are ignored; an empty table gives no
+    rows.
     """
     stats = common.materialize(statistics(docs), "statistics")
-    names = [n for n, _ in STATS]
-    rows = common.materialize(_grouped(stats.where(~F.col("base_failed")), least), "grouped")
-    params = estimate(rows.where("g is not null").select("g", *names), share, steps)
-    judged = _far(rows.where("g is not null"), params, names).select(*stats.columns, F.sqrt("d2").alias("distance"), (F.col("d2") <= cutoff).alias("kept"))
-    alone = rows.where("g is null").select(*stats.columns, F.lit(None).cast("double").alias("distance"), F.lit(True).alias("kept"))
+    names, floors = [n for n, _ in STATS], [s for _, s in STATS]
+    rows = _levels(stats.where(~F.col("base_failed")))
+    draw = F.xxhash64("doc_id", "n_words", "word_chars", *names).alias("draw")
+    found = common.materialize(estimate(rows.select(F.explode(F.array("g0", "g1", "g2")).alias("g"), draw, *names), share), "estimates")
+    level = lambda k: found.where(F.col("g").startswith(str(k)))
+    languages = _shrunk(level(1).withColumn("wider", F.lit("0")), level(0), prior, names)
+    groups = _shrunk(rows.select("g2", "g1").distinct().withColumnsRenamed({"g2": "g", "g1": "wider"}).join(level(2), "g"), languages, prior, names)
+    params = common.materialize(_factor(groups, names, floors).drop("n", "det"), "mcd")
+    judged = _far(rows.withColumnRenamed("g2", "g"), params, names).select(*stats.columns, F.sqrt("d2").alias("distance"), (F.col("d2") <= cutoff).alias("kept"))
     failed = stats.where("base_failed").select("*", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
-    return judged.unionByName(alone).unionByName(failed)
+    return judged.unionByName(failed)

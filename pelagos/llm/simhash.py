@@ -422,7 +422,7 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, words:
     # Candidate clusters, then what the exact sets confirm inside them.
     clusters = common.materialize(common.components(links(points, [F.col(k) for k in bands], words, radius)), "clusters")
     wanted = clusters.join(points, "node").select("node", _keys(F.col("tag")).alias("key"))
-    tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _keys(F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))).alias("key"))
+    tagged = docs.select(common.packed(docs), _keys(F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))).alias("key"))
     texts = tagged.join(common.small_or_shuffled(common.materialize(wanted, "wanted")), "key").select("node", F.col("row.text").cast("string").alias("text"))
     sets = common.materialize(_shingle_sets(texts.dropDuplicates(["node"]), width), "shingles")
     rows = clusters.withColumnRenamed("component", "key").join(points.select("node", *fs), "node").join(sets, "node").select("key", "node", *fs, "shingles")
@@ -432,4 +432,4 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, words:
     picked = group.groupBy("component").agg(F.min(order).alias("k")).select("k.doc_id", "k.tag")
     # Both sides by one key: the texts are shuffled once for join and distinct.
     keep = common.materialize(picked.select(_keys(F.col("tag")).alias("key")), "kept")
-    return tagged.join(keep, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    return tagged.join(keep, "key", "left_semi").dropDuplicates(["key"]).select(*common.unpacked(docs))

@@ -6,12 +6,13 @@ minimizer, so equal strings meet wherever they come from while the text is moved
 
 1. Segments are described (not carried) by minimizer, content hash and place. Equal segments of one batch are
    reduced to the earliest before the shuffle; a minimizer with very many different segments in a batch is
-   marked hot there, and its segments are dealt out by content instead.
+   marked hot there, and its segments are dealt out by content instead. Equal means minimizer and content hash
+   alike, 128 bits together.
 2. Where a minimizer's segments meet, a segment that is equal to an earlier one is removed whole. Minimizers
    with one occurrence are dropped. What is left are different segments with a common minimizer.
 3. Their texts are sorted as suffix arrays in bounded blocks (two-stage sorting), and strings equal to an
-   earlier neighbour by common prefix are removed. Strings of hot minimizers are dealt out one by one by their
-   128-bit hash instead, the earliest of each batch only.
+   earlier neighbour by common prefix are removed. The segments of hot minimizers, and of those with very many
+   different ones, are cut into single strings first, dealt out by hash and compared byte by byte in the blocks.
 4. The removed spans of each document are joined back to its text.
 """
 
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_digest
+from xxhash import xxh3_64_digest, xxh3_64_intdigest
 
 from pelagos.llm import common
 
@@ -33,6 +34,10 @@ GRAM = 32
 RUN = 256
 #: Different segments of one minimizer in one batch from which on it is hot.
 HOT = 64
+#: Different segments of one minimizer altogether from which on they are spread as strings, so that a block is bounded.
+WIDE = 4096
+#: Described segments of one minimizer that are held at once.
+MOST = 200_000
 #: Bytes of text that are sorted at once.
 BLOCK = 2_000_000
 
@@ -240,43 +245,67 @@ def _describe(length: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow body: described segments sorted by ``p``; gives REMOVED, ONCE and SPREAD rows that matter."""
+    """mapInArrow body: described segments sorted by ``p``, marks first, then content and place; gives REMOVED, ONCE and
+    SPREAD rows that matter. A minimizer beyond ``MOST`` rows is settled a part at a time, its segments to be spread."""
 
-    def settle(cols: list[np.ndarray]) -> pa.RecordBatch:
+    def settle(cols: list[np.ndarray], forced: bool, known: int) -> pa.RecordBatch:
+        """``known`` first rows were given out before and are there to compare with."""
         p, kind, key, content, d, tag, start, n = cols
         plain = np.flatnonzero((kind != REMOVED) & (kind != SPREAD))
-        order = plain[np.lexsort((start[plain], tag[plain], d[plain], content[plain], kind[plain] != MARK, key[plain]))]
+        order = plain if known else plain[np.lexsort((start[plain], tag[plain], d[plain], content[plain], kind[plain] != MARK, key[plain]))]
         k, c = key[order], content[order]
         new_key = np.concatenate(([True], k[1:] != k[:-1]))[: len(k)]
         group = np.cumsum(new_key) - 1
         segment = kind[order] != MARK
-        marked = (np.bincount(group, weights=~segment) > 0)[group] if len(k) else np.zeros(0, bool)
+        marked = (np.bincount(group, weights=~segment) > 0)[group] | forced if len(k) else np.zeros(0, bool)
         order, group, marked, k, c = order[segment], group[segment], marked[segment], k[segment], c[segment]
         new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))[: len(k)]
         first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else np.zeros(0, int)
         same = (d[order] == d[order[first]]) & (tag[order] == tag[order[first]]) & (start[order] == start[order[first]])
-        several = (np.bincount(group, weights=new)[group] > 1) if len(k) else np.zeros(0, bool)
-        given, needed = np.flatnonzero((kind == REMOVED) | (kind == SPREAD)), new & (several | marked | (kind[order] == INNER))
+        count = np.bincount(group, weights=new)[group] if len(k) else np.zeros(0)
+        marked |= count > WIDE
+        given, needed = np.flatnonzero((kind == REMOVED) | (kind == SPREAD)), new & ((count > 1) | marked | (kind[order] == INNER))
+        needed &= order >= known
         out = np.concatenate((given, order[~same], order[needed]))
         what = np.concatenate((kind[given], np.full((~same).sum(), REMOVED), np.where(marked, SPREAD, ONCE)[needed]))
         return pa.record_batch([pa.array(what.astype(np.int32)), *(pa.array(x[out]) for x in (key, d, tag, start, n))], ["kind", "key", "d", "tag", "start", "n"])
 
-    held: list[np.ndarray] = []
+    def earliest(rows: list[np.ndarray]) -> list[np.ndarray]:
+        """The first row of the last content, to compare what follows with."""
+        same = np.flatnonzero(rows[3] == rows[3][-1])
+        return [x[same[:1]] for x in rows]
+
+    held: list[list[np.ndarray]] = []
+    forced, known, count = False, 0, 0
     for batch in batches:
         rows = [batch.column(i).to_numpy() for i in range(8)]
-        if held:
-            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-        if cut:
-            yield settle([x[:cut] for x in rows])
-        held = [x[cut:] for x in rows]
-    if held and len(held[0]):
-        yield settle(held)
+        if not len(rows[0]):
+            continue
+        if held and (rows[0][0] != held[0][0][0] or rows[0][-1] != held[0][0][0] or count + len(rows[0]) > MOST):
+            cut = int(np.searchsorted(rows[0], held[0][0][0], side="right")) if rows[0][0] == held[0][0][0] else 0
+            whole = [np.concatenate(x) for x in zip(*held, [x[:cut] for x in rows], strict=True)]
+            forced |= cut == len(rows[0])
+            yield settle(whole, forced, known)
+            if cut == len(rows[0]):
+                held, known = [earliest(whole)], 1
+                count = 1
+                continue
+            rows, held, forced, known, count = [x[cut:] for x in rows], [], False, 0, 0
+        if not held:
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut:
+                yield settle([x[:cut] for x in rows], False, 0)
+                rows = [x[cut:] for x in rows]
+        held.append(rows)
+        count += len(rows[0])
+    if held:
+        yield settle([np.concatenate(x) for x in zip(*held, strict=True)], forced, known)
 
 
 def _fetch(length: int):
-    """mapInArrow body: texts with their wanted segments ``(kind, key, start, n)`` to segments with text, and the
-    strings of hot minimizers by hash; of equal strings of one batch the earliest, the rest as removed."""
+    """mapInArrow body: texts with their wanted segments ``(kind, key, start, n)`` to segments with text; the strings of
+    minimizers to be spread become segments of their own, dealt out by their hash. Of equal strings of one batch the
+    earliest goes on, the rest are removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,12 +318,12 @@ def _fetch(length: int):
                         rows.append((ONCE, w["key"], d, tag, start, n, data[start : start + n + length - 1]))
                         continue
                     for s in range(start, start + n):
-                        h, place = xxh3_128_digest(data[s : s + length]), (d, tag, s)
-                        old = strings.get(h, place)
-                        strings[h] = min(old, place)
+                        string, place = data[s : s + length], (d, tag, s)
+                        old = strings.get(string, place)
+                        strings[string] = min(old, place)
                         if old != place:
                             rows.append((REMOVED, hash(place), *max(old, place), 1, b""))
-            rows += [(SPREAD, int.from_bytes(h[:8], "little", signed=True), *place, 1, h) for h, place in strings.items()]
+            rows += [(ONCE, int.from_bytes(xxh3_64_digest(x), "little", signed=True), *place, 1, x) for x, place in strings.items()]
             if rows:
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "key", "d", "tag", "start", "n", "data"])
@@ -303,7 +332,9 @@ def _fetch(length: int):
 
 
 def _sort_blocks(length: int):
-    """mapInArrow body: fetched segments sorted by key; gives the removed runs of strings."""
+    """mapInArrow body: fetched segments sorted by key; gives the removed runs of strings.
+
+    Equal bytes are one entry of a block; the different ones are sorted as one suffix array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -318,27 +349,22 @@ def _sort_blocks(length: int):
                 out.append((d, tag, start + a, b - a))
             block, size = {}, 0
 
-        string, earliest, last = None, None, None
+        last = None
         for batch in batches:
             for kind, key, d, tag, start, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == REMOVED:
                     out.append((d, tag, start, n))
-                elif kind == SPREAD:
-                    if data != string:
-                        string, earliest = data, (d, tag, start)
-                    elif (d, tag, start) != earliest:
-                        out.append((d, tag, start, 1))
-                else:
-                    if key != last and size > BLOCK:
-                        flush()
-                    last = key
-                    old = block.get(data)
-                    if old is None:
-                        block[data] = (d, tag, start)
-                        size += len(data)
-                    elif old != (d, tag, start):
-                        block[data] = min(old, (d, tag, start))
-                        out.append((*max(old, (d, tag, start)), n))
+                    continue
+                if key != last and size > BLOCK:
+                    flush()
+                last = key
+                old = block.get(data)
+                if old is None:
+                    block[data] = (d, tag, start)
+                    size += len(data)
+                elif old != (d, tag, start):
+                    block[data] = min(old, (d, tag, start))
+                    out.append((*max(old, (d, tag, start)), n))
             if len(out) > 50_000:
                 yield _places(out)
                 out.clear()
@@ -397,7 +423,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     )
     described = base.select("d", "tag", "data").mapInArrow(_describe(length), f"p long, kind int, key long, content long, {PLACE}")
     met = common.materialize(
-        common.tuned(described, ["p"]).sortWithinPartitions("p").mapInArrow(_meet, f"kind int, key long, {PLACE}"), "met"
+        common.tuned(described, ["p"]).sortWithinPartitions("p", F.col("kind") != MARK, "content", "d", "tag", "start").mapInArrow(_meet, f"kind int, key long, {PLACE}"), "met"
     )
     texts = common.tuned(base, ["d", "tag"])
     wanted = met.where(F.col("kind") != REMOVED).groupBy("d", "tag").agg(F.collect_list(F.struct("kind", "key", "start", "n")).alias("wanted"))

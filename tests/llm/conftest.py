@@ -44,7 +44,14 @@ def awkward(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(AWKWARD, SCHEMA)
-    return df.withColumns({c: F.lit("clash") for c in ("fp", "node", "size", "target", "rate", "length", "rank", "key", "idx", "count", "score", "line", "leaf", "h", "u", "v")})
+    return df.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) for c in CLASHES})
+
+
+#: Names that the operators use for columns of their own.
+CLASHES = (
+    "fp", "node", "size", "target", "rate", "length", "rank", "key", "idx", "count", "score", "line", "leaf", "h", "u", "v", "f", "id", "d", "tag", "row", "lines", "dropped", "kept",
+    "copy", "of_source", "__rate", "__source", "__d", "__tag", "__lines", "__dropped", "__id", "__copy", "accepted", "component", "f0", "k0", "shingles", "label", "a.b",
+)
 
 
 @pytest.fixture(scope="session")

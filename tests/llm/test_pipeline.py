@@ -84,6 +84,22 @@ def test_run_gives_the_last_stage(spark, stages):
 def test_awkward_documents_go_through(spark, awkward, nothing):
     for docs in (awkward, nothing):
         for name, stage in corpus_pipeline.STAGES:
+            before = docs
             docs = common.materialize(stage(spark, docs, SF), name)
+            if name != "pack":
+                # Columns whose names the operators use themselves keep their order and values.
+                assert docs.columns == before.columns
+                for r in docs.collect():
+                    assert all(r[c] == f"{c}:{'null' if r.doc_id is None else r.doc_id}" for c in docs.columns if c not in COLUMNS)
         assert docs.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert docs.count() == 0
+
+
+def test_very_long_texts_go_through(spark):
+    """A text of ten megabytes beside short ones, in every stage."""
+    text = " ".join(f"word{i % 9973} number{i % 7919}" for i in range(520_000))
+    rows = [(1, text, "en", "a", len(text)), (2, "a short text of some words in plain English", "en", "a", 43), (3, text + " end", "en", "b", len(text) + 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.materialize(stage(spark, docs, SF), name)
+    assert len(text) > 10_000_000 and {r.doc_id for r in docs.collect()} <= {1, 2}
