@@ -19,36 +19,34 @@ def _score(a: tuple, b: tuple) -> float:
     return 0.3 * near(a[0], b[0]) + 0.3 * near(a[1], b[1]) + 0.2 * (a[2] == b[2]) + 0.2
 
 
-def sub_clusters(findings: DataFrame, least: float = 0.7, most_anchors: int = 500) -> DataFrame:
-    """``(ord, cluster)``: in order of arrival, a finding joins the first cluster of its category whose first finding is
-    similar enough (0.3 type, 0.3 message, 0.2 file, 0.2 category); ``cluster`` is that first finding.
+def sub_clusters(findings: DataFrame, least: float = 0.7, within: str = "file") -> DataFrame:
+    """``(ord, cluster)``: in order of arrival, a finding joins the first cluster of its category and ``within`` whose first
+    finding is similar enough (0.3 type, 0.3 message, 0.2 file, 0.2 category); ``cluster`` is that first finding.
 
-    Findings equal in type, message and file score alike and are one row here, so a category is as large as its
-    *different* findings; sorted partitions are read row by row and only the anchors are held. Raises beyond
-    ``most_anchors`` of one category: cluster by file first then.
+    Findings equal in type, message and file score alike and are one row here, so a group is as large as its *different*
+    findings; sorted partitions are read row by row and only a group's first findings are held.
     """
-    base = findings.select("ord", S.category(F.col("type")).alias("category"), "type", "message", "file")
-    kinds = base.groupBy("category", "type", "message", "file").agg(F.min("ord").alias("first"))
+    base = findings.select("ord", S.category(F.col("type")).alias("category"), F.col(within).alias("within"), "type", "message", "file")
+    kinds = base.groupBy("category", "within", "type", "message", "file").agg(F.min("ord").alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, anchors = None, []
         for batch in batches:
             out = []
-            for category, first, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if category != last:
-                    last, anchors = category, []
+            for category, part, first, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (category, part) != last:
+                    last, anchors = (category, part), []
                 found = next((a for a in anchors if _score(tuple(row), a[1]) >= least), None)
                 if found is None:
-                    if len(anchors) >= most_anchors:
-                        raise ValueError(f"more than {most_anchors} clusters in {category}")
                     anchors.append(found := (first, tuple(row)))
                 out.append(found[0])
-            yield pa.record_batch([batch.column(1), pa.array(out, pa.int64())], ["first", "cluster"])
+            yield pa.record_batch([batch.column(2), pa.array(out, pa.int64())], ["first", "cluster"])
 
     n = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = kinds.repartition(n, "category").sortWithinPartitions("category", "first").select("category", "first", "type", "message", "file")
-    named = kinds.join(dealt.mapInArrow(run, "first long, cluster long"), "first").drop("first")
-    return base.join(named, ["category", "type", "message", "file"]).select("ord", "cluster")
+    dealt = kinds.repartition(n, "category", "within").sortWithinPartitions("category", "within", "first").select("category", "within", "first", "type", "message", "file")
+    named = kinds.join(dealt.mapInArrow(run, "first long, cluster long"), "first").select("category", "within", "type", "message", "file", "cluster")
+    on = [base[c].eqNullSafe(named[c]) for c in ("category", "within", "type", "message", "file")]
+    return base.join(named, on).select("ord", "cluster")
 
 
 def summary(findings: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +14,15 @@ def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 50) -> DataFram
     """``(start, node)``: every node that can be reached from each start, itself included. Semi-naive: each round joins
     only the pairs that are new, and lineage is cut with a checkpoint."""
     session.ensure_checkpoint_dir(edges.sparkSession)
-    known = starts.select("start", F.col("start").alias("node")).distinct().checkpoint()
-    new = known
+    new = starts.select("start", F.col("start").alias("node")).distinct().checkpoint()
+    known = [new]
     for _ in range(rounds):
         step = new.join(edges.select("src", "dst"), F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        new = step.join(known, ["start", "node"], "left_anti").checkpoint()
+        # Each round writes its new pairs only.
+        new = step.join(reduce(DataFrame.unionByName, known), ["start", "node"], "left_anti").checkpoint()
         if new.isEmpty():
-            return known
-        known = known.unionByName(new).checkpoint()
+            return reduce(DataFrame.unionByName, known)
+        known.append(new)
     raise RuntimeError(f"paths are longer than {rounds}")
 
 

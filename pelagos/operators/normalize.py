@@ -19,24 +19,26 @@ def flatten(results: DataFrame) -> DataFrame:
     return results.select("tool", "contract", F.posexplode("findings").alias("ord", "raw"))
 
 
-def normalize(rows: DataFrame, default_confidence: float = 1.0) -> DataFrame:
+def normalize(rows: DataFrame, default_confidence: float = 1.0, whole_location: bool = False) -> DataFrame:
     """``rows(tool, raw, ...)`` to the finding columns; other columns stay.
 
     Each field is the first of its names that is not null (severity, impact; type, check, name; ...). A missing
-    severity is medium, a missing type unknown, a missing confidence ``default_confidence``.
+    severity is medium, a missing type unknown, a missing confidence ``default_confidence``. With ``whole_location`` a
+    nested location wins whole: what it lacks is not looked up beside it.
     """
     raw = lambda *names: F.coalesce(*[F.col(f"raw.{n}") for n in names])
     text = lambda c, default: F.coalesce(S.blank_to_null(c), F.lit(default))
     rest = [c for c in rows.columns if c not in ("raw", "tool")]
+    beside = lambda c: F.when(F.col("raw.location").isNull(), c) if whole_location else c
     picked = rows.where(F.col("raw").isNotNull()).select(
         *rest,
         "tool",
         S.normalize_severity(F.coalesce(raw("severity", "impact"), F.lit("medium"))).alias("severity"),
         text(raw("type", "check", "name"), "unknown").alias("type"),
         F.coalesce(raw("message", "description", "title"), F.lit("")).alias("message"),
-        F.coalesce(F.col("raw.location.file"), F.col("raw.filename"), F.col("raw.file"), F.lit("")).alias("file"),
-        S.safe_line(F.coalesce(F.col("raw.location.line"), F.col("raw.lineno"), F.col("raw.line"))).alias("line"),
-        F.coalesce(F.col("raw.location.function"), F.col("raw.function"), F.lit("")).alias("function"),
+        F.coalesce(F.col("raw.location.file"), beside(F.coalesce("raw.filename", "raw.file")), F.lit("")).alias("file"),
+        S.safe_line(F.coalesce(F.col("raw.location.line"), beside(F.coalesce("raw.lineno", "raw.line")))).alias("line"),
+        F.coalesce(F.col("raw.location.function"), beside(F.col("raw.function")), F.lit("")).alias("function"),
         raw("swc_id", "swc").alias("swc_id"),
         raw("cwe_id", "cwe").alias("cwe_id"),
         F.coalesce(S.safe_confidence(F.col("raw.confidence")), F.lit(default_confidence)).alias("confidence"),

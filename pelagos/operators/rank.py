@@ -12,6 +12,11 @@ def top_per(rows: DataFrame, by: list[str], order: list[Column], k: int, name: s
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
+def first_rows(rows: DataFrame, order: list[Column], k: int, name: str = "place") -> DataFrame:
+    """The first ``k`` rows of all, numbered; each task keeps ``k`` of its own before they meet."""
+    return rows.orderBy(*order).limit(k).withColumn(name, F.row_number().over(Window.orderBy(*order)))  # k rows
+
+
 def enhanced_order(rows: DataFrame, rank: Column) -> list[Column]:
     """Most severe first, then most confident, then first come."""
     return [rank.desc(), F.col("confidence").desc(), F.col("ord").asc()]

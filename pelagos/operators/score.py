@@ -118,16 +118,13 @@ def consensus(findings: DataFrame, prior: float = 0.15, keep: float = 0.30, widt
 
 
 def ewma(samples: DataFrame, key: str, value: str, order: str, alpha: float = 0.3, start: float = 0.5) -> DataFrame:
-    """Exponentially weighted mean in order of ``order``; a fold, since each step needs the one before.
-
-    With weights alpha * (1 - alpha)^k the newest rows are all that count: the fold runs over the last 256 of a key,
-    beyond which nothing reaches a double's last digit, so a hot key is reduced before it is gathered.
-    """
-    recent = samples.withColumn("back", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))))
-    listed = recent.where("back <= 256").groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("vs"), F.max("back").alias("n")
-    )
-    return listed.select(key, F.aggregate("vs", F.lit(start), lambda m, v: (1 - alpha) * m + alpha * v).alias("ewma"))
+    """Exponentially weighted mean in order of ``order``: the newest value weighs alpha, the k-th before it
+    alpha * (1 - alpha)^k, and the start what is left. One sum of weighted values per key, so that no key is gathered."""
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))) - 1
+    weighed = samples.select(key, F.col(value).cast("double").alias("v"), back.alias("back"))
+    keep = F.lit(1.0 - alpha)
+    mean = F.sum(F.col("v") * alpha * F.pow(keep, F.col("back"))) + start * F.pow(keep, F.count("*"))
+    return weighed.groupBy(key).agg(mean.alias("ewma"))
 
 
 def clamped_walk(samples: DataFrame, key: str, up: str, order: str, step_up: float = 0.02, step_down: float = 0.05, low: float = -0.3, high: float = 0.2) -> DataFrame:

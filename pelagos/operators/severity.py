@@ -45,3 +45,35 @@ def plan(findings: DataFrame, quick_hours: int = 4) -> DataFrame:
     hours = S.lookup(HOURS, F.col("effort"), 16)
     priority = F.col("weight") * (1 + 0.1 * F.least(F.col("more"), F.lit(5))) * S.lookup(EFFORT_FACTOR, F.col("effort"), 1.0)
     return joined.withColumns({"hours": hours, "priority": F.bround(priority, 6), "quick_win": hours <= quick_hours}).drop("weight", "more")
+
+
+# The ladders that turn a score into a severity, highest first.
+LADDERS = {
+    "prediction": ((0.85, "critical"), (0.65, "high"), (0.4, "medium"), (0.2, "low")),
+    "classification": ((0.85, "critical"), (0.65, "high"), (0.45, "medium"), (0.25, "low")),
+    "cvss": ((9.0, "critical"), (7.0, "high"), (4.0, "medium"), (0.1, "low")),
+}
+#: Verdicts of provers in one vocabulary.
+PROVER_STATUS = {"passed": "verified", "failed": "violated", "error": "error", "timeout": "timeout", "no_tests": "no_tests"}
+
+
+def by_ladder(score: Column, ladder: str) -> Column:
+    """The severity of ``score`` by one of ``LADDERS``; below all steps: info."""
+    out = F.lit("info")
+    for least, name in reversed(LADDERS[ladder]):
+        out = F.when(score >= least, name).otherwise(out)
+    return out
+
+
+def prover_status(status: Column) -> Column:
+    """A prover's own word in the common vocabulary; words it lacks stay as they are, none is unavailable."""
+    return F.coalesce(S.lookup(PROVER_STATUS, F.lower(F.trim(status)), F.lower(F.trim(status))), F.lit("unavailable"))
+
+
+def either_contains(name: Column, ladder: tuple[tuple[str, str], ...], default: str) -> Column:
+    """Value of the first key of ``ladder`` that the name contains or that contains the name; ``default`` for an empty one."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    out = F.lit(default)
+    for key, value in reversed(ladder):
+        out = F.when((low != "") & (low.contains(key) | F.lit(key).contains(low)), value).otherwise(out)
+    return out

@@ -18,7 +18,9 @@ _DOUBLES = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
 def j11(spark, sf):
     """Vectors that are like one of the patterns, the first vector of each label: a table of as many rows as labels."""
     e = views.table(spark, sf, "embeddings")
-    patterns = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("p")).withColumnRenamed("label", "pattern").limit(1000)
+    patterns = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("p")).withColumnRenamed("label", "pattern")
+    if patterns.count() > 1000:
+        raise ValueError("more than 1,000 patterns: search them by vectors.top_k")
     cosine = F.bround(S.dot(F.col("embedding"), F.col("p")) / (S.norm(F.col("embedding")) * S.norm(F.col("p"))), 9)
     return e.join(F.broadcast(patterns), cosine >= 0.3).select("vec_id", "pattern")
 
@@ -96,7 +98,7 @@ def j4(spark, sf):
 def d8(spark, sf):
     from pelagos.operators import clusters
 
-    return clusters.sub_clusters(views.findings(spark, sf).where("file = 'src/c1.sol'"))
+    return clusters.sub_clusters(views.findings(spark, sf))
 
 
 @query("t4_unit_vectors", f"{_DOUBLES} SELECT vec_id, round_even(e[1] / sqrt(list_dot_product(e, e)), 6) AS first, round_even(e[64] / sqrt(list_dot_product(e, e)), 6) AS last FROM v")

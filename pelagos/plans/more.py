@@ -25,12 +25,12 @@ def j2(spark, sf):
 
 @query("a3_correlated_groups")
 def a3(spark, sf):
-    return correlate.correlated(views.findings(spark, sf).where("line < 40"), 1)
+    return correlate.correlated(views.findings(spark, sf), 1)
 
 
 @query("a5_correlation_statistics")
 def a5(spark, sf):
-    return correlate.statistics(correlate.correlated(views.findings(spark, sf).where("line < 40"), 1))
+    return correlate.statistics(correlate.correlated(views.findings(spark, sf), 1))
 
 
 _BASE = cases("category", severity.BASE, "0.4::DOUBLE")

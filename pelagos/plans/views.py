@@ -53,7 +53,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A call graph of parts: each calls two others, so there are cycles and shared callees."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 2000")
+    p = table(spark, sf_dir, "part")
     other = F.explode(F.array(F.floor(F.col("p_partkey") / 2), F.floor(F.col("p_partkey") / 3) + 1))
     return p.select(F.col("p_partkey").alias("src"), other.alias("dst")).where("src <> dst").distinct()
 
@@ -97,5 +97,5 @@ SQL = {
     "contracts": f"SELECT k AS doc_id, k % 50 AS repo, {CONTRACT} AS text FROM (SELECT p_partkey::BIGINT AS k FROM part)",
     "code_lines": "SELECT doc_id, repo, n, regexp_replace(l[n], '//.*', '') AS line, count(*) FILTER (WHERE regexp_matches(l[n], '\\bfunction\\b')) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM (SELECT doc_id, repo, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, repo, string_split(text, chr(10)) AS l FROM contracts))",
     "blocks": "SELECT doc_id, repo, block, any_value(name) AS name, any_value(head) AS head, min(n) AS first_line, max(n) AS last_line, string_agg(line, chr(10) ORDER BY n) FILTER (WHERE n > first) AS body FROM (SELECT *, first_value(n) OVER w AS first, regexp_extract(first_value(line) OVER w, 'function (\\w+)', 1) AS name, first_value(line) OVER w AS head FROM code_lines WHERE block > 0 AND line <> '}' WINDOW w AS (PARTITION BY doc_id, block ORDER BY n)) GROUP BY doc_id, repo, block",
-    "edges": "SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, unnest([p_partkey // 2, p_partkey // 3 + 1]) AS dst FROM part WHERE p_partkey < 2000) WHERE src <> dst",
+    "edges": "SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, unnest([p_partkey // 2, p_partkey // 3 + 1]) AS dst FROM part) WHERE src <> dst",
 }

@@ -83,6 +83,44 @@ def badge(score: Column, letter: Column) -> Column:
     return F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.lit("security").alias("label"), F.format_string("%d/100 (%s)", score, letter).alias("message")))
 
 
+def report(findings: DataFrame, by: str = "file") -> DataFrame:
+    """Per group a JSON document: number of findings, counts by severity, tools in order."""
+    counts = [F.count_if(F.lower("severity") == s).alias(s) for s in ("critical", "high", "medium", "low", "info")]
+    summed = findings.groupBy(by).agg(F.count("*").alias("total"), *counts, F.array_sort(F.collect_set("tool")).alias("tools"))
+    summary = F.struct(*["critical", "high", "medium", "low", "info"])
+    return summed.select(by, F.to_json(F.struct(F.struct(F.col("total").alias("total_findings"), "tools").alias("metadata"), summary.alias("summary"))).alias("value"))
+
+
+def diagnostics(findings: DataFrame, least: int = 4) -> DataFrame:
+    """What editors show: range from 0, severity 1 to 4, code and message; those beyond ``least`` are left out."""
+    number = level(EDITOR_SEVERITY, F.col("severity"), 4)
+    line = F.greatest(F.coalesce("line", F.lit(1)), F.lit(1)) - 1
+    rows = findings.select("ord", "file", line.alias("start_line"), line.alias("end_line"), number.alias("severity"), F.coalesce("type", F.lit("")).alias("code"), F.coalesce("message", "type", F.lit("")).alias("message"))
+    return rows.where(F.col("severity") <= least)
+
+
+def batch(findings: DataFrame) -> DataFrame:
+    """One line per contract of a batch: contract, status, counts by severity, most severe first within the line."""
+    counts = [F.count_if(F.lower("severity") == s) for s in ("critical", "high", "medium", "low", "info")]
+    status = F.when(counts[0] + counts[1] > 0, "failed").otherwise("passed")
+    return findings.groupBy("file").agg(F.concat_ws(",", F.col("file"), status, *[c.cast("string") for c in counts]).alias("value")).select("value")
+
+
+def feedback(judged: DataFrame) -> DataFrame:
+    """Training lines of findings that a person has judged: what is known of the finding, and the label 1 for real."""
+    label = F.when(F.col("verdict") == "true_positive", 1).when(F.col("verdict") == "false_positive", 0)
+    body = F.struct("type", F.lower("severity").alias("severity"), "tool", F.coalesce("confidence", F.lit(0.5)).alias("confidence"), label.alias("label"))
+    return judged.where(label.isNotNull()).select("ord", F.to_json(body).alias("value"))
+
+
+def experiment(findings: DataFrame, name: str, parameters: dict[str, str]) -> DataFrame:
+    """One row that tells a run from any other: name, parameters, number of findings, and a checksum of them that does not
+    depend on their order."""
+    given = F.create_map(*[F.lit(x) for pair in sorted(parameters.items()) for x in pair])
+    row = F.crc32(F.concat_ws("|", "ord", "tool", "type", "severity").cast("binary"))
+    return findings.agg(F.count("*").alias("n"), F.sum(row).alias("checksum")).select(F.lit(name).alias("name"), F.to_json(given).alias("parameters"), "n", "checksum")
+
+
 def chat(rows: DataFrame, style: str) -> DataFrame:
     """Training examples of ``rows(instruction, context, response)`` as lines in one of three styles."""
     turn = lambda who, key, text, name: F.struct(F.lit(who).alias(key), text.alias(name))
