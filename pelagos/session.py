@@ -33,12 +33,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, if they can see that folder.
+    """Let Python workers import this package from where the driver has it, if they can see that folder, and use one thread
+    each for matrices, as a task has one core.
 
-    On a cluster the package is installed or sent with --py-files; then this changes nothing that matters.
+    On a cluster the package is installed or sent with --py-files; then the folder changes nothing that matters.
     """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    environment.setdefault("OMP_NUM_THREADS", "1")
