@@ -26,7 +26,7 @@ GROUPS, PER_GROUP = 64, 64
 CLASSES = GROUPS * PER_GROUP
 HASHED = 1024
 WORDS = CLASSES - HASHED - 1
-HIDDEN = 32
+HIDDEN = 24
 #: Tokens before and after.
 SIDES = (-2, -1, 1, 2)
 #: Tokens trained on at once, and scored at once.
