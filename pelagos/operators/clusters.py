@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelagos import schema
@@ -56,3 +56,10 @@ def summary(findings: DataFrame, clusters: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.max(rank).alias("worst"), F.count_distinct("file").alias("files"),
         F.bround(F.least(F.lit(0.99), 0.5 + 0.1 * F.least(F.count("*"), F.lit(5))), 6).alias("confidence"),
     )
+
+
+def effort(files: Column, findings: Column) -> Column:
+    """Hours that a cluster takes, by how many files and findings it has."""
+    return (
+        F.when((files <= 1) & (findings <= 2), "low").when((files <= 3) & (findings <= 5), "medium").when((files <= 5) & (findings <= 10), "high").otherwise("very high")
+    )

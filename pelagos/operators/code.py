@@ -250,3 +250,27 @@ def indicator_score(docs: DataFrame, indicators: list[str], anti: list[str], sev
     found, against = times(indicators), sum((F.col(text).rlike(p).cast("int") for p in anti), F.lit(0))
     score = 0.7 * found / len(indicators) - F.least(F.lit(0.4), 0.1 * against) + severity_bonus + 0.2
     return docs.select(key, found.alias("found"), F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6).alias("confidence")).where("found > 0")
+
+
+def graph_of_output(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Functions ``(ord, name, visibility)`` and edges ``(ord, src, dst)`` of a call graph that a tool has printed as JSON,
+    ``docs(ord, body)``; a visibility that is none of the language's is public."""
+    shape = "struct<elements:array<struct<type:string,name:string,source:string,target:string,additional_fields:struct<visibility:string>>>>"
+    e = docs.select("ord", F.explode(F.from_json("body", shape)["elements"]).alias("e")).select("ord", "e.*")
+    seen = F.when(F.col("additional_fields.visibility").isin("public", "external", "internal", "private"), F.col("additional_fields.visibility")).otherwise("public")
+    functions_ = e.where("type = 'function'").select("ord", F.coalesce("name", F.lit("unknown")).alias("name"), seen.alias("visibility")).distinct()
+    edges = e.where("type = 'edge' and source <> '' and target <> ''").select("ord", F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
+    return functions_, edges
+
+
+def context_verdicts(findings: DataFrame, blocks: DataFrame, benign: dict[str, str], doubtful: str, key: str = "doc_id") -> DataFrame:
+    """``(ord, verdict)`` of ``findings(ord, key, line, type)``: dropped if the function around the line holds what makes its type
+    benign, review if there is no function or it holds a ``doubtful`` guard, else kept. Lines meet functions by document."""
+    around = findings.join(blocks.select(key, "first_line", "last_line", "head", "body"), key, "left").where(F.col("line").between(F.col("first_line"), F.col("last_line")))
+    code_ = F.concat_ws("\n", "head", "body")
+    harmless = F.lit(False)
+    for kind, pattern in benign.items():
+        harmless = harmless | ((F.col("type") == kind) & code_.rlike(pattern))
+    judged = around.groupBy("ord").agg(F.max(harmless.cast("int")).alias("harmless"), F.max(code_.rlike(doubtful).cast("int")).alias("doubt"))
+    verdict = F.when(F.col("harmless") == 1, "dropped").when(F.col("harmless").isNull() | (F.col("doubt") == 1), "review").otherwise("kept")
+    return findings.select("ord").join(judged, "ord", "left").select("ord", verdict.alias("verdict"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagos import schema
@@ -50,3 +51,35 @@ def statistics(groups: DataFrame) -> DataFrame:
         F.count("*").alias("groups"), F.sum("n").alias("findings"), F.count_if("cross_validated").alias("validated"),
         F.bround(S.ratio(F.sum("n") - F.count("*"), F.sum("n")), 6).alias("reduction"),
     )
+
+
+def anchored(findings: DataFrame, tolerance: int = 5) -> DataFrame:
+    """``(ord, anchor)``: in order of arrival, a finding joins the first group of its file and category whose *first* finding is
+    within ``tolerance`` lines, else it begins one; ``anchor`` is the group's first finding.
+
+    A gap of more than ``tolerance`` lines splits a file's rows before Python sees them; sorted partitions are read row by
+    row, and what is held are the anchors of one such stretch.
+    """
+    by = ["file", "category"]
+    base = findings.select("ord", "file", "line", S.category(F.col("type")).alias("category"))
+    w = Window.partitionBy(*by).orderBy("line", "ord")
+    gap = F.coalesce((F.col("line") - F.lag("line").over(w) > tolerance).cast("int"), F.lit(0))
+    stretch = base.withColumn("gap", gap).withColumn("g", F.xxhash64(*by, F.sum("gap").over(w)))
+
+    def run(batches):
+        last, anchors = None, []
+        for batch in batches:
+            out = []
+            for g, at, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != last:
+                    last, anchors = g, []
+                found = next((a for a, n in anchors if abs(line - n) <= tolerance), None)
+                if found is None:
+                    anchors.append((at, line))
+                    found = at
+                out.append(found)
+            yield pa.record_batch([batch.column(1), pa.array(out, pa.int64())], ["ord", "anchor"])
+
+    n = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stretch.repartition(n, "g").sortWithinPartitions("g", "ord").select("g", "ord", "line")
+    return dealt.mapInArrow(run, "ord long, anchor long")

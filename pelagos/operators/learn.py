@@ -38,3 +38,16 @@ def score(findings: DataFrame, model: PipelineModel) -> DataFrame:
     rows, names = features(findings)
     kept = [c for c in findings.columns]
     return model.transform(rows).select(*kept, vector_to_array("probability")[1].alias("p_real"))
+
+
+def heuristic_noise(findings: DataFrame) -> DataFrame:
+    """Adds ``p_noise`` without a model: 0.3, and more for low severity (0.3), library code (0.2), no weakness number (0.1), a
+    confidence under 0.5 (0.2) and arithmetic on a compiler that checks it (0.3); 1 at most.
+
+    Of ``findings(severity, confidence, swc_id, has_library, checked_arithmetic)``.
+    """
+    plus = lambda test, x: F.when(F.coalesce(test, F.lit(False)), x).otherwise(0.0)
+    low = S.lookup(schema.SEVERITY_ORDER, F.lower("severity"), 0) <= 1
+    no_swc = F.coalesce("swc_id", F.lit("")) == ""
+    score = 0.3 + plus(low, 0.3) + plus(F.col("has_library"), 0.2) + plus(no_swc, 0.1) + plus(F.coalesce("confidence", F.lit(0.5)) < 0.5, 0.2) + plus(F.col("checked_arithmetic"), 0.3)
+    return findings.withColumn("p_noise", F.bround(F.least(F.lit(1.0), score), 6))

@@ -144,3 +144,25 @@ def clamped_walk(samples: DataFrame, key: str, up: str, order: str, step_up: flo
     maps = stretch.select(key, "part", ends(low).alias("l"), ends(high).alias("h"), whole.alias("s"))
     chain = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part", "l", "h", "s"))).alias("maps"))
     return chain.select(key, F.aggregate("maps", F.lit(0.0), lambda x, m: F.bround(F.least(m["h"], F.greatest(m["l"], x + m["s"])), 10)).alias("adjustment"))
+
+
+def weighted_confidence(groups: DataFrame) -> DataFrame:
+    """Adds ``weighted`` to ``groups(confidence, tools array)``: the confidence, 0.1 more if two reliable tools report (weight of
+    0.8 or more), 0.05 more for one of them beside any other, 0.99 at most; no tools: the confidence as it is, else 0.5."""
+    reliable = F.size(F.filter("tools", lambda t: S.lookup(schema.TOOL_WEIGHT, F.lower(t), 0.5) >= 0.8))
+    boost = F.when(reliable >= 2, 0.1).when((reliable == 1) & (F.size("tools") >= 2), 0.05).otherwise(0.0)
+    raised = F.least(F.lit(0.99), F.coalesce("confidence", F.lit(0.7)) + boost)
+    return groups.withColumn("weighted", F.bround(F.when(F.size("tools") > 0, raised).otherwise(F.coalesce("confidence", F.lit(0.5))), 6))
+
+
+def counts_by(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``(dimension, value, n)``: how often each value of each column occurs, in one pass and one shuffle of partial counts."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns]))
+    return rows.select(pairs.alias("p")).groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"))
+
+
+def merged_maps(base: Column, over: Column) -> Column:
+    """Two maps of maps as one; where both have an entry, that of ``over`` counts."""
+    empty = F.create_map().cast("map<string,string>")
+    return F.map_zip_with(F.coalesce(base, F.create_map().cast("map<string,map<string,string>>")), F.coalesce(over, F.create_map().cast("map<string,map<string,string>>")),
+        lambda k, a, b: F.map_zip_with(F.coalesce(a, empty), F.coalesce(b, empty), lambda n, x, y: F.coalesce(y, x)))

@@ -77,3 +77,67 @@ def either_contains(name: Column, ladder: tuple[tuple[str, str], ...], default:
     for key, value in reversed(ladder):
         out = F.when((low != "") & (low.contains(key) | F.lit(key).contains(low)), value).otherwise(out)
     return out
+
+
+# Default impact and ease of exploitation of types, their scores, and words that raise them.
+IMPACT_SCORE = {"total": 1.0, "partial": 0.7, "none": 0.3, "note": 0.1}
+IMPACT_OF = {
+    "bridge-vulnerability": "total", "unprotected-selfdestruct": "total", "arbitrary-send": "total", "reentrancy": "total", "access-control": "partial", "oracle-manipulation": "partial",
+    "price-manipulation": "partial", "delegatecall": "partial", "integer-overflow": "partial", "integer-underflow": "partial", "unchecked-call": "none", "front-running": "none",
+    "sandwich-attack": "none", "timestamp-dependence": "none", "tx-origin": "none", "gas-optimization": "note", "naming-convention": "note", "code-style": "note",
+}
+EASE_OF = {
+    "access-control": 1.0, "unprotected-selfdestruct": 1.0, "arbitrary-send": 1.0, "reentrancy": 0.6, "oracle-manipulation": 0.6, "unchecked-call": 0.6, "flash-loan-attack": 0.3,
+    "governance-attack": 0.3, "front-running": 0.3,
+}
+WIDE_WORDS = ("all users", "entire protocol", "all funds", "total supply", "all contracts", "protocol-wide", "every", "complete drainage")
+CONTRACT_WORDS = ("contract", "balance")
+EXPLOIT_WORDS = ("dao hack", "parity", "beanstalk", "wormhole", "ronin", "nomad", "harvest", "bzx", "cream", "mango", "known exploit", "real-world", "historic")
+FUND_WORDS = ("eth", "ether", "funds", "balance", "transfer", "withdraw", "token", "erc20", "usdc", "usdt", "dai", "weth", "vault", "treasury", "stake", "deposit")
+FACTOR_WEIGHT = {"impact": 0.5, "ease": 0.3, "scope": 0.2}
+
+
+def any_of(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
+
+
+def classify(findings: DataFrame, needs_rights: Column) -> DataFrame:
+    """Adds ``severity_score`` and ``classified``: impact, ease and scope by weight; 0.15 more for a known exploit, 0.1 more if
+    funds are named, 0.1 less if the caller needs rights; each step is kept between 0 and 1."""
+    kind, text = F.lower(F.coalesce("type", F.lit(""))), F.lower(F.coalesce("message", F.lit("")))
+    impact = S.lookup({k: IMPACT_SCORE[v] for k, v in IMPACT_OF.items()}, kind, IMPACT_SCORE["none"])
+    scope = F.when(any_of(text, WIDE_WORDS), 1.0).when(any_of(text, CONTRACT_WORDS), 0.6).otherwise(0.3)
+    score = impact * FACTOR_WEIGHT["impact"] + S.lookup(EASE_OF, kind, 0.6) * FACTOR_WEIGHT["ease"] + scope * FACTOR_WEIGHT["scope"]
+    score = F.least(F.lit(1.0), score + F.when(any_of(text, EXPLOIT_WORDS), 0.15).otherwise(0.0))
+    score = F.least(F.lit(1.0), score + F.when(any_of(text, FUND_WORDS), 0.1).otherwise(0.0))
+    score = F.bround(F.greatest(F.lit(0.0), score - F.when(needs_rights, 0.1).otherwise(0.0)), 6)
+    return findings.withColumn("severity_score", score).withColumn("classified", by_ladder(F.col("severity_score"), "classification"))
+
+
+def adjusted_vector(category: Column, severity: Column, vectors: dict[str, tuple[str, ...]]) -> dict[str, Column]:
+    """The CVSS metrics of a category: those of the first key that contains it or that it contains, else the default ones, which
+    follow the severity (critical: no privileges, high integrity and availability impact; high: high integrity impact; low and
+    informational: high complexity). A critical finding of a known category has low complexity."""
+    name = F.regexp_replace(F.lower(category), "[ _]", "-")
+    places = ("av", "ac", "pr", "ui", "c", "i", "a")
+    known = either_contains(name, tuple((k, "".join(v)) for k, v in vectors.items()), "")
+    low = F.lower(severity)
+    default = {
+        "av": F.lit("N"), "ac": F.when(low.isin("low", "info", "informational"), "H").otherwise("L"), "pr": F.when(low == "critical", "N").otherwise("L"), "ui": F.lit("N"), "c": F.lit("N"),
+        "i": F.when(low.isin("critical", "high"), "H").otherwise("L"), "a": F.when(low == "critical", "H").otherwise("N"),
+    }
+    own = {p: F.substring(known, i + 1, 1) for i, p in enumerate(places)}
+    own["ac"] = F.when(low == "critical", "L").otherwise(own["ac"])
+    return {p: F.when(known == "", default[p]).otherwise(own[p]) for p in places}
+
+
+def effort_class(text: Column, severity: Column, words: dict[str, str]) -> Column:
+    """low, medium or high: by the first of ``words`` in the text, else by severity."""
+    by_severity = F.when(F.lower(severity).isin("critical", "high"), "high").when(F.lower(severity) == "medium", "medium").otherwise("low")
+    out = by_severity
+    for word, effort_ in reversed(words.items()):
+        out = F.when(F.lower(text).contains(word), effort_).otherwise(out)
+    return out

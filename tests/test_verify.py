@@ -49,3 +49,26 @@ def test_experiment_record_does_not_depend_on_order(spark):
     f = spark.createDataFrame([(i, "t", "x", "low") for i in range(50)], "ord long, tool string, type string, severity string")
     one, two = (writers.experiment(x, "n", {"b": "2", "a": "1"}).first() for x in (f, f.orderBy(F.desc("ord")).repartition(3)))
     assert one == two and one.parameters == '{"a":"1","b":"2"}' and one.n == 50
+
+
+def test_anchored_groups_match_a_loop(spark):
+    from pelagos.operators import correlate
+
+    rng = random.Random(6)
+    rows = [(i, "t", "High", rng.choice(["timestamp", "arithmetic"]), rng.choice("ab"), "f", rng.randrange(60), "m", 0.5) for i in range(200)]
+    f = spark.createDataFrame(rows, "ord long, tool string, severity string, type string, file string, function string, line int, message string, confidence double")
+    anchors, want = {}, {}
+    for r in rows:
+        own = anchors.setdefault((r[3], r[4]), [])
+        want[r[0]] = next((a for a, n in own if abs(n - r[6]) <= 5), r[0])
+        if want[r[0]] == r[0]:
+            own.append((r[0], r[6]))
+    assert {r.ord: r.anchor for r in correlate.anchored(f).collect()} == want
+
+
+def test_settings_merge(spark):
+    from pelagos.operators import score
+
+    rows = spark.createDataFrame([({"a": {"x": "1", "y": "2"}}, {"a": {"y": "3"}, "b": {"z": "4"}}), (None, {"a": {}})], "one map<string,map<string,string>>, two map<string,map<string,string>>")
+    got = [r.m for r in rows.select(score.merged_maps(F.col("one"), F.col("two")).alias("m")).collect()]
+    assert got == [{"a": {"x": "1", "y": "3"}, "b": {"z": "4"}}, {"a": {}}]
