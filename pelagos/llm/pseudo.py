@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from pelagos.llm import common
 
 #: Classes: 0 is beyond the ends of a text, then words by falling frequency, then hashed classes of all other words.
-GROUPS, PER_GROUP = 64, 64
+GROUPS, PER_GROUP = 48, 48
 CLASSES = GROUPS * PER_GROUP
-HASHED = 1024
+HASHED = 512
 WORDS = CLASSES - HASHED - 1
-HIDDEN = 24
+HIDDEN = 16
 #: Tokens before and after.
 SIDES = (-2, -1, 1, 2)
 #: Tokens trained on at once, and scored at once.
@@ -189,7 +189,7 @@ def encode(hashed: DataFrame, known: Classes) -> DataFrame:
 def initial(counts: np.ndarray, seed: int = 5) -> list[np.ndarray]:
     """Weights that predict every class as often as it occurs, whatever stands around it."""
     rng = np.random.default_rng(seed)
-    often = np.log(counts + 0.5).reshape(GROUPS, PER_GROUP).astype(np.float32)
+    often = np.log((counts + 0.5) / (counts.sum() + 0.5 * CLASSES)).reshape(GROUPS, PER_GROUP).astype(np.float32)
     drawn = lambda shape, scale: rng.normal(0, scale, shape).astype(np.float32)
     return [drawn(SHAPES[0], 0.1), np.full(SHAPES[1], 0.1, np.float32), drawn(SHAPES[2], 0.1), np.log(np.exp(often).sum(axis=1)), drawn(SHAPES[4], 0.1), often]
 
@@ -219,14 +219,21 @@ def _by_group(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at, group, row[at] % PER_GROUP, [(g, int(starts[g]), int(ends[g])) for g in np.flatnonzero(ends > starts)]
 
 
-def _softmax(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Log-probability of ``own`` per column; ``logits`` become probabilities."""
-    logits -= logits.max(axis=0)
+def _log_softmax(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of ``own`` per column, and the columns' sums of what ``logits`` become: their exponentials."""
+    if logits.max() > 60:
+        logits -= logits.max(axis=0)
     found = logits[own, np.arange(len(own))]
     np.exp(logits, out=logits)
     total = logits.sum(axis=0)
+    return found - np.log(total), total
+
+
+def _errors(logits: np.ndarray, own: np.ndarray) -> None:
+    """``logits`` become probabilities, less one for ``own``, per column."""
+    _, total = _log_softmax(logits, own)
     logits *= 1 / total
-    return found - np.log(total)
+    logits[own, np.arange(len(own))] -= 1
 
 
 def log_probabilities(weights: list[np.ndarray], row: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -235,9 +242,9 @@ def log_probabilities(weights: list[np.ndarray], row: np.ndarray, at: np.ndarray
     for i in range(0, len(at), CHUNK):
         some, group, inner, parts = _by_group(row, at[i : i + CHUNK])
         h = np.ascontiguousarray(_hidden(weights, row, some).T)
-        found = _softmax(weights[2] @ h + weights[3][:, None], group)
+        found = _log_softmax(weights[2] @ h + weights[3][:, None], group)[0]
         for g, a, b in parts:
-            found[a:b] += _softmax(weights[4][g] @ h[:, a:b] + weights[5][g][:, None], inner[a:b])
+            found[a:b] += _log_softmax(weights[4][g] @ h[:, a:b] + weights[5][g][:, None], inner[a:b])[0]
         out[some] = found
     return out[at]
 
@@ -248,16 +255,14 @@ def gradients(weights: list[np.ndarray], row: np.ndarray, at: np.ndarray) -> Ite
     h = np.ascontiguousarray(_hidden(weights, row, at).T)
     p = weights[2] @ h
     p += weights[3][:, None]
-    _softmax(p, group)
-    p[group, np.arange(len(group))] -= 1
+    _errors(p, group)
     back = weights[2].T @ p
     outer = [(2, slice(None), p @ h.T), (3, slice(None), p.sum(axis=1))]
     for g, a, b in parts:
         own = h[:, a:b]
         p = weights[4][g] @ own
         p += weights[5][g][:, None]
-        _softmax(p, inner[a:b])
-        p[inner[a:b], np.arange(b - a)] -= 1
+        _errors(p, inner[a:b])
         back[:, a:b] += weights[4][g].T @ p
         outer += [(4, g, p @ own.T), (5, g, p.sum(axis=1))]
     yield from outer
