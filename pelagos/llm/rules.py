@@ -22,8 +22,9 @@ STATS = (("x_word_length", 0.1), ("x_symbols", 0.25), ("x_dup_lines", 0.35), ("x
 CONSISTENCY = 1.41
 #: 0.9999 quantile of chi2 with five degrees of freedom.
 CUTOFF = 25.74
-#: Statistics are counted in steps of 1 / SCALE, so that sums are exact.
-SCALE = 10_000
+#: Statistics are counted in steps of 1 / SCALE, so that sums are exact; sums of their products fit a long for 10^12 rows of
+#: usual texts, and an error is raised beyond.
+SCALE = 1000
 #: Distances fall into this many classes each time they grow by e; the share of smallest ones ends with a class.
 CLASSES = 128
 SYMBOLS = "#*$%&|<>"
@@ -116,13 +117,12 @@ def _far(rows: DataFrame, params: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _moments(near: DataFrame, names: list[str]) -> DataFrame:
-    """Rows ``n``, centre ``m_i`` and covariance ``c_i_j`` per group and start, out of exact sums."""
+    """Rows ``n``, centre ``m_i`` and covariance ``c_i_j`` per group and start, out of exact sums of the steps ``q_i``."""
     k = range(len(names))
-    whole = [F.round(F.col(n) * SCALE).cast("decimal(12,0)") for n in names]
     sums = near.groupBy("g", "start").agg(
         F.count("*").alias("n"),
-        *[F.sum(whole[i]).cast("double").alias(f"s_{i}") for i in k],
-        *[F.sum(whole[i] * whole[j]).cast("double").alias(f"p_{i}_{j}") for i in k for j in k if i <= j],
+        *[F.sum(f"q_{i}").cast("double").alias(f"s_{i}") for i in k],
+        *[F.sum(F.col(f"q_{i}") * F.col(f"q_{j}")).cast("double").alias(f"p_{i}_{j}") for i in k for j in k if i <= j],
     )
     return sums.select(
         "g", "start", "n",
@@ -134,11 +134,13 @@ def _moments(near: DataFrame, names: list[str]) -> DataFrame:
 def _step(rows: DataFrame, params: DataFrame, names: list[str], floors: list[float], share: float) -> DataFrame:
     """Centre, covariance, factor and determinant of the ``share`` of rows nearest under ``params``, per group and start."""
     far = _far(rows, params.select("g", "start", *[c for c in params.columns if c[:2] in ("m_", "l_")]), names)
-    far = far.select("g", "start", *names, F.floor(F.ln(F.greatest("d2", F.lit(1e-9))) * CLASSES).alias("class"))
+    steps = [f"q_{i}" for i in range(len(names))]
+    far = far.select("g", "start", *steps, F.floor(F.ln(F.greatest("d2", F.lit(1e-9))) * CLASSES).alias("class"))
     counted = far.groupBy("g", "start", "class").count()
     group = Window.partitionBy("g", "start")
     upto = counted.select("g", "start", "class", F.sum("count").over(group.orderBy("class")).alias("upto"), F.sum("count").over(group).alias("all"))
-    cut = upto.where(F.col("upto") >= F.ceil(share * F.col("all"))).groupBy("g", "start").agg(F.min("class").alias("cut"))
+    # Written first: a table of one row per group and start is then known to be small, and no rows are shuffled to meet it.
+    cut = common.materialize(upto.where(F.col("upto") >= F.ceil(share * F.col("all"))).groupBy("g", "start").agg(F.min("class").alias("cut")), "cut")
     near = far.join(cut, ["g", "start"]).where("class <= cut")
     found = _factor(_moments(near, names), names, floors)
     return found.withColumn("det", sum((F.ln(f"l_{i}_{i}") for i in range(1, len(names))), F.ln("l_0_0")))
@@ -160,9 +162,11 @@ def estimate(rows: DataFrame, share: float = 0.75, starts: int = 8, subset: int
     sizes = rows.groupBy("g").agg(F.count("*").alias("size"))
     unit = lambda k: F.shiftrightunsigned(F.xxhash64("draw", F.lit(k)), 11) / float(1 << 53)
     chosen = F.array(F.lit(0), *[F.when(unit(k) < subset / F.col("size"), k) for k in range(1, starts + 1)])
-    drawn = rows.join(common.materialize(sizes, "sizes"), "g").select("g", *names, F.explode(F.array_compact(chosen)).alias("start"))
+    rows = rows.select("g", "draw", *[F.round(F.col(n) * SCALE).cast("long").alias(f"q_{i}") for i, n in enumerate(names)])
+    whole = [f"q_{i}" for i in range(len(names))]
+    drawn = rows.join(common.materialize(sizes, "sizes"), "g").select("g", *whole, F.explode(F.array_compact(chosen)).alias("start"))
     params = common.materialize(_factor(_moments(drawn, names), names, floors), "starts")
-    rows = rows.select("g", *names)
+    rows = rows.select("g", *whole, *[(F.col(q) / SCALE).alias(n) for q, n in zip(whole, names, strict=True)])
     for _ in range(2):
         params = common.materialize(_step(rows, params, names, floors, share), "mcd")
     live = common.materialize(_least(params, 2), "mcd")
