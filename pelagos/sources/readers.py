@@ -10,7 +10,7 @@ from pelagos import schema
 
 def bodies(spark: SparkSession, path: str) -> DataFrame:
     """``ord, body``: whole files as text, ``ord`` a hash of the path."""
-    return spark.read.option("wholetext", True).text(path).select(F.xxhash64(F.input_file_name()).alias("ord"), F.col("value").alias("body"))
+    return spark.read.text(path, wholetext=True).select(F.xxhash64(F.input_file_name()).alias("ord"), F.col("value").alias("body"))
 
 
 def parse_results(docs: DataFrame) -> DataFrame:
@@ -119,5 +119,5 @@ def labelled_layout(rows: DataFrame, file: str, line: str, label: str) -> DataFr
 
 def tool_outputs(spark: SparkSession, path: str) -> DataFrame:
     """``ord, tool, contract, body`` of captured outputs in folders named after their tools, for ``tools.collect``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
     return files.select(F.xxhash64("path").alias("ord"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("tool"), F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("contract"), "body")
