@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagos.llm import common, fingerprint, language, lines, mixing, packing, pseudo, quality, rules, simhash, suffixes
+from pelagos.llm import common, fingerprint, language, lines, merkle, mixing, packing, pseudo, quality, rules, simhash, suffixes
 
 MIX = {"weights": (5, 2, 1), "share": 1.5, "ceiling": 2.0, "seed": 20240229}
 CAPACITY = 2048
@@ -16,6 +16,7 @@ NEAR = {"width": 5, "similarity": 0.8}
 #: Labelled documents of each language that text likelihoods are counted on.
 LANGUAGE_SAMPLE = 1000
 QUALITY = {"positives": 8000, "unlabelled": 8000}
+MERKLE = {"fanout": 16, "k": 2}
 LINES = {"min_docs": 5, "depth": 3, "similarity": 0.75}
 
 
@@ -96,6 +97,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verdict of every document, every fifth of them tampered with; see ``merkle.audit``."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.audit(common.table(spark, sf_dir, "documents"), tampered, merkle.lowered(F.col("text")), **MERKLE)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -107,6 +114,7 @@ QUERIES = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mixing": op10_source_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES = {
@@ -172,9 +180,53 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + CASE WH
 }
 
 
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _merkle_sql(fanout: int, depth: int = 6) -> str:
+    """SQL of ``merkle.audit``: ``depth`` levels of sources and of the sources' roots, enough for fanout^depth rows of each."""
+    fields = "doc_id::VARCHAR, source, lang, n_chars::VARCHAR, {text}".split(", ")
+    hashed = "sha256(" + " || ".join(f"coalesce(octet_length(encode({f}))::VARCHAR || ':' || {f}, '-')" for f in fields) + ")"
+    parts = [
+        # crc32 by the bits of the digits: eight steps a byte
+        "ids AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)",
+        "crc AS (SELECT doc_id, 1 AS i, 4294967295::BIGINT AS c FROM ids UNION ALL SELECT doc_id, i + 1, list_reduce([xor(c, ascii(substr(doc_id::VARCHAR, i, 1)))::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) FROM crc WHERE i <= length(doc_id::VARCHAR))",
+        "hit AS (SELECT doc_id AS of, xor(c, 4294967295) % 5 = 0 AS hit FROM crc WHERE i = length(doc_id::VARCHAR) + 1)",
+        f"leaves AS (SELECT d.doc_id, source, {hashed.format(text='text')} AS h, CASE WHEN hit THEN {hashed.format(text=_LOWERED)} ELSE {hashed.format(text='text')} END AS claimed FROM documents d LEFT JOIN hit ON d.doc_id = hit.of)",
+        "a0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, coalesce('s' || source, '') AS grp FROM leaves)",
+    ]
+
+    def level(name: str, i: int) -> list[str]:
+        return [
+            f"{name}r{i} AS (SELECT grp, idx // {fanout} AS g, list(h ORDER BY idx) AS run, (SELECT max(idx) FROM {name}{i} y WHERE y.grp = x.grp) > 0 AS more FROM {name}{i} x GROUP BY grp, g)",
+            f"{name}{i + 1} AS (SELECT grp, g AS idx, CASE WHEN more THEN sha256(array_to_string(run, '')) ELSE run[1] END AS h FROM {name}r{i})",
+        ]
+
+    def climb(name: str, i: int, frm: str, to: str) -> str:
+        at = f"(pos % {fanout})::INT"
+        return (
+            f"{to} AS (SELECT w.* EXCLUDE (folded, proof, pos), CASE WHEN more THEN sha256(array_to_string(run[1:{at}], '') || folded || array_to_string(run[{at} + 2:], '')) ELSE folded END AS folded, "
+            f"CASE WHEN more THEN proof || array_to_string(run[1:{at}], '') || array_to_string(run[{at} + 2:], '') ELSE proof END AS proof, pos // {fanout} AS pos FROM {frm} w JOIN {name}r{i} r ON w.grp = r.grp AND w.pos // {fanout} = r.g)"
+        )
+
+    for i in range(depth):
+        parts += level("a", i)
+    parts.append(f"b0 AS (SELECT '' AS grp, row_number() OVER (ORDER BY a.grp) - 1 AS idx, a.h, a.grp AS of FROM a{depth} a)")
+    for i in range(depth):
+        parts += level("b", i)
+    parts.append("w0 AS (SELECT doc_id, h AS leaf, grp, claimed AS folded, '' AS proof, idx AS pos FROM a0)")
+    for i in range(depth):
+        parts.append(climb("a", i, f"w{i}", f"w{i + 1}"))
+    parts.append(f"v0 AS (SELECT w.doc_id, leaf, b.h AS subroot, '' AS grp, folded, proof, b.idx AS pos FROM w{depth} w JOIN b0 b ON w.grp = b.of)")
+    for i in range(depth):
+        parts.append(climb("b", i, f"v{i}", f"v{i + 1}"))
+    return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT v.doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.h AS verified FROM v{depth} v CROSS JOIN b{depth} t"
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLES)
+    return ORACLES | {"op11_merkle_manifest": _merkle_sql(MERKLE["fanout"])}
