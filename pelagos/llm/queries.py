@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+from zlib import crc32
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagos.llm import common, fingerprint, language, lines, merkle, mixing, packing, pseudo, quality, rules, simhash, suffixes
+from pelagos.llm import common, fingerprint, language, lines, merkle, mixing, packing, periods, pseudo, quality, rules, simhash, suffixes
 
 MIX = {"weights": (5, 2, 1), "share": 1.5, "ceiling": 2.0, "seed": 20240229}
 CAPACITY = 2048
@@ -16,6 +19,7 @@ NEAR = {"width": 5, "similarity": 0.8}
 #: Labelled documents of each language that text likelihoods are counted on.
 LANGUAGE_SAMPLE = 1000
 QUALITY = {"positives": 8000, "unlabelled": 8000}
+RUNS = {"least": 6, "times": 4}
 MERKLE = {"fanout": 16, "k": 2}
 LINES = {"min_docs": 5, "depth": 3, "similarity": 0.75}
 
@@ -103,6 +107,32 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(common.table(spark, sf_dir, "documents"), tampered, merkle.lowered(F.col("text")), **MERKLE)
 
 
+def with_planted_period(doc_id: str | None, words: list) -> list:
+    """The words that the query of periodic runs judges: of every tenth document the rest from some word on repeats."""
+    if doc_id is None or not words:
+        return words
+    h = crc32(doc_id.encode())
+    if h % 10:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, and digests of what is left without them; see ``periods.map_documents``."""
+
+    def digest(words: list, runs: list) -> tuple:
+        best = periods.strongest(runs)
+        listed = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+        left = b" ".join(periods.collapsed(words, runs))
+        return len(runs), *(best or (None, None, None)), best and 1000 * best[1] // best[2], sha256(listed.encode()).hexdigest(), sha256(left).hexdigest()
+
+    schema = "n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string"
+    return periods.map_documents(common.table(spark, sf_dir, "documents"), digest, schema, with_planted_period, **RUNS)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -115,6 +145,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mixing": op10_source_mixing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES = {
@@ -183,16 +214,21 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + CASE WH
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: crc32 of doc_id's digits, bit by bit: eight steps a byte.
+_CRC = [
+    "ids AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)",
+    "crc AS (SELECT doc_id, 1 AS i, 4294967295::BIGINT AS c FROM ids UNION ALL SELECT doc_id, i + 1, list_reduce([xor(c, ascii(substr(doc_id::VARCHAR, i, 1)))::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) FROM crc WHERE i <= length(doc_id::VARCHAR))",
+    "crcs AS (SELECT doc_id, xor(c, 4294967295) AS crc FROM crc WHERE i = length(doc_id::VARCHAR) + 1)",
+]
+
 
 def _merkle_sql(fanout: int, depth: int = 6) -> str:
     """SQL of ``merkle.audit``: ``depth`` levels of sources and of the sources' roots, enough for fanout^depth rows of each."""
     fields = "doc_id::VARCHAR, source, lang, n_chars::VARCHAR, {text}".split(", ")
     hashed = "sha256(" + " || ".join(f"coalesce(octet_length(encode({f}))::VARCHAR || ':' || {f}, '-')" for f in fields) + ")"
     parts = [
-        # crc32 by the bits of the digits: eight steps a byte
-        "ids AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)",
-        "crc AS (SELECT doc_id, 1 AS i, 4294967295::BIGINT AS c FROM ids UNION ALL SELECT doc_id, i + 1, list_reduce([xor(c, ascii(substr(doc_id::VARCHAR, i, 1)))::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) FROM crc WHERE i <= length(doc_id::VARCHAR))",
-        "hit AS (SELECT doc_id AS of, xor(c, 4294967295) % 5 = 0 AS hit FROM crc WHERE i = length(doc_id::VARCHAR) + 1)",
+        *_CRC,
+        "hit AS (SELECT doc_id AS of, crc % 5 = 0 AS hit FROM crcs)",
         f"leaves AS (SELECT d.doc_id, source, {hashed.format(text='text')} AS h, CASE WHEN hit THEN {hashed.format(text=_LOWERED)} ELSE {hashed.format(text='text')} END AS claimed FROM documents d LEFT JOIN hit ON d.doc_id = hit.of)",
         "a0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, coalesce('s' || source, '') AS grp FROM leaves)",
     ]
@@ -224,9 +260,33 @@ def _merkle_sql(fanout: int, depth: int = 6) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT v.doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.h AS verified FROM v{depth} v CROSS JOIN b{depth} t"
 
 
+#: Runs by self-join: words q apart are equal from i on for five words at least just where two equal 5-grams begin q apart.
+_RUNS_SQL = "WITH RECURSIVE " + ", ".join(_CRC) + r""",
+given AS (SELECT d.doc_id, crc, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents d LEFT JOIN crcs c ON d.doc_id = c.doc_id),
+placed AS (SELECT doc_id, ws, len(ws) AS n, CASE WHEN crc % 10 = 0 AND len(ws) > 0 THEN (crc // 10) % len(ws) END AS a, 3 + (crc // 10) % 8 AS parts FROM given),
+word AS (
+  SELECT doc_id, n, i, CASE WHEN i >= a THEN ws[a + (i - a) % (1 + (n - a) // parts) + 1] ELSE ws[i + 1] END AS w
+  FROM (SELECT *, unnest(range(n)) AS i FROM placed)
+),
+gram AS (SELECT doc_id, n, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT * FROM gram WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM again x JOIN again y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS r FROM pairs),
+stretches AS (SELECT doc_id, min(i) AS s, count(*) + 4 + q AS l, q FROM islands GROUP BY doc_id, q, r),
+runs AS (SELECT doc_id, s, l, min(q) AS q FROM stretches WHERE l >= greatest(6, 4 * q) GROUP BY doc_id, s, l),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l::DOUBLE / q DESC, s, q) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT w.doc_id, string_agg(w, ' ' ORDER BY w.i) AS t FROM word w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i WHERE g.i IS NULL GROUP BY w.doc_id)
+SELECT p.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.l::BIGINT AS length, b.q::BIGINT AS period, (1000 * b.l // b.q)::BIGINT AS exponent_milli,
+       sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM placed p LEFT JOIN best b ON p.doc_id = b.doc_id LEFT JOIN listed l ON p.doc_id = l.doc_id LEFT JOIN kept k ON p.doc_id = k.doc_id
+"""
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return ORACLES | {"op11_merkle_manifest": _merkle_sql(MERKLE["fanout"])}
+    return ORACLES | {"op11_merkle_manifest": _merkle_sql(MERKLE["fanout"]), "op12_periodic_runs": _RUNS_SQL}
