@@ -8,7 +8,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagos.llm import common, fingerprint, language, lines, merkle, mixing, packing, periods, pseudo, quality, rules, simhash, suffixes
+from pelagos.llm import common, fingerprint, language, lines, merkle, mixing, packing, periods, pivots, pseudo, quality, rules, simhash, suffixes
 
 MIX = {"weights": (5, 2, 1), "share": 1.5, "ceiling": 2.0, "seed": 20240229}
 CAPACITY = 2048
@@ -19,6 +19,7 @@ NEAR = {"width": 5, "similarity": 0.8}
 #: Labelled documents of each language that text likelihoods are counted on.
 LANGUAGE_SAMPLE = 1000
 QUALITY = {"positives": 8000, "unlabelled": 8000}
+NEAREST = {"k": 5, "scale": 256, "pivots": 32}
 RUNS = {"least": 6, "times": 4}
 MERKLE = {"fanout": 16, "k": 2}
 LINES = {"min_docs": 5, "depth": 3, "similarity": 0.75}
@@ -133,6 +134,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.map_documents(common.table(spark, sf_dir, "documents"), digest, schema, with_planted_period, **RUNS)
 
 
+def op13_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows of greatest inner product for every vector whose id is divisible by 50; see ``pivots.top_products``."""
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return pivots.top_products(vectors, vectors.where("vec_id % 50 = 0"), **NEAREST)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -146,6 +153,7 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_pivot_search": op13_pivot_search,
 }
 
 ORACLES = {
@@ -188,6 +196,16 @@ lost AS (SELECT doc_id, list(line_no) AS gone FROM dropped GROUP BY doc_id)
 SELECT s.doc_id, len(all_lines)::INT AS n_lines, coalesce(len(gone), 0)::INT AS n_dropped,
        coalesce(array_to_string(list_filter(all_lines, lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), chr(10)), '') AS text
 FROM split s LEFT JOIN lost l ON s.doc_id = l.doc_id
+""",
+    "op13_pivot_search": """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM whole q JOIN whole x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id
+)
+SELECT query_id, (row_number() OVER o)::INT AS rank, vec_id, score FROM pairs WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 5
 """,
     "op10_source_mixing": """
 WITH sized AS (
