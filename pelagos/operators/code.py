@@ -1,76 +1,33 @@
 """Source text as rows: functions, calls, comments, pragmas, imports, ordering rules.
 
-Balanced braces are not regular, so functions are cut out by a small Python helper over Arrow batches, one document
-at a time; everything after that is expressions and joins.
+Strings and comments are masked and functions cut out by ``lexer``; everything after that is expressions and joins.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelagos.operators import text as text_ops
+from pelagos.operators import lexer
 
-HEAD = re.compile(r"\b(function\s+(\w+)|constructor|modifier\s+(\w+)|fallback|receive)\b[^;{}]*\{")
 CALL = r"\b([A-Za-z_]\w*)\s*\("
 #: Words before a bracket that call nothing.
 NOT_CALLS = ("if", "for", "while", "require", "assert", "revert", "return", "emit", "function", "modifier", "catch", "new", "mapping", "assembly", "unchecked")
 
 
 def without_comments(code: Column) -> Column:
-    """Comments out, line ends kept, so that line numbers stay; an unclosed comment runs to the end."""
-
-    def after(part: Column) -> Column:
-        inner = F.substring_index(part, "*/", 1)
-        ends = F.length(inner) - F.length(F.translate(inner, "\n", ""))
-        rest = F.when(part.contains("*/"), F.substr(part, F.length(inner) + 3)).otherwise("")
-        return F.concat(F.repeat(F.lit("\n"), ends), rest)
-
-    blocks = F.array_join(F.transform(F.split(code, r"/\*"), lambda part, i: F.when(i == 0, part).otherwise(after(part))), "")
-    return F.regexp_replace(blocks, r"//[^\n]*", "")
+    """Blanks for comments; strings, line ends and offsets stay."""
+    return lexer.masked(code, strings=False)
 
 
 def normalized(code: Column) -> Column:
     """Comments and repeated blanks out: what clone detection compares."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " "), r"\s+", " "))
-
-
-BRACE = re.compile(r"[{}]")
-
+    return F.trim(F.regexp_replace(without_comments(code), r"\s+", " "))
 
-def _cut(code: str) -> list[tuple[str, int, int, str, str]]:
-    out = []
-    line, counted = 1, 0
-    for m in HEAD.finditer(code):
-        depth, end = 1, len(code)
-        for brace in BRACE.finditer(code, m.end()):
-            depth += 1 if brace[0] == "{" else -1
-            if not depth:
-                end = brace.end()
-                break
-        name = m[2] or m[3] or m[1].split()[0]
-        line, counted = line + code.count("\n", counted, m.start()), m.start()
-        out.append((name, line, line + code.count("\n", m.start(), end), m[0][:-1].strip(), code[m.end() : end - 1 if not depth else end]))
-    return out
 
-
-def functions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, name, first_line, last_line, head, body)`` of every function-like block; an unclosed one runs to the end."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(k.as_py(), *f) for k, t in zip(batch.column(0), batch.column(1), strict=True) for f in _cut(t.as_py() or "")]
-            if rows:
-                kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
-                names = [key, "name", "first_line", "last_line", "head", "body"]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, f"{key} long, name string, first_line int, last_line int, head string, body string")
+functions = lexer.functions
 
 
 def calls(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -98,14 +55,15 @@ def unsafe_order(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def pragma(code: Column) -> Column:
     """Compiler version as a number that compares: major * 10^6 + minor * 10^3 + patch; null without one."""
-    part = lambda i: F.regexp_extract(code, r"pragma\s+solidity\s+[^0-9;]*([0-9]+)\.([0-9]+)(?:\.([0-9]+))?", i)
+    plain = without_comments(code)
+    part = lambda i: F.regexp_extract(plain, r"pragma\s+solidity\s+[^0-9;]*([0-9]+)\.([0-9]+)(?:\.([0-9]+))?", i)
     number = part(1).try_cast("int") * 1_000_000 + part(2).try_cast("int") * 1_000 + F.coalesce(part(3).try_cast("int"), F.lit(0))
     return F.when(part(1) != "", number)
 
 
 def imports(docs: DataFrame, advisories: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Imports that an advisory names: ``advisories(package, advisory)`` by the head of the import's path."""
-    paths = F.regexp_extract_all(text, F.lit(r"import\s+(?:[^\"';]*?from\s+)?[\"']([^\"']+)[\"']"), F.lit(1))
+    paths = F.regexp_extract_all(without_comments(F.col(text)), F.lit(r"import\s+(?:[^\"';]*?from\s+)?[\"']([^\"']+)[\"']"), F.lit(1))
     found = docs.select(key, F.explode(F.array_distinct(paths)).alias("path")).withColumn("package", F.regexp_extract("path", r"^(@[^/]+/[^/]+|[^/]+)", 1))
     return found.join(advisories, "package").select(key, "path", "advisory")
 
@@ -138,24 +96,19 @@ CODE_RULES = [
     ("old-compiler", r"\bpragma\s+solidity\s+[^0-9]*0\.[4-7]\.", r"\busing\s+SafeMath\b", "file", "integer-overflow", "low"),
     ("bridge-unnumbered", r"\b(?:relay|bridge)Message\s*\(", r"\bnonces?\b", "file", "bridge", "high"),
 ]
-#: Lines that open a function-like block.
-OPENS = r"\b(?:function|constructor|modifier|fallback|receive)\b"
-
-
 def detect(docs: DataFrame, rules: list[tuple] = CODE_RULES, key: str = "doc_id", window: int = 3) -> DataFrame:
-    """``(key, line_no, rule, category, severity)``: rule hits over comment-free code that nothing in the rule's scope makes
-    harmless.
+    """``(key, line_no, rule, category, severity)``: rule hits in masked code that nothing in the rule's scope makes harmless.
 
-    One reading of the lines for all rules. A hit and a harmless line meet by document, rule and place: the line itself and
+    One reading of the lines for all rules. A line's function is the last one that begins at or before it and has not ended;
+    lines outside of all functions are one place. A hit and a harmless line meet by document, rule and place: the line itself and
     those around it, the function, or the file; so only hits are shuffled, never lines.
     """
-    all_lines = F.split(without_comments(F.col("text")), "\n")
-    heads = F.filter(F.transform("all", lambda x, i: F.when(x.rlike(OPENS), i)), lambda i: i.isNotNull())
-    lines = docs.select(F.col(key), all_lines.alias("all")).select(key, heads.alias("heads"), F.posexplode("all").alias("n", "line"))
+    ranged = lexer.with_ranges(docs, key).select(key, "first", "last", F.posexplode(F.split("code", "\n")).alias("n", "line"))
+    around = F.filter(F.arrays_zip("first", "last"), lambda r: (r["first"] <= F.col("n") + 1) & (r["last"] > F.col("n")))
+    lines = ranged.select(key, "n", "line", F.coalesce(F.array_max(F.transform(around, lambda r: r["first"])), F.lit(0)).alias("block"))
     named = lambda patterns: F.array_compact(F.array(*[F.when(F.col("line").rlike(p), F.lit(i)) for i, p in patterns]))
-    block = F.size(F.filter("heads", lambda h: h <= F.col("n")))
     found = lines.select(
-        key, F.col("n"), block.alias("block"), named([(i, r[1]) for i, r in enumerate(rules)]).alias("hits"), named([(i, r[2]) for i, r in enumerate(rules) if r[2]]).alias("guards")
+        key, F.col("n"), "block", named([(i, r[1]) for i, r in enumerate(rules)]).alias("hits"), named([(i, r[2]) for i, r in enumerate(rules) if r[2]]).alias("guards")
     ).where((F.size("hits") > 0) | (F.size("guards") > 0))
     table = lambda k, kind: F.element_at(F.array(*[F.lit(r[k]).cast(kind) for r in rules]), F.col("i") + 1)
     places = lambda reach: (
@@ -190,7 +143,7 @@ TRAITS = {
 
 def traits(docs: DataFrame, wanted: dict[str, tuple[str, ...]] = TRAITS, key: str = "doc_id") -> DataFrame:
     """A flag per trait: whether all its patterns are found in the code, comments left out."""
-    plain = docs.select(key, without_comments(F.col("text")).alias("plain"))
+    plain = docs.select(key, lexer.masked(F.col("text")).alias("plain"))
     flag = lambda patterns: reduce(lambda a, b: a & b, [F.col("plain").rlike(p) for p in patterns])
     return plain.select(key, *[flag(p).alias(name) for name, p in wanted.items()])
 
@@ -201,7 +154,7 @@ KEYWORDS = ("contract", "function", "public", "external", "internal", "private",
 
 def token_classes(docs: DataFrame, key: str = "doc_id", n: int = 2) -> DataFrame:
     """Per document: tokens of each class, and how many different runs of ``n`` tokens there are."""
-    tokens = docs.select(key, F.regexp_extract_all(without_comments(F.col("text")), F.lit(TOKEN), F.lit(0)).alias("t"))
+    tokens = docs.select(key, F.regexp_extract_all(lexer.masked(F.col("text")), F.lit(TOKEN), F.lit(0)).alias("t"))
     of = lambda test: F.size(F.filter("t", test))
     word = r"^[A-Za-z_$]"
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("t", i, n), " "))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pelagos.operators import code
+from pelagos.operators import code, lexer
 from pelagos.plans import views
 from pelagos.plans.registry import query
 
@@ -22,7 +22,7 @@ def _hits(spark, sf):
 
 def _blocks(spark, sf):
     docs = views.contracts(spark, sf)
-    return code.functions(docs).join(docs.select("doc_id", "repo"), "doc_id")
+    return lexer.functions(docs).join(docs.select("doc_id", "repo"), "doc_id")
 
 
 @query("t18_scoped_rules", f"{_HITS} SELECT * FROM hits")
@@ -62,7 +62,7 @@ def t28(spark, sf):
     return code.traits(views.contracts(spark, sf))
 
 
-@query("t10_code_without_comments", "SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY n)) AS digest, count(*) AS n_lines FROM code_lines GROUP BY doc_id")
+@query("t10_code_without_comments", "SELECT doc_id, md5(kept) AS digest, len(string_split(kept, chr(10))) AS n_lines FROM masked")
 def t10(spark, sf):
     plain = code.without_comments(F.col("text"))
     return views.contracts(spark, sf).select("doc_id", F.md5(plain).alias("digest"), F.size(F.split(plain, "\n")).cast("long").alias("n_lines"))
@@ -70,7 +70,7 @@ def t10(spark, sf):
 
 @query("t11_functions", "SELECT doc_id, name, first_line::INT AS first_line, last_line::INT AS last_line FROM blocks")
 def t11(spark, sf):
-    return code.functions(views.contracts(spark, sf)).select("doc_id", "name", "first_line", "last_line")
+    return lexer.functions(views.contracts(spark, sf)).select("doc_id", "name", "first_line", "last_line")
 
 
 @query("t12_compiler_versions", "SELECT doc_id, ((4 + doc_id % 5) * 1000 + doc_id % 20)::INT AS version FROM contracts")

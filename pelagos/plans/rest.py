@@ -106,13 +106,14 @@ def e7(spark, sf):
 _BENIGN, _DOUBT = {"tx-origin": "nonReentrant", "arithmetic": r"require\("}, "onlyOwner"
 
 
-@query("f11_context_verdicts", f"""f AS (SELECT ord, line % 20 AS line, type, 1 + ord % 40 AS doc_id FROM findings),
+@query("f11_context_verdicts", f"""f AS (SELECT ord, line % 20 AS line, type, 1 + ord % (SELECT count(*) FROM part) AS doc_id FROM findings),
 j AS (SELECT f.ord, (f.type = 'tx-origin' AND regexp_matches(head || chr(10) || body, 'nonReentrant')) OR (f.type = 'arithmetic' AND regexp_matches(head || chr(10) || body, 'require\\(')) AS harmless, regexp_matches(head || chr(10) || body, '{_DOUBT}') AS doubt
  FROM f JOIN blocks b ON f.doc_id = b.doc_id AND f.line BETWEEN b.first_line AND b.last_line)
 SELECT f.ord, CASE WHEN j.harmless THEN 'dropped' WHEN j.harmless IS NULL OR j.doubt THEN 'review' ELSE 'kept' END AS verdict FROM f LEFT JOIN j ON f.ord = j.ord""")
 def f11(spark, sf):
     """Findings by what the function around them says."""
-    f = views.findings(spark, sf).select("ord", (F.col("line") % 20).alias("line"), "type", (1 + F.col("ord") % 40).alias("doc_id"))
+    parts = views.table(spark, sf, "part").count()
+    f = views.findings(spark, sf).select("ord", (F.col("line") % 20).alias("line"), "type", (1 + F.col("ord") % parts).alias("doc_id"))
     return code.context_verdicts(f, code.functions(views.contracts(spark, sf)), _BENIGN, _DOUBT)
 
 

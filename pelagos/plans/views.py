@@ -64,8 +64,11 @@ CONTRACT = " || chr(10) || ".join([
     "'import \"@lib/pack' || (k % 3) || '/token.sol\";'",
     "'contract C' || k || ' {'",
     "'  // tx.origin == owner'",
+    "'  /* } function none() public { // \"'",
+    "'     ' || chr(39) || ' */  // function ghost() { /*'",
     "'  function a' || (k % 3) || '(uint x) public ' || CASE WHEN k % 4 = 0 THEN 'onlyOwner ' ELSE '' END || '{'",
     "'    ' || CASE k % 6 WHEN 0 THEN 'msg.sender.call{value: x}(\"\");' WHEN 1 THEN 'require(tx.origin == owner);' WHEN 2 THEN 'selfdestruct(owner);' WHEN 3 THEN 'uint r = uint(blockhash(1));' WHEN 4 THEN 'assembly { tstore(0, x) }' ELSE 'total += x;' END",
+    "'    string memory s = \"https://x.y/*}\"; ' || CASE WHEN k % 5 = 1 THEN 'owner.call{value: 1}(\"\");' ELSE 'note(\"' || chr(92) || '\"{ tx.origin == x\"); // see /*' END",
     "'    balances[msg.sender] = 0;'",
     "'  }'",
     "'  function b(uint n) external ' || CASE WHEN k % 3 = 0 THEN 'nonReentrant ' ELSE '' END || '{'",
@@ -86,6 +89,11 @@ _TOOL = "[" + ", ".join(f"'{t}'" for t in TOOLS) + "]"
 _SEVERITY = "[" + ", ".join(f"'{s}'" for s in SEVERITIES) + "]"
 _TYPE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPES.items()) + " END"
 
+#: Strings, line comments and block comments, as the comparison's engine writes them.
+_LEX = r"""\"[^\"\\\n]*(?:\\.[^\"\\\n]*)*\"?|''[^''\\\n]*(?:\\.[^''\\\n]*)*''?|//[^\n]*|/\*(?:.|\n)*?(?:\*/|\z)"""
+_BLANK = r"regexp_replace(marks[i], '[^\n]', ' ', 'g')"
+_QUOTED = "marks[i][1] || CASE WHEN len(marks[i]) > 1 AND marks[i][-1] = marks[i][1] THEN repeat(' ', len(marks[i]) - 2) || marks[i][1] ELSE repeat(' ', len(marks[i]) - 1) END"
+
 SQL = {
     "findings": f"""SELECT *, type || ' in ' || function || '() (line ' || line || ')' AS message FROM (
   SELECT event_id AS ord, {_TOOL}[event_id % 5 + 1] AS tool, {_SEVERITY}[(event_id // 5) % 5 + 1] AS severity, {_TYPE} AS type,
@@ -95,7 +103,11 @@ SQL = {
     "tool_runs": "SELECT s_name AS tool, l_extendedprice AS time_ms, l_quantity AS found, l_returnflag <> 'R' AS success FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
     "doc_lines": "SELECT doc_id, n AS line_no, string_split(text, chr(10))[n] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)",
     "contracts": f"SELECT k AS doc_id, k % 50 AS repo, {CONTRACT} AS text FROM (SELECT p_partkey::BIGINT AS k FROM part)",
-    "code_lines": "SELECT doc_id, repo, n, regexp_replace(l[n], '//.*', '') AS line, count(*) FILTER (WHERE regexp_matches(l[n], '\\bfunction\\b')) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM (SELECT doc_id, repo, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, repo, string_split(text, chr(10)) AS l FROM contracts))",
-    "blocks": "SELECT doc_id, repo, block, any_value(name) AS name, any_value(head) AS head, min(n) AS first_line, max(n) AS last_line, string_agg(line, chr(10) ORDER BY n) FILTER (WHERE n > first) AS body FROM (SELECT *, first_value(n) OVER w AS first, regexp_extract(first_value(line) OVER w, 'function (\\w+)', 1) AS name, first_value(line) OVER w AS head FROM code_lines WHERE block > 0 AND line <> '}' WINDOW w AS (PARTITION BY doc_id, block ORDER BY n)) GROUP BY doc_id, repo, block",
+    "lexed": f"SELECT doc_id, repo, string_split_regex(text, '{_LEX}') AS gaps, regexp_extract_all(text, '{_LEX}') AS marks FROM contracts",
+    "masked": f"SELECT doc_id, repo, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || CASE WHEN i > len(marks) THEN '' WHEN marks[i][1] = '/' THEN {_BLANK} ELSE marks[i] END), '') AS kept, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || CASE WHEN i > len(marks) THEN '' WHEN marks[i][1] = '/' THEN {_BLANK} ELSE {_QUOTED} END), '') AS code FROM lexed",
+    "deep_lines": "SELECT *, coalesce(sum(d) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(d) OVER (PARTITION BY doc_id ORDER BY n) AS after FROM (SELECT doc_id, repo, n, l[n] AS line, len(l[n]) - len(replace(l[n], '{', '')) - len(l[n]) + len(replace(l[n], '}', '')) AS d FROM (SELECT doc_id, repo, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, repo, string_split(code, chr(10)) AS l FROM masked)))",
+    "ranges": "SELECT h.doc_id, h.repo, h.n AS first_line, min(e.n) AS last_line FROM deep_lines h JOIN deep_lines e ON h.doc_id = e.doc_id AND e.n >= h.n AND e.after <= h.before AND contains(e.line, '}') WHERE regexp_matches(h.line, '\\bfunction\\b') GROUP BY h.doc_id, h.repo, h.n",
+    "code_lines": "SELECT l.doc_id, l.repo, l.n, any_value(l.line) AS line, coalesce(max(r.first_line), 0) AS block FROM deep_lines l LEFT JOIN ranges r ON l.doc_id = r.doc_id AND l.n BETWEEN r.first_line AND r.last_line GROUP BY l.doc_id, l.repo, l.n",
+    "blocks": "SELECT doc_id, repo, first_line AS block, regexp_extract(t, 'function (\\w+)', 1) AS name, substr(t, 1, strpos(t, '{') - 1) AS head, first_line, last_line, regexp_extract(t, '^[^{]*\\{((?:.|\\n)*)\\}[^}]*$', 1) AS body FROM (SELECT r.doc_id, r.repo, r.first_line, r.last_line, string_agg(l.line, chr(10) ORDER BY l.n) AS t FROM ranges r JOIN deep_lines l ON l.doc_id = r.doc_id AND l.n BETWEEN r.first_line AND r.last_line GROUP BY r.doc_id, r.repo, r.first_line, r.last_line)",
     "edges": "SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, unnest([p_partkey // 2, p_partkey // 3 + 1]) AS dst FROM part) WHERE src <> dst",
 }
