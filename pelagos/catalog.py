@@ -6,7 +6,7 @@ from pelagos.plans import registry
 
 
 def _load() -> None:
-    from pelagos.plans import codes, documents, extra, findings, more, relations, rest, tools, verified  # noqa: F401
+    from pelagos.plans import codes, documents, extra, findings, more, relations, rest, source, tools, verified  # noqa: F401
 
 
 def queries() -> dict:

@@ -133,6 +133,47 @@ def functions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return by_document(docs, key, text, rows, "holder string, name string, first_line int, last_line int, head string, body string")
 
 
+LOOPS = re.compile(r"\b(?:for|while)\s*\(")
+ROUND, CURLY, STOP = re.compile(r"[()]"), re.compile(r"[{}]"), re.compile(r"[;{]")
+
+
+def closing(code: str, at: int, marks: re.Pattern) -> int:
+    """Where the bracket that opens at ``at`` closes; the end if it does not."""
+    depth = 0
+    for m in marks.finditer(code, at):
+        depth += 1 if m[0] in "({" else -1
+        if not depth:
+            return m.start()
+    return len(code)
+
+
+def loops_of(body: str) -> Iterator[tuple[int, str, str]]:
+    """Where the loops of masked ``body`` begin, their heads and their bodies, inner loops too; without braces the
+    body is one statement."""
+    for m in LOOPS.finditer(body):
+        end = closing(body, m.end() - 1, ROUND)
+        stop = STOP.search(body, end)
+        if not stop:
+            yield m.start(), body[m.end() : end], body[end + 1 :]
+        elif stop[0] == ";" or body[end + 1 : stop.start()].strip():  # a brace of call options
+            semicolon = body.find(";", end)
+            yield m.start(), body[m.end() : end], body[end + 1 : semicolon if semicolon >= 0 else len(body)]
+        else:
+            yield m.start(), body[m.end() : end], body[stop.end() : closing(body, stop.start(), CURLY)]
+
+
+def loops(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, name, line, head, body)`` of every loop, ``name`` that of the function around it."""
+
+    def rows(code: str) -> Iterator[tuple]:
+        starts = lines_of(code)
+        for s in filter(is_function, outline(code)):
+            for at, head, body in loops_of(code[s.opens + 1 : s.closes]):
+                yield s.name, bisect_right(starts, s.opens + 1 + at), head, body
+
+    return by_document(docs, key, text, rows, "name string, line int, head string, body string")
+
+
 def with_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, code, first, last)``: masked code, and the first and last lines of its functions as two lists."""
 

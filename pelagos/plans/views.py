@@ -77,6 +77,13 @@ CONTRACT = " || chr(10) || ".join([
     "'    ' || CASE WHEN k % 5 = 0 THEN 'require(n > 0);' ELSE 'uint p = pair.getReserves();' END",
     "'    ' || CASE k % 7 WHEN 0 THEN 'msg.sender.call{value: n}(\"\"); // twap' WHEN 1 THEN 'twapOf(n);' WHEN 2 THEN 'tstore(0, 0);' ELSE 'emit Done(n);' END",
     "'  }'",
+    "'  function c(address who, uint n) external {'",
+    "'    address to = who;'",
+    "'    uint fee = n / 10;'",
+    "'    ' || CASE k % 4 WHEN 0 THEN 'to = owner;' WHEN 1 THEN 'require(to != address(0));' WHEN 2 THEN 'fee += msg.value;' ELSE 'if (n > 0) { a1(n); }' END",
+    "'    uint rest = fee + 1;'",
+    "'    to.call{value: rest}(\"\");'",
+    "'  }'",
     "'}'",
 ])
 
