@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pelagos.operators import crossing, flows, lexer
+from pelagos.operators import code, crossing, embed, flows, lexer, vindex
 from pelagos.plans import views
 from pelagos.plans.registry import query
 
@@ -99,7 +99,6 @@ def t18b(spark, sf):
 SELECT n.doc_id, n.node, least(n.node, coalesce(min(r.dst), n.node)) AS component FROM n LEFT JOIN reach r ON n.doc_id = r.doc_id AND n.node = r.src AND EXISTS (SELECT 1 FROM reach b WHERE b.doc_id = r.doc_id AND b.src = r.dst AND b.dst = r.src) GROUP BY n.doc_id, n.node""")
 def g7_components(spark, sf):
     """Functions that call each other in circles."""
-    from pelagos.operators import code
 
     return crossing.components(code.calls(lexer.functions(_web(spark, sf))))
 
@@ -124,3 +123,34 @@ def p30(spark, sf):
     lines = spark.sql(f"SELECT fn, n, {_STEP} AS line FROM ({_FUNCTIONS.replace('FROM lineitem', 'FROM lineitem_of_functions')}) WHERE last > 1")
     state = spark.createDataFrame([(f"v{i}",) for i in range(5)], "variable string")
     return flows.transitions(lines, state, "fn").withColumn("depends_on", F.array_join("depends_on", ","))
+
+
+# ---- vectors of code ------------------------------------------------------------------------------
+
+_COUNTS = ", ".join(f"len(regexp_extract_all(code, '{_re(p)}'))" for p in embed.STRUCTURE.values())
+_EMBEDDED = f"""d AS (SELECT doc_id, code, regexp_extract_all(code, '{code.TOKEN}') AS t FROM masked),
+runs AS (SELECT doc_id, unnest([array_to_string(t[i:i + n - 1], ' ') FOR i IN range(1, len(t) - n + 2)]) AS run FROM d, (VALUES (1), (2), (3)) z(n)),
+h AS (SELECT doc_id, {len(embed.STRUCTURE)} + ('0x' || substr(md5(run), 1, 7))::BIGINT % {embed.DIMENSIONS - len(embed.STRUCTURE)} AS dim, 1 - 2 * (('0x' || substr(md5(run), 8, 7))::BIGINT % 2) AS n FROM runs
+ UNION ALL SELECT doc_id, i - 1, c[i] FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, [{_COUNTS}] AS c FROM d))),
+w AS (SELECT doc_id, dim, sign(sum(n)) * ln(1 + abs(sum(n))) AS w FROM h GROUP BY doc_id, dim)"""
+
+
+@query("t4_code_vectors", f"{_EMBEDDED} SELECT doc_id, dim::INT AS dim, round_even(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS value FROM w WHERE w <> 0")
+def t4(spark, sf):
+    """Vectors of code by signed hashes of token runs and counts of structures, as one row a component."""
+    rows = embed.code_vectors(views.contracts(spark, sf)).select("doc_id", F.posexplode("vector").alias("dim", "value"))
+    return rows.where("value <> 0").withColumn("value", F.bround("value", 6))
+
+
+@query("t4_similar_code", f"""{_EMBEDDED}, l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY doc_id), x AS (SELECT w.doc_id, dim, w / l AS v FROM w JOIN l USING (doc_id)),
+s AS (SELECT a.doc_id AS query, b.doc_id, round_even(sum(a.v * b.v), 9) AS similarity FROM x a JOIN x b ON a.dim = b.dim AND a.doc_id <> b.doc_id WHERE a.doc_id % 100 = 0 GROUP BY a.doc_id, b.doc_id)
+SELECT query, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc_id) AS rank FROM s) WHERE rank = 1""")
+def t4_similar(spark, sf):
+    """The likeness of the nearest other contract to every hundredth one, through an index of code vectors."""
+    from pelagos.plans.documents import _folder
+
+    path = _folder(spark)
+    embed.code_vectors(views.contracts(spark, sf)).select(F.col("doc_id").alias("vec_id"), F.col("vector").alias("embedding")).write.parquet(f"{path}-vectors")
+    rows = spark.read.parquet(f"{path}-vectors")
+    vindex.build(rows, path, lists=16)
+    return vindex.search(spark, path, rows.where("vec_id % 100 = 0"), 1, None).select("query", "similarity")
