@@ -90,6 +90,25 @@ def similarity(a: Column, b: Column) -> Column:
     return F.pandas_udf(_ratios, "double")(a, b)
 
 
+#: Character classes that are counted for the bound: letters and digits two by two, all others by their code point.
+_CLASSES = 40
+
+
+def letter_counts(text: Column) -> Column:
+    """How often a text in lower case has characters of each of ``_CLASSES`` classes."""
+    classes = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), ""), lambda c: F.when(c == "", -1).otherwise(F.ascii(c) % _CLASSES))
+    return F.transform(F.sequence(F.lit(0), F.lit(_CLASSES - 1)), lambda k: F.size(F.filter(classes, lambda c: c == k)))
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """The most that the ratio of matching blocks can be, by the letter counts of both texts: twice the characters that
+    both have over all characters. Classes hold several characters, which can only raise it."""
+    total = lambda counts: F.aggregate(counts, F.lit(0), lambda s, n: s + n)
+    common = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, n: s + n)
+    both = total(a) + total(b)
+    return F.when(both == 0, 1.0).otherwise(2.0 * common / both)
+
+
 def near_pairs(findings: DataFrame, tolerance: int = 5, least: float = 0.85) -> DataFrame:
     """Pairs ``(a, b)`` of similar findings, a < b by ``ord``: same file, lines within ``tolerance``, equal functions where
     both have one, and equal category or similar messages.
@@ -97,14 +116,15 @@ def near_pairs(findings: DataFrame, tolerance: int = 5, least: float = 0.85) ->
     A band join: rows meet in buckets of lines and the bucket next to theirs, so no file is compared with itself whole.
     """
     width = tolerance + 1
-    base = findings.select("ord", "file", "function", "line", "message", S.category(F.col("type")).alias("category"), F.floor(F.col("line") / width).alias("band"))
+    base = findings.select("ord", "file", "function", "line", "message", letter_counts(F.col("message")).alias("letters"), S.category(F.col("type")).alias("category"), F.floor(F.col("line") / width).alias("band"))
     left = base.select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step")).withColumn("band", F.col("band") + F.col("step")).drop("step")
     a, b = left.alias("a"), base.alias("b")
     close = (F.col("a.file") == F.col("b.file")) & (F.col("a.band") == F.col("b.band")) & (F.abs(F.col("a.line") - F.col("b.line")) <= tolerance)
     scoped = (F.col("a.function") == F.col("b.function")) | (F.col("a.function") == "") | (F.col("b.function") == "")
     pairs = a.join(b, close & (F.col("a.ord") < F.col("b.ord")) & scoped)
-    alike = (F.col("a.category") == F.col("b.category")) | (similarity(F.col("a.message"), F.col("b.message")) >= least)
-    return pairs.where(alike).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"))
+    equal = F.coalesce(F.col("a.category") == F.col("b.category"), F.lit(False))
+    ends = F.col("a.ord").alias("a"), F.col("b.ord").alias("b")
+    return pairs.where(equal).select(*ends).unionByName(pairs.where(~equal & (ratio_bound(F.col("a.letters"), F.col("b.letters")) >= least)).where(similarity(F.col("a.message"), F.col("b.message")) >= least).select(*ends))
 
 
 def greedy(findings: DataFrame, tolerance: int = 5) -> DataFrame:
@@ -139,19 +159,28 @@ def greedy(findings: DataFrame, tolerance: int = 5) -> DataFrame:
     return dealt.mapInArrow(run, "ord long, group long")
 
 
-def components(pairs: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataFrame:
-    """``(ord, group)``: smallest ``ord`` reachable over ``pairs(a, b)``, by label propagation; each round is a grouped
-    minimum and a pointer jump, cut with a checkpoint. Raises if it has not settled after ``rounds``."""
+def components(pairs: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
+    """``(ord, group)``: smallest ``ord`` reachable over ``pairs(a, b)``, itself without a pair.
+
+    Stars contract: every node hands its larger neighbours its least one, then its smaller neighbours too, until each
+    component is a star around its least node; rounds grow with the logarithm of a component's size. Each is grouped
+    minima, combined before the shuffle, and joins on them, cut with a checkpoint. Raises beyond ``rounds``.
+    """
     session.ensure_checkpoint_dir(pairs.sparkSession)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = nodes.select("ord", F.col("ord").alias("group")).checkpoint()
+    live = pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    seen = None
     for _ in range(rounds):
-        seen = both.join(labels, both["b"] == labels["ord"]).groupBy("a").agg(F.min("group").alias("low"))
-        moved = labels.join(seen, labels["ord"] == seen["a"], "left").select("ord", F.least("group", F.coalesce("low", "group")).alias("group"))
-        jump = moved.select(F.col("ord").alias("group"), F.col("group").alias("up"))
-        new = moved.join(jump, "group").select("ord", F.least("group", "up").alias("group")).checkpoint()
-        done = new.join(labels.withColumnRenamed("group", "old"), "ord").where("group <> old").isEmpty()
-        labels = new
-        if done:
-            return labels
-    raise RuntimeError(f"labels did not settle in {rounds} rounds")
+        both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        pointed = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        live = pointed.select("e.u", "e.v").where("u <> v").distinct().checkpoint()
+        now = tuple(live.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 20))).first())
+        if now == seen:
+            break
+        seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    found = live.groupBy("u").agg(F.min("v").alias("least"))
+    return nodes.select("ord").join(found, F.col("ord") == F.col("u"), "left").select("ord", F.coalesce("least", "ord").alias("group"))

@@ -189,7 +189,11 @@ def d1_components(spark, sf):
     return dedup.components(dedup.near_pairs(f, 1), f)
 
 
-@query("d1_greedy")
+@query("d1_greedy", """k AS (SELECT ord, line, {'file': file, 'c': replace(type, '-eth', ''), 'f': function} AS grp, row_number() OVER (PARTITION BY file, type, function ORDER BY ord) AS k FROM findings),
+w(grp, k, ord, grouped, groups) AS (SELECT grp, k, ord, ord, [{'g': ord, 'lines': [line]}] FROM k WHERE k = 1
+ UNION ALL SELECT grp, k, ord, coalesce(found, ord), CASE WHEN found IS NULL THEN list_append(groups, {'g': ord, 'lines': [line]}) ELSE list_transform(groups, lambda x: CASE WHEN x.g = found THEN {'g': x.g, 'lines': list_append(x.lines, line)} ELSE x END) END
+  FROM (SELECT k.grp, k.k, k.ord, k.line, w.groups, list_filter(w.groups, lambda x: len(list_filter(x.lines, lambda n: abs(n - k.line) <= 1)) > 0)[1].g AS found FROM w JOIN k ON k.grp = w.grp AND k.k = w.k + 1))
+SELECT ord, grouped AS "group" FROM w""")
 def d1_greedy(spark, sf):
     return dedup.greedy(views.findings(spark, sf), 1)
 

@@ -42,7 +42,13 @@ def j8(spark, sf):
     return joins.band_join(f.where("tool = 'gptscan'"), f.where("tool = 'slither'"), ["file", "type"], 5, "left_anti").select("ord")
 
 
-@query("j3_one_to_one_match")
+_MATCHED = """, placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY l, r) AS k FROM pairs_of),
+walk(grp, k, l, r, used_l, used_r, ok) AS (SELECT grp, k, l, r, [l], [r], true FROM placed WHERE k = 1
+ UNION ALL SELECT grp, k, l, r, CASE WHEN ok THEN list_append(used_l, l) ELSE used_l END, CASE WHEN ok THEN list_append(used_r, r) ELSE used_r END, ok FROM (
+  SELECT p.grp, p.k, p.l, p.r, w.used_l, w.used_r, NOT list_contains(w.used_l, p.l) AND NOT list_contains(w.used_r, p.r) AS ok FROM walk w JOIN placed p ON w.grp = p.grp AND p.k = w.k + 1))"""
+
+
+@query("j3_one_to_one_match", f"pairs_of AS (SELECT {{'file': s.file, 'type': s.type}} AS grp, s.ord AS l, m.ord AS r FROM findings s JOIN findings m ON s.file = m.file AND s.type = m.type AND s.tool = 'slither' AND m.tool = 'mythril' AND abs(s.line - m.line) <= 5){_MATCHED} SELECT grp.file AS file, grp.type AS type, l AS ord, r AS r_ord FROM walk WHERE ok")
 def j3(spark, sf):
     """Greedy one-to-one match of one tool's findings with another's within five lines, file by file."""
     f = views.findings(spark, sf).select("ord", "tool", "file", "type", "line")
@@ -363,7 +369,12 @@ def x3(spark, sf):
     return views.table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations"))
 
 
-@query("x8_rate_limit")
+_STEPS = "e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
+
+
+@query("x8_rate_limit", f"""{_STEPS}, w(event_id, user_id, k, held, ok) AS (SELECT event_id, user_id, k, [t], true FROM e WHERE k = 1
+ UNION ALL SELECT event_id, user_id, k, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END, len(live) < 2 FROM (SELECT e.event_id, e.user_id, e.k, e.t, list_filter(w.held, lambda x: x > e.t - 3600000000) AS live FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1))
+SELECT event_id, user_id, ok AS accepted FROM w""")
 def x8(spark, sf):
     """At most two accepted events of a user in any hour."""
     e = views.table(spark, sf, "events").select("event_id", "user_id", "ts")
@@ -375,7 +386,9 @@ def x9(spark, sf):
     return streams.quota(views.table(spark, sf, "events"), "user_id", "ts", 3).withColumn("period", F.col("period").cast("timestamp_ntz"))
 
 
-@query("x10_debounce")
+@query("x10_debounce", f"""{_STEPS}, w(event_id, user_id, k, last, ok) AS (SELECT event_id, user_id, k, t, true FROM e WHERE k = 1
+ UNION ALL SELECT e.event_id, e.user_id, e.k, CASE WHEN e.t - w.last >= 7200000000 THEN e.t ELSE w.last END, e.t - w.last >= 7200000000 FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
+SELECT event_id, user_id, ok AS accepted FROM w""")
 def x10(spark, sf):
     e = views.table(spark, sf, "events").select("event_id", "user_id", "ts")
     return streams.debounce(e, "user_id", "ts", 7200.0).select("event_id", "user_id", "accepted")

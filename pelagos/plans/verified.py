@@ -10,6 +10,7 @@ from pelagos.operators import code, dedup, joins, rank, score, verify
 from pelagos.plans import views
 from pelagos.plans.codes import _HITS
 from pelagos.plans.findings import ENHANCED, ORDER
+from pelagos.plans.relations import _MATCHED
 from pelagos.plans.registry import cases, query
 
 _F8_TYPE = "CASE ord % 4 WHEN 0 THEN 'reentrancy' WHEN 1 THEN 'integer-overflow' WHEN 2 THEN 'timestamp' ELSE type END"
@@ -85,9 +86,12 @@ def j6(spark, sf):
     return verify.title_pairs(*_sides(spark, sf), ["file"])
 
 
-@query("j6_title_match_counts")
+@query("j6_title_match_counts", f"""{_SIDES}, pairs_of AS (SELECT p.file AS grp, p.ord AS l, t.ord AS r FROM w p JOIN w t ON p.file = t.file AND p.tool = 'slither' AND t.tool = 'mythril'
+WHERE (p.swc_id <> '' AND p.swc_id = t.swc_id) OR contains(t.title, p.title) OR contains(p.title, t.title) OR list_has_any(p.words, t.words)){_MATCHED.replace('walk', 'steps')},
+tp AS (SELECT grp AS file, count(*) AS tp FROM steps WHERE ok GROUP BY grp), n AS (SELECT file, count(*) FILTER (WHERE tool = 'slither') AS predicted, count(*) FILTER (WHERE tool = 'mythril') AS truth FROM w WHERE tool IN ('slither', 'mythril') GROUP BY file)
+SELECT n.file, coalesce(tp, 0)::BIGINT AS tp, predicted - coalesce(tp, 0)::BIGINT AS fp, truth - coalesce(tp, 0)::BIGINT AS fn FROM n LEFT JOIN tp ON n.file = tp.file""")
 def j6_counts(spark, sf):
-    """Findings of either side used once, in order; rows as SQL cannot match greedily."""
+    """Findings of either side used once, in order."""
     predicted, truth = _sides(spark, sf)
     used = joins.one_to_one(verify.title_pairs(predicted, truth, ["file"]), ["file"], "p", "t")
     return verify.matched_counts(predicted, truth, used, ["file"])
