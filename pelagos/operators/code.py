@@ -68,6 +68,33 @@ def imports(docs: DataFrame, advisories: DataFrame, key: str = "doc_id", text: s
     return found.join(advisories, "package").select(key, "path", "advisory")
 
 
+def version_key(version: Column) -> Column:
+    """``major.minor.patch`` as a number that compares, a part that is missing as 0; null where no number begins it. What
+    stands before the first digit (``^``, ``~``, ``v``, ``>=``) and after the third part does not count."""
+    part = lambda i: F.regexp_extract(version, r"^[^0-9]*(\d+)(?:\.(\d+))?(?:\.(\d+))?", i)
+    number = lambda i: F.coalesce(part(i).try_cast("long"), F.lit(0))
+    return F.when(part(1) != "", number(1) * 1_000_000_000_000 + number(2) * 1_000_000 + number(3))
+
+
+def versioned_imports(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, package, version)`` of imports that name a version: ``package@version/path``, scoped packages too."""
+    paths = F.regexp_extract_all(without_comments(F.col(text)), F.lit(r"import\s+(?:[^\"';]*?from\s+)?[\"']([^\"']+)[\"']"), F.lit(1))
+    part = lambda i: F.regexp_extract("path", r"^(@[^/@]+/[^/@]+|[^/@]+)@([^/]+)", i)
+    found = docs.select(key, F.explode(F.array_distinct(paths)).alias("path"))
+    return found.where(part(1) != "").select(key, part(1).alias("package"), part(2).alias("version")).distinct()
+
+
+def advised(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
+    """``dependencies(package, version, ...)`` with the ``advisory`` of each range of ``advisories(package, introduced, fixed,
+    advisory)`` that holds their version: from ``introduced`` on (null: from the first), before ``fixed`` (null: without end).
+    Versions meet ranges by package and compare as numbers; one that is none meets no range."""
+    low, high = F.coalesce(version_key(F.col("introduced")), F.lit(0)), F.coalesce(version_key(F.col("fixed")), F.lit((1 << 63) - 1))
+    ranges = advisories.select(F.col("package").alias("package__"), low.alias("low__"), high.alias("high__"), "advisory")
+    at = version_key(F.col("version"))
+    on = (F.col("package") == F.col("package__")) & (at >= F.col("low__")) & (at < F.col("high__"))
+    return dependencies.join(ranges, on).drop("package__", "low__", "high__")
+
+
 def ir_calls(lines: DataFrame, line: str = "line") -> DataFrame:
     """Calls in lines of intermediate code: kind, target, destination; other lines are left out."""
     shape = r"(HIGH_LEVEL_CALL|LOW_LEVEL_CALL|INTERNAL_CALL|SEND|TRANSFER),?\s*(?:dest:)?\s*([\w.$]*)[^,]*,?\s*(?:function:)?\s*([\w.$]*)"

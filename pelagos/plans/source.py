@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pelagos.operators import code, crossing, embed, flows, lexer, vindex
+from pelagos.operators import bounded, code, crossing, embed, flows, lexer, vindex
 from pelagos.plans import views
 from pelagos.plans.registry import query
+from pelagos.streaming import sessions
 
 
 def _re(pattern: str) -> str:
@@ -154,3 +155,60 @@ def t4_similar(spark, sf):
     rows = spark.read.parquet(f"{path}-vectors")
     vindex.build(rows, path, lists=16)
     return vindex.search(spark, path, rows.where("vec_id % 100 = 0"), 1, None).select("query", "similarity")
+
+
+# ---- advisories by version ------------------------------------------------------------------------
+
+_ADVISORIES = [
+    ("@open/kit0", None, "1.5.0", "K-1"), ("@open/kit0", "2.0.0", "2.4.2", "K-2"), ("@open/kit0", "2.4.2", None, "K-3"), ("@open/kit1", "1.10.0", "3.2.0", "K-4"), ("@open/kit1", "3.2.1", "3.3.0", "K-5"), ("@other", None, None, "K-6"),
+]
+_RANGES = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in _ADVISORIES)
+
+
+@query("t26_advised_versions", f"""a(package, introduced, fixed, advisory) AS (VALUES {_RANGES}),
+r AS (SELECT package, advisory, [coalesce(string_split(introduced, '.')[i]::INT, 0) FOR i IN [1, 2, 3]] AS low, CASE WHEN fixed IS NOT NULL THEN [string_split(fixed, '.')[i]::INT FOR i IN [1, 2, 3]] END AS high FROM a),
+d AS (SELECT doc_id, '@open/kit' || doc_id % 2 AS package, doc_id % 4 || '.' || doc_id % 11 || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '.' || doc_id % 9 END AS version, [doc_id % 4, doc_id % 11, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id % 9 END] AS v FROM contracts)
+SELECT d.doc_id, d.package, d.version, r.advisory FROM d JOIN r ON d.package = r.package AND d.v >= r.low AND (r.high IS NULL OR d.v < r.high)""")
+def t26_versions(spark, sf):
+    """Imports whose version an advisory's range holds; ranges may have open ends."""
+    advisories = spark.createDataFrame(_ADVISORIES, "package string, introduced string, fixed string, advisory string")
+    return code.advised(code.versioned_imports(views.contracts(spark, sf)), advisories)
+
+
+# ---- nested JSON within limits --------------------------------------------------------------------
+
+#: A body per event: some nest too deep, some have lists or texts that are too long, some are broken.
+_BODY = """CASE WHEN event_id % 10 = 0 THEN repeat('[', CAST(5 + event_id % 7 AS INT)) || '1' || repeat(']', CAST(5 + event_id % 7 AS INT))
+ WHEN event_id % 10 = 1 THEN '{"items": [' || repeat('1, ', CAST(94 + event_id % 13 AS INT)) || '2], "k": {"a": null, "b": true}}'
+ WHEN event_id % 10 = 2 THEN '{"t": "' || repeat('ab', CAST(2495 + event_id % 11 AS INT)) || '"}'
+ WHEN event_id % 10 = 3 THEN '{"broken": ' ELSE '{"k": {"list": [1, 2.5, "x", {"y": false}]}, "n": ' || event_id || '}' END"""
+
+
+@query("t15_bounded_json", f"SELECT event_id FROM events WHERE CASE event_id % 10 WHEN 0 THEN 5 + event_id % 7 <= 8 WHEN 1 THEN 95 + event_id % 13 <= 100 WHEN 2 THEN 2 * (2495 + event_id % 11) <= 5000 WHEN 3 THEN false ELSE true END")
+def t15(spark, sf):
+    """Bodies of which no value is beyond a limit."""
+    docs = views.table(spark, sf, "events").select("event_id", F.expr(_BODY).alias("body"))
+    return bounded.within_limits(docs, "event_id").select("event_id")
+
+
+# ---- sessions with timers -------------------------------------------------------------------------
+
+_SESSIONS = """e AS (SELECT event_id, user_id, event_type, ts, epoch_us(ts) AS t FROM events),
+f AS (SELECT *, coalesce(t - lag(t) OVER w > {silence} OR {ends}, true) AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM f),
+g AS (SELECT user_id, n, min(ts) AS began, max(ts) AS last, max(t) AS t, count(*) AS steps, count(*) FILTER (WHERE event_type = 'error') AS failed_steps, arg_max(event_type, (ts, event_id)) AS kind, n = max(n) OVER (PARTITION BY user_id) AS newest FROM n GROUP BY user_id, n)"""
+
+
+@query("x4_ended_sessions", _SESSIONS.format(silence=259_200_000_000, ends="lag(event_type) OVER w = 'purchase'") + """
+SELECT user_id::VARCHAR AS session, began, last, steps, failed_steps, CASE kind WHEN 'purchase' THEN 'completed' ELSE 'timed_out' END AS state FROM g WHERE kind = 'purchase' OR NOT newest OR t + 259200000000 < (SELECT max(t) FROM e)""")
+def x4(spark, sf):
+    """Sessions that a purchase has completed or three days of silence have ended."""
+    got = sessions.ended(views.table(spark, sf, "events"), "user_id", "ts", "event_type", "event_id", {"purchase": "completed"}, 259_200, "error")
+    return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("began", "last")})
+
+
+@query("x6_silent_clients", _SESSIONS.format(silence=172_800_000_000, ends="false") + """
+SELECT user_id::VARCHAR AS session, last, steps FROM g WHERE NOT newest OR t + 172800000000 < (SELECT max(t) FROM e)""")
+def x6(spark, sf):
+    """Clients that were not heard of for two days, each time."""
+    return sessions.silent(views.table(spark, sf, "events"), "user_id", "ts", "event_id", 172_800).withColumn("last", F.col("last").cast("timestamp_ntz"))

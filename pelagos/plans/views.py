@@ -62,6 +62,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTRACT = " || chr(10) || ".join([
     "'pragma solidity ^0.' || (4 + k % 5) || '.' || (k % 20) || ';'",
     "'import \"@lib/pack' || (k % 3) || '/token.sol\";'",
+    "'import {X} from \"@open/kit' || (k % 2) || '@' || (k % 4) || '.' || (k % 11) || CASE WHEN k % 5 = 0 THEN '' ELSE '.' || (k % 9) END || '/access/X.sol\";'",
     "'contract C' || k || ' {'",
     "'  // tx.origin == owner'",
     "'  /* } function none() public { // \"'",
