@@ -45,6 +45,8 @@ STEP = 256
 #: Keys of a text among its near duplicates, and least shingle hashes in each: texts of similarity 0.8 share a key with
 #: probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997.
 BANDS, ROWS = 8, 3
+#: Pairs of a tile that sets may refuse one by one before all that are left are decided at once; shingles taken at once then.
+PATIENCE, COLUMNS = 128, 8192
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 
@@ -159,22 +161,34 @@ def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return label
 
 
-def _checked(label: np.ndarray, x: np.ndarray, y: np.ndarray, alike) -> np.ndarray:
-    """As ``_joined``, of the links that ``alike`` confirms, the nearest first; those inside a component are not asked."""
+def _checked(label: np.ndarray, x: np.ndarray, y: np.ndarray, alike: Alike) -> np.ndarray:
+    """As ``_joined``, of the links that ``alike`` confirms, the nearest first; those inside a component are not asked.
+
+    Pairs are asked one by one while that joins rows, since each one joined spares many; after ``PATIENCE`` refusals all
+    that are left are decided at once.
+    """
     apart = label[x] != label[y]
     x, y = x[apart], y[apart]
-    while len(x):
-        at = next((i for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)) if alike(a, b)), None)
+    refused = 0
+    while len(x) and refused < PATIENCE:
+        asked = x[: PATIENCE - refused].tolist(), y[: PATIENCE - refused].tolist()
+        at = next((i for i, (a, b) in enumerate(zip(*asked, strict=True)) if alike(a, b)), None)
         if at is None:
-            break
+            refused += len(asked[0])
+            x, y = x[len(asked[0]) :], y[len(asked[0]) :]
+            continue
+        refused += at
         label = _joined(label, x[at : at + 1], y[at : at + 1])
         x, y = x[at + 1 :], y[at + 1 :]
         apart = label[x] != label[y]
         x, y = x[apart], y[apart]
+    if len(x):
+        sure = alike.many(x, y)
+        label = _joined(label, x[sure], y[sure])
     return label
 
 
-def _tile_labels(fps: np.ndarray, cut: int, radius: int, alike=None) -> np.ndarray:
+def _tile_labels(fps: np.ndarray, cut: int, radius: int, alike: Alike | None = None) -> np.ndarray:
     """Per row its least row connected by links of ``radius`` bits or fewer (that ``alike`` confirms, if given).
 
     Rows below ``cut`` are compared with those from it on; ``cut`` 0: all with all. Either side comes sorted by
@@ -198,6 +212,8 @@ def _tile_labels(fps: np.ndarray, cut: int, radius: int, alike=None) -> np.ndarr
                     bits += np.bitwise_count(fps[i:i_end, None, k] ^ fps[None, j:j_end, k])
             near = bits <= radius
             near &= mine[:, None] != other[None, :]
+            if i == j:
+                near = np.triu(near, 1)  # every pair once
             x, y = np.nonzero(near)
             if alike is None:
                 label = _joined(label, x + i, y + j)
@@ -207,18 +223,47 @@ def _tile_labels(fps: np.ndarray, cut: int, radius: int, alike=None) -> np.ndarr
     return label
 
 
-def _alike(sets: np.ndarray, similarity: float):
-    """Whether the shingle sets (sorted 32-bit hashes as bytes) of two rows reach that Jaccard similarity."""
+class Alike:
+    """Whether the shingle sets (sorted 32-bit hashes as bytes) of two rows reach a Jaccard similarity."""
 
-    def alike(a: int, b: int) -> bool:
-        small, large = sorted((sets[a], sets[b]), key=len)
-        if len(small) < similarity * len(large):
-            return False
-        one, two = np.frombuffer(small, np.uint32), np.frombuffer(large, np.uint32)
-        both = len(np.intersect1d(one, two, assume_unique=True))
-        return both >= similarity * (len(one) + len(two) - both)
+    def __init__(self, sets: np.ndarray, similarity: float):
+        self.sets, self.similarity = sets, similarity
+        self.sizes = np.fromiter((len(s) // 4 for s in sets), np.int64, len(sets))
+
+    def enough(self, both: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return both >= self.similarity * (self.sizes[x] + self.sizes[y] - both)
 
-    return alike
+    def __call__(self, a: int, b: int) -> bool:
+        small, large = sorted((a, b), key=self.sizes.__getitem__)
+        if self.sizes[small] < self.similarity * self.sizes[large]:
+            return False
+        one, two = np.frombuffer(self.sets[small], np.uint32), np.frombuffer(self.sets[large], np.uint32)
+        return bool(self.enough(len(np.intersect1d(one, two, assume_unique=True)), a, b))
+
+    def many(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The answer for each pair, by one product of 0-1 matrices over the shingles that more than one row has."""
+        sizes = np.sort(np.stack((self.sizes[x], self.sizes[y])), axis=0)
+        out = sizes[0] >= self.similarity * sizes[1]
+        if not out.any():
+            return out
+        rows, place = np.unique(np.concatenate((x[out], y[out])), return_inverse=True)
+        values = np.frombuffer(b"".join(self.sets[r] for r in rows), np.uint32)
+        row = np.repeat(np.arange(len(rows)), self.sizes[rows])
+        order = np.argsort(values, kind="stable")
+        first = np.concatenate(([True], values[order][1:] != values[order][:-1])) if len(order) else np.zeros(0, bool)
+        column, times = np.cumsum(first) - 1, np.diff(np.append(np.flatnonzero(first), len(first)))
+        shared = times[column] > 1
+        number = np.cumsum(times > 1) - 1
+        row, column = row[order][shared], number[column[shared]]
+        both = np.zeros((len(rows), len(rows)), np.float32)
+        cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + COLUMNS, COLUMNS))
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            has = np.zeros((len(rows), COLUMNS), np.float32)
+            has[row[a:b], column[a:b] - k * COLUMNS] = 1
+            both += has @ has.T  # whole numbers below 2^24: exact
+        n = int(out.sum())
+        out[out] = self.enough(both[place[:n], place[n:]].astype(np.int64), x[out], y[out])
+        return out
 
 
 def _compare(words: int, radius: int, similarity: float | None):
@@ -232,7 +277,7 @@ def _compare(words: int, radius: int, similarity: float | None):
             side, node = rows[1][start:end], rows[2][start:end]
             if end - start < 2 or (side[0] != 2 and side[0] == side[-1]):
                 continue
-            alike = None if similarity is None else _alike(rows[-1][start:end], similarity)
+            alike = None if similarity is None else Alike(rows[-1][start:end], similarity)
             label = _tile_labels(fps[start:end], 0 if side[0] == 2 else int(np.searchsorted(side, 1)), radius, alike)
             lower = np.flatnonzero(label != np.arange(len(label)))
             left.append(node[lower])

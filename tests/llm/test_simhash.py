@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -87,6 +88,41 @@ def test_memory_of_a_sheet_of_near_rows():
     assert (label == 0).all()
 
 
+def family(rng, n, similarity, size=400):
+    """Shingle sets of ``n`` variants of one text, any two with about that Jaccard similarity, and fingerprints in a radius."""
+    keep = 2 * similarity / (1 + similarity)  # share of a variant's shingles that all variants have
+    common_part = rng.choice(1 << 30, int(size * keep), replace=False).astype(np.uint32)
+    sets = [np.unique(np.concatenate((common_part, rng.integers(1 << 30, 1 << 32, size - len(common_part), dtype=np.uint64).astype(np.uint32)))).tobytes() for _ in range(n)]
+    fps = rng.integers(0, 1 << 63, 4, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (n, 4), dtype=np.uint64))
+    return np.array(sets, object), fps
+
+
+def test_a_sheet_of_unlike_variants_is_decided_at_once():
+    """Template pages: 2,048 rows inside the radius of which no two reach 0.8; asked pair by pair they take minutes."""
+    sets, fps = family(np.random.default_rng(1), 2048, 0.7)
+    start = time.perf_counter()
+    label = simhash._tile_labels(fps[np.argsort(np.bitwise_count(fps).sum(axis=1), kind="stable")], 0, 56, simhash.Alike(sets, 0.8))
+    assert time.perf_counter() - start < 10
+    assert (label == np.arange(2048)).all()
+
+
+def test_tiles_decide_as_single_pairs_do(monkeypatch):
+    rng = np.random.default_rng(2)
+    parts = [family(rng, 40, s) for s in (0.78, 0.8, 0.83, 0.95)]
+    sets = np.concatenate([p[0] for p in parts] + [np.array([b"", b"", np.arange(3, dtype=np.uint32).tobytes()], object)])
+    alike = simhash.Alike(sets, 0.8)
+    x, y = np.triu_indices(len(sets), 1)
+    one_by_one = np.array([alike(a, b) for a, b in zip(x.tolist(), y.tolist(), strict=True)])
+    assert (alike.many(x, y) == one_by_one).all() and 0 < one_by_one.sum() < len(x)
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    assert (alike.many(x, y) == one_by_one).all()
+    fps = np.zeros((len(sets), 4), np.uint64)
+    want = simhash._joined(np.arange(len(sets)), x[one_by_one], y[one_by_one])
+    for patience in (0, 3, 10**9):
+        monkeypatch.setattr(simhash, "PATIENCE", patience)
+        assert (simhash._tile_labels(fps, 0, 56, alike) == want).all()
+
+
 def test_sheets_of_long_sets_are_bounded_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHEET_BYTES", 4000)
     sets = [np.arange(i // 10 * 1000, i // 10 * 1000 + 100 + i % 10, dtype=np.uint32).tobytes() for i in range(60)]
