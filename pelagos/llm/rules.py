@@ -110,7 +110,7 @@ def _distance(names: list[str]) -> list[tuple[str, Column]]:
 
 
 def _far(rows: DataFrame, params: DataFrame, names: list[str]) -> DataFrame:
-    rows = rows.join(params, "g")
+    rows = rows.join(common.small_or_shuffled(params), "g")
     for name, column in _distance(names):
         rows = rows.withColumn(name, column)
     return rows
@@ -141,7 +141,7 @@ def _step(rows: DataFrame, params: DataFrame, names: list[str], floors: list[flo
     upto = counted.select("g", "start", "class", F.sum("count").over(group.orderBy("class")).alias("upto"), F.sum("count").over(group).alias("all"))
     # Written first: a table of one row per group and start is then known to be small, and no rows are shuffled to meet it.
     cut = common.materialize(upto.where(F.col("upto") >= F.ceil(share * F.col("all"))).groupBy("g", "start").agg(F.min("class").alias("cut")), "cut")
-    near = far.join(cut, ["g", "start"]).where("class <= cut")
+    near = far.join(common.small_or_shuffled(cut), ["g", "start"]).where("class <= cut")
     found = _factor(_moments(near, names), names, floors)
     return found.withColumn("det", sum((F.ln(f"l_{i}_{i}") for i in range(1, len(names))), F.ln("l_0_0")))
 
@@ -152,23 +152,26 @@ def _least(params: DataFrame, most: int) -> DataFrame:
     return params.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
-def estimate(rows: DataFrame, share: float = 0.75, starts: int = 8, subset: int = 12, steps: int = 30) -> DataFrame:
+def estimate(rows: DataFrame, share: float = 0.75, starts: int = 8, subset: int = 12, steps: int = 30, nested: int = 1500) -> DataFrame:
     """``g, n, m_i, c_i_j, det`` of least determinant per group of ``rows(g, draw, x_...)``.
 
     ``starts`` hashed subsets of about ``subset`` rows (``draw`` decides) and the group as a whole take two concentration
-    steps; the two best go on until the determinant's logarithm falls by less than 1e-6, ``steps`` at most.
+    steps over about ``nested`` rows of each group, or all that it has; the two best go on over all rows until the
+    determinant's logarithm falls by less than 1e-6, ``steps`` at most.
     """
     names, floors = [n for n, _ in STATS], [s for _, s in STATS]
-    sizes = rows.groupBy("g").agg(F.count("*").alias("size"))
+    sizes = common.small_or_shuffled(common.materialize(rows.groupBy("g").agg(F.count("*").alias("size")), "sizes"))
     unit = lambda k: F.shiftrightunsigned(F.xxhash64("draw", F.lit(k)), 11) / float(1 << 53)
-    chosen = F.array(F.lit(0), *[F.when(unit(k) < subset / F.col("size"), k) for k in range(1, starts + 1)])
     rows = rows.select("g", "draw", *[F.round(F.col(n) * SCALE).cast("long").alias(f"q_{i}") for i, n in enumerate(names)])
     whole = [f"q_{i}" for i in range(len(names))]
-    drawn = rows.join(common.materialize(sizes, "sizes"), "g").select("g", *whole, F.explode(F.array_compact(chosen)).alias("start"))
+    some = common.materialize(rows.join(sizes, "g").where(unit(starts + 1) * F.col("size") < nested), "nested")
+    chosen = F.array(F.lit(0), *[F.when(unit(k) * F.least("size", F.lit(nested)) < subset, k) for k in range(1, starts + 1)])
+    drawn = some.select("g", *whole, F.explode(F.array_compact(chosen)).alias("start"))
     params = common.materialize(_factor(_moments(drawn, names), names, floors), "starts")
-    rows = rows.select("g", *whole, *[(F.col(q) / SCALE).alias(n) for q, n in zip(whole, names, strict=True)])
+    scaled = lambda df: df.select("g", *whole, *[(F.col(q) / SCALE).alias(n) for q, n in zip(whole, names, strict=True)])
     for _ in range(2):
-        params = common.materialize(_step(rows, params, names, floors, share), "mcd")
+        params = common.materialize(_step(scaled(some), params, names, floors, share), "mcd")
+    rows = scaled(rows)
     live = common.materialize(_least(params, 2), "mcd")
     settled = []
     for _ in range(steps):
