@@ -24,34 +24,49 @@ from pelagos.llm import common
 
 #: Tokenizer results kept per Python worker, about 200 bytes each.
 CACHE = 300_000
-#: Longest chunk that is kept, in bytes.
-KEPT = 64
+#: Longest chunk that is kept, in bytes; chunks encoded together; characters of text worked on together.
+KEPT, TOGETHER, TEXT = 64, 2_000, 2_000_000
 #: Marks that end a word; the tokenizer never joins them to the letter or digit before.
 ENDING = re.compile(rb"(?<=[a-z0-9])([.,;:!?]+)(?=\s|$)")
 
 
 class ChunkIds(dict):
-    """Token ids (little-endian 32-bit bytes) of chunks of text, computed once each."""
+    """Token ids (little-endian 32-bit bytes) of chunks of text. Those that are not known are encoded together."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= KEPT:
-            if len(self) >= CACHE:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        """Ids of a whole text. The tokenizer lowers case, drops white space and never joins across it, so chunks
-        are looked up with A-Z lowered and end marks apart; a text that may hold special tokens keeps its case."""
-        data = text.encode("utf-8", "surrogatepass")
-        chunks = data.split() if b"<|" in data else ENDING.sub(rb" \1", data.lower()).split()
-        return b"".join(map(self.__getitem__, chunks))
+    def learn(self, chunks: list[bytes]) -> None:
+        """Encode ``chunks`` as one text, blanks between them, which no token crosses, and cut its ids where they lie."""
+        texts = [c.decode("utf-8", "surrogatepass") for c in chunks]
+        starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids, at = np.array(found.ids, "<u4").tobytes(), np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        cuts = 4 * np.searchsorted(at, starts)
+        self.update(zip(chunks, [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], strict=True))
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts. The tokenizer lowers case, drops white space and never joins across it, so chunks are
+        looked up with A-Z lowered and end marks apart; a text that may hold special tokens keeps its case."""
+        split = []
+        for text in texts:
+            data = text.encode("utf-8", "surrogatepass")
+            split.append(data.split() if b"<|" in data else ENDING.sub(rb" \1", data.lower()).split())
+        wanted = set().union(*split)
+        new = wanted - self.keys()
+        if len(self) + len(new) > CACHE:
+            self.clear()
+            new = wanted
+        new = list(new)
+        for i in range(0, len(new), TOGETHER):
+            self.learn(new[i : i + TOGETHER])
+        out = [b"".join(map(self.__getitem__, chunks)) for chunks in split]
+        for chunk in new:
+            if len(chunk) > KEPT:
+                del self[chunk]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -71,11 +86,23 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
         width = 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
+            some: list[tuple] = []
+            held = 0
+
+            def cut(some: list[tuple], rows: list[tuple]) -> None:
+                for (doc_id, _), ids in zip(some, known.of([text for _, text in some]), strict=True):
+                    ids += bytes(4)
+                    for k, at in enumerate(range(0, len(ids), width)):
+                        part = ids[at : at + width]
+                        rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = known.of(text.as_py() or "") + bytes(4)
-                for k, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                some.append((doc_id, text.as_py() or ""))
+                held += len(some[-1][1])
+                if held >= TEXT:
+                    cut(some, rows)
+                    some, held = [], 0
+            cut(some, rows)
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]

@@ -56,4 +56,20 @@ def test_chunks_give_the_tokenizer_s_own_ids():
     t = Tokenizer.from_file(queries.tokenizer_path())
     known = packing.ChunkIds(queries.tokenizer_path())
     for text in ("Don't stop, it's 3.14!? OK... a,b ,c", "ÀÉÎ naïve É é İstanbul ΣΑΣ, ſ K.", "<|ENDOFTEXT|> <|endoftext|>x, y.", "tab\tnew\nline\x0b\x0c\x1c  x.", "'S 'll. a's, x'", "ab.!? cd!x e,."):
-        assert known.of(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+        assert known.of([text]) == [np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()], text
+
+
+def test_chunks_encoded_together_are_those_encoded_alone(documents, monkeypatch):
+    """However many chunks are encoded at once and however few are kept, a text's ids are the tokenizer's own."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    texts = [r.text or "" for r in documents.collect()] + ["", "x" * 300 + " é́ ​ \U0001f600️ <|endoftext|> A.B, c?!", "\x00 \x01a \x7f", "ﬁ ǅ İstanbul"]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    for together, cache in ((1, 10**6), (7, 50), (2_000, 300_000)):
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        monkeypatch.setattr(packing, "CACHE", cache)
+        known = packing.ChunkIds(queries.tokenizer_path())
+        assert known.of(texts) == want
+        assert [x for y in texts for x in known.of([y])] == want
+        assert max(map(len, known)) <= packing.KEPT
