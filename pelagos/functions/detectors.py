@@ -46,12 +46,12 @@ def guarded(f: Callable) -> Callable:
     return run
 
 
-def register(spark: SparkSession) -> list[str]:
-    """Make every detector a table function ``detect_<name>(text)`` of the session; returns the names."""
+def register(spark: SparkSession, more: dict[str, Callable] | None = None) -> list[str]:
+    """Make every detector, and those of ``more``, a table function ``detect_<name>(text)`` of the session; returns the names."""
     from pyspark.sql.functions import udtf
 
     out = []
-    for name, f in REGISTRY.items():
+    for name, f in (REGISTRY | (more or {})).items():
         run = guarded(f)
 
         class Rows:

@@ -42,14 +42,35 @@ def semantic(findings: DataFrame, width: int = 15) -> DataFrame:
 
 
 def exact(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """Identical findings from several tools to one: the tools in order of arrival, how many rows went."""
-    return findings.groupBy(*keys).agg(
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "tool"))), lambda x: x["tool"])).alias("tools"),
+    """Identical findings from several tools to one: the tools in order of arrival, how many rows went. Rows are counted per
+    key and tool first, so that what is gathered of a key are its few tools, however many rows it has."""
+    once = findings.groupBy(*keys, "tool").agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
+    return once.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "tool"))), lambda x: x["tool"]).alias("tools"),
         F.min("ord").alias("first_ord"),
-        (F.count("*") - 1).alias("collapsed"),
+        (F.sum("n") - 1).alias("collapsed"),
     )
 
 
+def merged_with_evidence(findings: DataFrame, width: int = 15) -> DataFrame:
+    """``semantic`` with ``evidence``: the first message of each tool of a group, in order of arrival; a group has as many as
+    it has tools, not as it has rows."""
+    keys = ["category", "file", "function", "line_bucket"]
+    placed = findings.select("ord", "tool", "message", "file", "function", S.category(F.col("type")).alias("category"), S.bucket(F.col("line"), width).alias("line_bucket"))
+    said = placed.groupBy(*keys, "tool").agg(F.min(F.struct("ord", "message")).alias("m")).groupBy(*keys)
+    evidence = said.agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["message"]).alias("evidence"))
+    merged = semantic(findings, width)
+    on = [merged[k].eqNullSafe(evidence[k]) for k in keys]
+    return merged.join(evidence, on).select(*[merged[c] for c in merged.columns], "evidence")
+
+
+def merge_statistics(merged: DataFrame) -> DataFrame:
+    """One row: findings before and after merging, how many went, their share, groups of several tools."""
+    n = F.coalesce(F.sum("n_findings"), F.lit(0))
+    share = F.when(n > 0, F.bround((n - F.count("*")) / n, 6)).otherwise(0.0)
+    return merged.agg(n.alias("original"), F.count("*").alias("merged"), (n - F.count("*")).alias("removed"), share.alias("reduction"), F.count_if(F.col("tool_count") > 1).alias("cross_tool"))
+
+
 def first_per(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     """The first row of each key by ``order`` (different within a key): an aggregate, not a window, so it is combined before
     the shuffle."""

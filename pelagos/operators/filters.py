@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagos.functions import scalars as S
@@ -30,6 +30,23 @@ def diminishing(matches: Column) -> Column:
     return F.least(F.lit(0.95), weighed)
 
 
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n (0 for none): summed for small n, else by its expansion, right to some 1e-12."""
+    small = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(20)), F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + F.lit(1.0) / i)
+    x = n.cast("double")
+    large = F.ln(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    return F.when(n <= 0, 0.0).when(n <= 20, small).otherwise(large)
+
+
+def diminishing_per(matches: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``(keys, evidence)``: as ``diminishing`` over the matches of each key, whose weights are a few different ones. Matches
+    are counted per weight; a run of equal weights from place a + 1 to b adds weight * (H(b) - H(a)), so no key is gathered."""
+    counted = matches.groupBy(*keys, weight).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(F.desc(weight)))  # a row a weight
+    share = F.col(weight) * (harmonic(F.col("upto")) - harmonic(F.col("upto") - F.col("n")))
+    return counted.withColumn("upto", upto).groupBy(*keys).agg(F.least(F.lit(0.95), F.sum(share)).alias("evidence"))
+
+
 def additive(findings: DataFrame, signals: dict[str, tuple[Column, float]], threshold: float, confirmations: Column | None = None) -> DataFrame:
     """Additive false-positive score of the signals that hold, less for confirmed findings, at most 0.95; rows under
     ``threshold`` are kept and their confidence scaled by what is left."""

@@ -166,3 +166,15 @@ def merged_maps(base: Column, over: Column) -> Column:
     empty = F.create_map().cast("map<string,string>")
     return F.map_zip_with(F.coalesce(base, F.create_map().cast("map<string,map<string,string>>")), F.coalesce(over, F.create_map().cast("map<string,map<string,string>>")),
         lambda k, a, b: F.map_zip_with(F.coalesce(a, empty), F.coalesce(b, empty), lambda n, x, y: F.coalesce(y, x)))
+
+
+#: Tools that read code by rules, tools that ask a model, what agreement of both adds.
+STATIC_TOOLS, MODEL_TOOLS, AGREEMENT = ("slither", "aderyn", "mythril"), ("smartllm", "gptscan"), 0.15
+
+
+def tagged(merged: DataFrame) -> DataFrame:
+    """Adds ``tag`` (cross, model, static) by the kinds of tools in ``tools``, and ``confidence``: ``c``, more where both agree."""
+    has = lambda names: F.arrays_overlap("tools", F.array(*map(F.lit, names)))
+    both = has(STATIC_TOOLS) & has(MODEL_TOOLS)
+    tag = F.when(both, "cross").when(has(MODEL_TOOLS), "model").otherwise("static")
+    return merged.withColumn("tag", tag).withColumn("confidence", F.least(F.lit(1.0), F.col("c") + F.when(both, AGREEMENT).otherwise(0.0)))

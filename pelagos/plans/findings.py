@@ -137,11 +137,13 @@ def f1(spark, sf):
     return filters.min_confidence(views.findings(spark, sf), 0.5).select("ord", "tool", "confidence")
 
 
-@query("f2_nested_min_confidence", "SELECT file, count(*) AS n_all, count(*) FILTER (WHERE coalesce(confidence, 1.0) >= 0.5) AS n_kept FROM findings GROUP BY file")
+@query("f2_nested_min_confidence", "SELECT ord, 3 AS n_all, (coalesce(confidence, 1.0) >= 0.5)::INT + (line / 100.0::DOUBLE >= 0.5)::INT + 1 AS n_kept FROM findings")
 def f2(spark, sf):
-    nested = views.findings(spark, sf).groupBy("file").agg(F.collect_list(F.struct(F.col("confidence").cast("string").alias("confidence"))).alias("findings"))
-    both = filters.min_confidence_nested(nested.withColumn("n_all", F.size("findings").cast("long")), 0.5)
-    return both.select("file", "n_all", F.size("findings").cast("long").alias("n_kept"))
+    """Bodies that hold their findings as arrays: some with a number, some with a number as text, some without."""
+    one = lambda c: F.struct(c.cast("string").alias("confidence"))
+    nested = views.findings(spark, sf).select("ord", F.array(one(F.col("confidence")), one(F.col("line") / 100.0), one(F.lit("unknown"))).alias("findings"))
+    both = filters.min_confidence_nested(nested.withColumn("n_all", F.size("findings")), 0.5)
+    return both.select("ord", "n_all", F.size("findings").alias("n_kept"))
 
 
 @query("f4_confidence_fp_split", "SELECT outcome, count(*) AS n, min(ord) AS first_ord FROM (SELECT ord, CASE WHEN confidence < 0.3 THEN 'below' WHEN (line / 100.0::DOUBLE) >= 0.6 THEN 'filtered' ELSE 'kept' END AS outcome FROM findings) GROUP BY outcome")
@@ -162,8 +164,8 @@ def f6(spark, sf):
 @query("f7_diminishing_evidence", "m AS (SELECT file, list_reverse_sort(list(w)) AS ws FROM (SELECT file, CASE severity WHEN 'Info' THEN 0.5::DOUBLE WHEN 'Low' THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS w FROM findings) GROUP BY file) SELECT file, round_even(least(0.95::DOUBLE, list_sum(list_transform(ws, lambda x, i: x / i))), 6) AS evidence FROM m")
 def f7(spark, sf):
     w = F.when(F.col("severity") == "Info", 0.5).when(F.col("severity") == "Low", 0.3).otherwise(0.1)
-    m = views.findings(spark, sf).groupBy("file").agg(F.collect_list(w).alias("ws"))
-    return m.select("file", F.bround(filters.diminishing(F.col("ws")), 6).alias("evidence"))
+    found = filters.diminishing_per(views.findings(spark, sf).withColumn("w", w), ["file"], "w")
+    return found.select("file", F.bround("evidence", 6).alias("evidence"))
 
 
 @query("f9_ordered_reasons", "SELECT coalesce(CASE WHEN type = 'arithmetic' AND line > 50 THEN 'checked-arithmetic' END, CASE WHEN severity = 'Info' THEN 'informational' END, CASE WHEN function = 'f0' THEN 'constructor' END) AS reason, count(*) AS n FROM findings GROUP BY 1")

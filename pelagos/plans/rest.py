@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pelagos import schema
+from pelagos.functions import detectors
 from pelagos.functions import scalars as S
 from pelagos.operators import clusters, code, correlate, dedup, learn, rank, score, severity
 from pelagos.plans import views
@@ -142,3 +143,80 @@ def t14(spark, sf):
 def p26(spark, sf):
     rows, _ = learn.features(views.findings(spark, sf))
     return rows.select("ord", "x_severity", "x_confidence", "x_message", "x_static")
+
+
+# ---- merging, order, tags, detectors, models ------------------------------------------------------
+
+
+@query("a6_merged_evidence", f"""p AS (SELECT *, {CATEGORY} AS category, (line // 5) * 5 AS line_bucket FROM findings),
+t AS (SELECT category, file, function, line_bucket, tool, min(ord) AS o FROM p GROUP BY ALL)
+SELECT t.category, t.file, t.function, t.line_bucket::INT AS line_bucket, string_agg(f.message, '|' ORDER BY t.o) AS evidence FROM t JOIN findings f ON f.ord = t.o GROUP BY ALL""")
+def a6(spark, sf):
+    """Groups of findings that mean the same, with what each of their tools said first."""
+    merged = dedup.merged_with_evidence(views.findings(spark, sf), 5)
+    return merged.select("category", "file", "function", F.col("line_bucket").cast("int").alias("line_bucket"), F.array_join("evidence", "|").alias("evidence"))
+
+
+@query("a6_merge_statistics", f"""g AS (SELECT count(*) AS n, count(DISTINCT tool) AS tools FROM (SELECT *, {CATEGORY} AS category FROM findings) GROUP BY category, file, function, line // 5)
+SELECT sum(n)::BIGINT AS original, count(*) AS merged, (sum(n) - count(*))::BIGINT AS removed, round_even((sum(n) - count(*))::DOUBLE / sum(n), 6) AS reduction, count(*) FILTER (WHERE tools > 1) AS cross_tool FROM g""")
+def a6_statistics(spark, sf):
+    return dedup.merge_statistics(dedup.semantic(views.findings(spark, sf), 5))
+
+
+@query("o3_suppressed_last", f"SELECT ord, row_number() OVER (ORDER BY (ord % 3 = 0), {ORDER} DESC, coalesce(confidence, 0.7) DESC, ord)::INT AS place FROM findings WHERE line > 10 ORDER BY place LIMIT 5000")
+def o3(spark, sf):
+    """Findings that nothing suppresses first, then by severity and confidence."""
+    f = views.findings(spark, sf).where("line > 10").withColumns({"suppressed": F.col("ord") % 3 == 0, "confidence": F.coalesce("confidence", F.lit(0.7))})
+    worst = S.lookup(schema.SEVERITY_ORDER, F.lower("severity"), 0)
+    return rank.first_rows(f, [F.col("suppressed").asc(), *rank.enhanced_order(f, worst)], 5000).select("ord", "place")
+
+
+@query("o11_chains_by_score", f"""c AS (SELECT file, line // 10 AS part, count(DISTINCT {CATEGORY}) AS kinds, max({ORDER}) AS worst FROM findings GROUP BY ALL HAVING count(DISTINCT {CATEGORY}) >= 2)
+SELECT file, part::INT AS part, round_even(least(10.0::DOUBLE, 2.0::DOUBLE * worst + 0.5::DOUBLE * (kinds - 1)), 1) AS cvss, row_number() OVER (ORDER BY round_even(least(10.0::DOUBLE, 2.0::DOUBLE * worst + 0.5::DOUBLE * (kinds - 1)), 1) DESC, file, part)::INT AS place FROM c ORDER BY place LIMIT 20""")
+def o11(spark, sf):
+    """Chains of findings of several categories in one place, the highest score first."""
+    placed = views.findings(spark, sf).select("file", F.floor(F.col("line") / 10).cast("int").alias("part"), S.category(F.col("type")).alias("category"), S.lookup(schema.SEVERITY_ORDER, F.lower("severity"), 0).alias("worst"))
+    chains = placed.groupBy("file", "part").agg(S.few_distinct(F.col("category")).alias("kinds"), F.max("worst").alias("worst")).where("kinds >= 2")
+    scored = chains.withColumn("cvss", F.bround(F.least(F.lit(10.0), 2.0 * F.col("worst") + 0.5 * (F.col("kinds") - 1)), 1))
+    return rank.first_rows(scored, [F.desc("cvss"), F.asc("file"), F.asc("part")], 20).select("file", "part", "cvss", "place")
+
+
+@query("u5_source_tags", f"""g AS (SELECT {CATEGORY} AS category, file, line // 5 AS bucket, list_distinct(list(tool)) AS tools, avg(coalesce(confidence, 0.7)) AS c FROM findings GROUP BY ALL)
+SELECT category, file, bucket::INT AS bucket, CASE WHEN list_has_any(tools, ['slither', 'aderyn', 'mythril']) AND list_has_any(tools, ['smartllm', 'gptscan']) THEN 'cross' WHEN list_has_any(tools, ['smartllm', 'gptscan']) THEN 'model' ELSE 'static' END AS tag,
+ round_even(least(1.0::DOUBLE, c + CASE WHEN list_has_any(tools, ['slither', 'aderyn', 'mythril']) AND list_has_any(tools, ['smartllm', 'gptscan']) THEN 0.15::DOUBLE ELSE 0.0 END), 6) AS confidence FROM g""")
+def u5(spark, sf):
+    """Merged findings that static tools and models agree on are tagged and weigh more."""
+    f = views.findings(spark, sf).select("file", F.floor(F.col("line") / 5).cast("int").alias("bucket"), S.category(F.col("type")).alias("category"), "tool", F.coalesce("confidence", F.lit(0.7)).alias("c"))
+    merged = f.groupBy("category", "file", "bucket").agg(F.collect_set("tool").alias("tools"), F.avg("c").alias("c"))  # few tools
+    return score.tagged(merged).select("category", "file", "bucket", "tag", F.bround("confidence", 6).alias("confidence"))
+
+
+@query("e1_detector_rows", """l AS (SELECT doc_id, n AS line, string_split(text, chr(10))[n] AS t FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents WHERE text IS NOT NULL))
+SELECT doc_id, 'long-line' AS rule, line::INT AS line, len(t) || ' characters' AS message FROM l WHERE len(t) > 120""")
+def e1(spark, sf):
+    """A detector as a table function over every document."""
+    detectors.register(spark)
+    views.table(spark, sf, "documents").createOrReplaceTempView("detected_documents")
+    return spark.sql("SELECT doc_id, d.* FROM detected_documents, LATERAL detect_long_lines(text) d")
+
+
+@query("e5_failing_detectors", """SELECT doc_id, CASE WHEN len(text) > 2000 THEN 'error' ELSE 'short' END AS rule, CASE WHEN len(text) > 2000 THEN 0 ELSE 1 END::INT AS line, CASE WHEN len(text) > 2000 THEN 'ValueError: ' || len(text) || ' characters' ELSE '' END AS message FROM documents WHERE text IS NOT NULL""")
+def e5(spark, sf):
+    """A detector that fails on long texts: its failures are rows, and the job goes on."""
+
+    def short_only(text):
+        if len(text) > 2000:
+            raise ValueError(f"{len(text)} characters")
+        yield "short", 1, ""
+
+    detectors.register(spark, {"short-only": short_only})
+    views.table(spark, sf, "documents").where("text is not null").createOrReplaceTempView("detected_texts")
+    return spark.sql("SELECT doc_id, d.* FROM detected_texts, LATERAL detect_short_only(text) d")
+
+
+@query("e6_triage_model", "SELECT count(*) AS scored, true AS probabilities, true AS separates FROM findings")
+def e6(spark, sf):
+    """A triage model trained on labelled findings: every finding gets a probability, and rows held out are told apart."""
+    rows = views.findings(spark, sf).withColumn("label", (F.col("severity").isin("Critical", "High") & (F.col("line") > 20)).cast("double"))
+    model, auc = learn.train(rows)
+    return learn.score(rows, model).agg(F.count("*").alias("scored"), F.bool_and(F.col("p_real").between(0, 1)).alias("probabilities"), F.lit(auc > 0.95).alias("separates"))
