@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -39,3 +41,51 @@ def test_awkward_rows(awkward, nothing, spark):
     assert len(rows) == awkward.count() and all(0 <= r.score <= 1 for r in rows)
     assert quality.fit(nothing, labels) is None and quality.score(nothing, None).count() == 0
     assert {r.score for r in quality.score(awkward, None).collect()} == {0.5}
+
+
+def plain_features(text):
+    """The features one by one, as sums over characters, words and lines."""
+    kinds = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&<>", "|", "!?", ".,;:", "'\"()-", "{}[]=_/\\@+~^`"]
+    words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, size = len(words), max(1, sum(len(w) for w in words))
+    own = len(set(words))
+    return [math.asinh(50 * sum(c in k for c in text) / size) for k in kinds] + [
+        math.log(1 + n), size / max(1, n) / 5, math.log(1 + len(lines)), math.log(1 + n / max(1, len(lines))), len(set(lines)) / max(1, len(lines)), own / max(1, n),
+        math.log(1 + own) / max(1.0, math.log(1 + n)), sum(words[i] == words[i - 1] for i in range(1, n)) / max(1, n), sum(w[-1:] in (b".", b"!", b"?", b":", b";") for w in words) / max(1, n),
+    ]
+
+
+def test_features_against_plain_counts(documents):
+    texts = [r.text or "" for r in documents.collect()] + ["", " \n\t", "Ünï | # A a a. a! é\n\n\nx x", "a\r\nb\r\n", "Wort und Zahl 12. " * 600_000]
+    for t in texts:
+        assert quality.features(t) == [quality.np.float64(x) for x in plain_features(t)] or np.allclose(quality.features(t), plain_features(t), rtol=1e-12, atol=1e-12)
+
+
+def test_gradients_against_differences():
+    """Of both parts of the risk: what a step adds up is the slope of the loss in every weight."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (40, 4))
+    net = quality.Network(x.mean(axis=0), x.std(axis=0), 3, 2)
+    for sign in (1, -1):
+        loss = lambda: float(np.logaddexp(0, -sign * net.forward(x)[2]).mean())
+        z, h, f = net.forward(x)
+        slope = (quality.sigmoid(f) - 1 if sign == 1 else quality.sigmoid(f)) / len(x)
+        for w, g in zip(net.weights, net.gradient(z, h, slope), strict=True):
+            for at in np.ndindex(w.shape):
+                kept = w[at]
+                w[at] = kept + 1e-6
+                up = loss()
+                w[at] = kept - 1e-6
+                down = loss()
+                w[at] = kept
+                assert abs((up - down) / 2e-6 - g[at]) < 1e-6
+
+
+def test_the_risk_of_the_negatives_stays_above_zero():
+    """Trained long on few rows, an unclipped risk of the negatives would fall far below zero."""
+    rng = np.random.default_rng(7)
+    positive, unlabelled = rng.normal(0.5, 1, (60, 6)), np.concatenate((rng.normal(0.5, 1, (40, 6)), rng.normal(-0.5, 1, (20, 6))))
+    net, prior = quality.train(positive, unlabelled, steps=3000)
+    negative = np.logaddexp(0, net.forward(unlabelled)[2]).mean() - prior * np.logaddexp(0, net.forward(positive)[2]).mean()
+    assert negative > -0.05

@@ -98,3 +98,32 @@ def test_awkward_rows(awkward, nothing):
     rows = {r.doc_id: r for r in rules.judge(awkward).collect()}
     assert not rows[2].kept and rows[2].n_words == 0 and rows[5].n_repeat_words == 3000
     assert rules.judge(nothing).count() == 0
+
+
+def test_verdicts_against_plain_shrinking_and_distances(documents):
+    """``kept`` from the estimates: groups mixed with their language's, those with all rows', factor, distance, cutoff."""
+    names, floors = [n for n, _ in rules.STATS], [f for _, f in rules.STATS]
+    k = range(len(names))
+    stats = rules.statistics(documents).where("not base_failed")
+    levelled = rules._levels(stats)
+    draw = F.xxhash64("doc_id", "n_words", "word_chars", *names).alias("draw")
+    found = {r.g: r for r in rules.estimate(levelled.select(F.explode(F.array("g0", "g1", "g2")).alias("g"), draw, *names)).collect()}
+    parts = lambda r: (r.n, np.array([r[f"m_{i}"] for i in k]), np.array([[r[f"c_{min(i, j)}_{max(i, j)}"] for j in k] for i in k]))
+
+    def mixed(narrow, wide, prior=50):
+        n, m, c = narrow
+        return n, (n * m + prior * wide[0]) / (n + prior), (n * c + prior * wide[1]) / (n + prior)
+
+    want = {}
+    for r in levelled.collect():
+        _, m0, c0 = parts(found["0"])
+        _, m1, c1 = mixed(parts(found[r.g1]), (m0, c0))
+        _, m, c = mixed(parts(found[r.g2]), (m1, c1))
+        c = c * rules.CONSISTENCY + np.diag([f**2 for f in floors])
+        x = np.array([r[n] for n in names]) - m
+        want[r.doc_id] = float(x @ np.linalg.solve(c, x))
+    got = {r.doc_id: r for r in rules.judge(documents).collect()}
+    for doc_id, d2 in want.items():
+        assert abs(got[doc_id].distance ** 2 - d2) < 1e-6 * max(1, d2)
+        assert got[doc_id].kept == (d2 <= rules.CUTOFF)
+    assert all(not r.kept and r.distance is None for i, r in got.items() if i not in want)
