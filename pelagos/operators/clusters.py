@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,16 +13,32 @@ from pelagos import schema
 from pelagos.functions import scalars as S
 
 
-def _score(a: tuple, b: tuple) -> float:
-    from difflib import SequenceMatcher
+#: Characters of a message that count.
+SHOWN = 200
 
-    near = lambda x, y: SequenceMatcher(None, (x or "")[:200].lower(), (y or "").lower()[:200]).ratio()
-    return 0.3 * near(a[0], b[0]) + 0.3 * near(a[1], b[1]) + 0.2 * (a[2] == b[2]) + 0.2
+
+def _parts(row: tuple) -> tuple:
+    """Type and message in lower case, as they are compared, and the file."""
+    return (row[0] or "").lower(), (row[1] or "").lower()[:SHOWN], row[2]
+
+
+def _reaches(a: tuple, b: tuple, least: float) -> bool:
+    """Whether 0.3 type, 0.3 message, 0.2 file and 0.2 category come to ``least``. Bounds first: by lengths, then by letters;
+    matching blocks are looked for only where both leave it open, and for the message only if the type leaves it open."""
+    rest = 0.2 * bool(a[2] and a[2] == b[2]) + 0.2
+    pairs = [SequenceMatcher(None, a[i], b[i]) for i in (0, 1)]
+    for bound in ("real_quick_ratio", "quick_ratio"):
+        if 0.3 * getattr(pairs[0], bound)() + 0.3 * getattr(pairs[1], bound)() + rest < least - 1e-9:
+            return False
+    kind = pairs[0].ratio()
+    if 0.3 * kind + 0.3 * pairs[1].quick_ratio() + rest < least - 1e-9:
+        return False
+    return 0.3 * kind + 0.3 * pairs[1].ratio() + rest >= least
 
 
 def sub_clusters(findings: DataFrame, least: float = 0.7, within: str = "file") -> DataFrame:
     """``(ord, cluster)``: in order of arrival, a finding joins the first cluster of its category and ``within`` whose first
-    finding is similar enough (0.3 type, 0.3 message, 0.2 file, 0.2 category); ``cluster`` is that first finding.
+    finding is similar enough (0.3 type, 0.3 message, 0.2 file if there is one, 0.2 category); ``cluster`` is that first finding.
 
     Findings equal in type, message and file score alike and are one row here, so a group is as large as its *different*
     findings; sorted partitions are read row by row and only a group's first findings are held.
@@ -36,9 +53,10 @@ def sub_clusters(findings: DataFrame, least: float = 0.7, within: str = "file")
             for category, part, first, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (category, part) != last:
                     last, anchors = (category, part), []
-                found = next((a for a in anchors if _score(tuple(row), a[1]) >= least), None)
+                own = _parts(tuple(row))
+                found = next((a for a in anchors if _reaches(own, a[1], least)), None)
                 if found is None:
-                    anchors.append(found := (first, tuple(row)))
+                    anchors.append(found := (first, own))
                 out.append(found[0])
             yield pa.record_batch([batch.column(2), pa.array(out, pa.int64())], ["first", "cluster"])
 

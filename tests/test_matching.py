@@ -57,3 +57,19 @@ def test_near_pairs_with_and_without_the_bound(spark):
     category = {r.ord: r.c for r in df.select("ord", dedup.S.category(F.col("type")).alias("c")).collect()}
     alike = lambda x, y: (category[x[0]] is not None and category[x[0]] == category[y[0]]) or SequenceMatcher(None, (x[4] or "").lower(), (y[4] or "").lower()).ratio() >= 0.85
     assert got == {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and abs(x[3] - y[3]) <= 5 and alike(x, y)}
+
+
+def test_bounds_of_clusters_change_no_verdict():
+    from pelagos.operators import clusters
+
+    random.seed(1)
+    words = ["reentrancy", "overflow", "sum may", "call in loop", "owner", "x", "Über", ""]
+    near = lambda x, y: SequenceMatcher(None, x, y).ratio()
+    said = lambda: " ".join(random.choice(words) for _ in range(random.randrange(5)))
+    reached = 0
+    for _ in range(5000):
+        a, b = (clusters._parts((random.choice(words) + random.choice(words), said(), random.choice("ab"))) for _ in range(2))
+        score = 0.3 * near(a[0], b[0]) + 0.3 * near(a[1], b[1]) + 0.2 * (a[2] == b[2]) + 0.2
+        assert clusters._reaches(a, b, 0.7) == (score >= 0.7)
+        reached += score >= 0.7
+    assert 50 < reached < 4500
