@@ -161,7 +161,9 @@ def a17(spark, sf):
     return g.select("k", "h", "n", low.alias("low"), high.alias("high"))
 
 
-@query("a18_mcnemar")
+@query("a18_mcnemar", """t AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS a, count(*) FILTER (WHERE quality = 1 AND toxic <> 0) AS b, count(*) FILTER (WHERE quality <> 1 AND toxic = 0) AS c, count(*) FILTER (WHERE quality <> 1 AND toxic <> 0) AS d FROM labels)
+SELECT a, b, c, d, round_even(CASE WHEN b + c = 0 THEN 1.0::DOUBLE WHEN b + c < 25 THEN least(1.0::DOUBLE, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))) FROM range(least(b, c) + 1) r(k)))
+ ELSE 1 - 2 / sqrt(pi()) * (SELECT sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(x * k / 2000, 2))) * x / 6000 FROM range(2001) r(k)) END, 6) AS p_value FROM (SELECT *, sqrt(pow(abs(b - c) - 1, 2) / (b + c) / 2) AS x FROM t)""")
 def a18(spark, sf):
     rows = views.table(spark, sf, "labels")
     return evaluate.mcnemar(rows, F.col("quality") == 1, F.col("toxic") == 0)
