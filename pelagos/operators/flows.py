@@ -59,14 +59,15 @@ def statements(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 def definitions_and_uses(blocks: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """``defs(key, first_line, n, var, checked, source)`` and ``uses(key, first_line, n, var, by, text, def)``: ``by`` is the
     variable a use helps to define (null: none), ``def`` the number of the definition that it meets."""
-    rows = statements(blocks, key)
+    session.ensure_checkpoint_dir(blocks.sparkSession)
+    rows = statements(blocks, key).checkpoint()
     here = [key, "first_line"]
     check = F.col("text").rlike(CHECK)
     known = F.array_compact(F.array(*[F.when(F.col("value").rlike(p), F.lit(label)) for label, p in SOURCES.items()]))
     assigned = rows.where("target is not null").select(*here, "n", F.col("target").alias("var"), F.lit(False).alias("checked"), known.alias("source"))
     params = blocks.select(*here, F.lit(-1).alias("n"), F.explode(parameters(F.col("head"))).alias("var"), F.lit(False).alias("checked"), F.array(F.lit(PARAMETER)).alias("source"))
     seen = rows.where(check & F.col("target").isNull()).select(*here, "n", F.explode("names").alias("var"), F.lit(True).alias("checked"), F.array().cast("array<string>").alias("source"))
-    defs = assigned.unionByName(params).unionByName(seen)
+    defs = assigned.unionByName(params).unionByName(seen).checkpoint()
     own = F.when(F.col("target").isNotNull() & F.col("keeps"), F.array_union("names", F.array("target"))).otherwise(F.col("names"))
     plain = rows.select(*here, "n", "text", "target", check.alias("check"), F.explode(own).alias("var"))
     used = plain.select(*here, "n", "text", "var", F.when(F.col("check") & F.col("target").isNull(), F.col("var")).otherwise(F.col("target")).alias("by"))
@@ -88,15 +89,15 @@ def tainted(blocks: DataFrame, key: str = "doc_id", rounds: int = 100) -> DataFr
     session.ensure_checkpoint_dir(blocks.sparkSession)
     here = [key, "first_line"]
     defs, uses = definitions_and_uses(blocks, key)
-    defs, uses = defs.checkpoint(), uses.checkpoint()
+    uses = uses.checkpoint()
     into = defs.select(*here, "n", "var", "checked")
-    edges = uses.where("by is not null and def is not null").select(*here, F.col("var").alias("from_var"), F.col("def").alias("from_n"), F.col("by").alias("var"), "n").join(into, [*here, "n", "var"]).distinct().checkpoint()
+    edges = uses.where("by is not null and def is not null").select(*here, F.col("var").alias("from_var"), F.col("def").alias("from_n"), F.col("by").alias("var"), "n").join(session.shuffled(into), [*here, "n", "var"]).distinct().checkpoint()
     known = defs.select(*here, "n", "var", "checked", F.explode("source").alias("source")).select(*here, "n", "var", "source", "checked").distinct().checkpoint()
     new = known
     for _ in range(rounds):
-        step = new.select(*here, F.col("n").alias("from_n"), F.col("var").alias("from_var"), "source", F.col("checked").alias("was")).join(edges, [*here, "from_n", "from_var"])
+        step = new.select(*here, F.col("n").alias("from_n"), F.col("var").alias("from_var"), "source", F.col("checked").alias("was")).join(session.shuffled(edges), [*here, "from_n", "from_var"])
         step = step.select(*here, "n", "var", "source", (F.col("was") | F.col("checked")).alias("checked")).distinct()
-        new = step.join(known, [*here, "n", "var", "source", "checked"], "left_anti").checkpoint()
+        new = step.join(session.shuffled(known), [*here, "n", "var", "source", "checked"], "left_anti").checkpoint()
         if new.isEmpty():
             break
         known = known.unionByName(new).checkpoint()
@@ -105,7 +106,7 @@ def tainted(blocks: DataFrame, key: str = "doc_id", rounds: int = 100) -> DataFr
     named = lambda patterns: F.explode(F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(name)) for name, p in patterns.items()])))
     at = uses.where("def is not null").select(*here, "n", "var", F.col("def"), named(SINKS).alias("sink")).distinct()
     states = known.select(*here, F.col("n").alias("def"), "var", "source", "checked")
-    flowed = at.join(states, [*here, "def", "var"]).groupBy(*here, "n", "sink", F.col("var").alias("variable"), "source").agg(F.bool_and("checked").alias("checked"))
+    flowed = at.join(session.shuffled(states), [*here, "def", "var"]).groupBy(*here, "n", "sink", F.col("var").alias("variable"), "source").agg(F.bool_and("checked").alias("checked"))
     plain = statements(blocks, key).select(*here, "n", "text", named(SINKS).alias("sink")).select(*here, "n", "sink", named(SOURCES).alias("source"))
     found = flowed.unionByName(plain.select(*here, "n", "sink", F.col("source").alias("variable"), "source", F.lit(False).alias("checked")))
     critical, high = F.col("source").isin(*CRITICAL), F.col("sink").isin(*HIGH)
