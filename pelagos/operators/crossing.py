@@ -25,10 +25,11 @@ def components(edges: DataFrame, key: str = "doc_id", rounds: int = 12) -> DataF
     """``(key, node, component)`` of the nodes of ``edges(key, src, dst)``: the least name among those that a node reaches
     and is reached from, itself included. Paths double in each round; graphs stay within their key."""
     session.ensure_checkpoint_dir(edges.sparkSession)
-    paths = edges.select(key, "src", "dst").distinct().checkpoint()
+    apart = session.shuffled
+    once = paths = edges.select(key, "src", "dst").distinct().checkpoint()
     size = paths.count()
     for _ in range(rounds):
-        longer = paths.join(paths.select(key, F.col("src").alias("dst"), F.col("dst").alias("end")), [key, "dst"]).select(key, "src", F.col("end").alias("dst"))
+        longer = paths.join(apart(paths.select(key, F.col("src").alias("dst"), F.col("dst").alias("end"))), [key, "dst"]).select(key, "src", F.col("end").alias("dst"))
         paths = paths.unionByName(longer).distinct().checkpoint()
         now = paths.count()
         if now == size:
@@ -37,8 +38,8 @@ def components(edges: DataFrame, key: str = "doc_id", rounds: int = 12) -> DataF
     else:
         raise RuntimeError(f"paths are longer than 2^{rounds}")
     back = paths.select(key, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = paths.join(back, [key, "src", "dst"])
-    nodes = edges.select(key, F.explode(F.array("src", "dst")).alias("src")).distinct()
+    mutual = paths.join(apart(back), [key, "src", "dst"])
+    nodes = once.select(key, F.explode(F.array("src", "dst")).alias("src")).distinct()
     return nodes.select(key, "src", F.col("src").alias("dst")).unionByName(mutual).groupBy(key, F.col("src").alias("node")).agg(F.min("dst").alias("component"))
 
 
@@ -49,24 +50,25 @@ def folded(own: DataFrame, edges: DataFrame, stops: DataFrame, key: str = "doc_i
     Components are folded, not functions: inside one every function has what any of it has, unless it stops there.
     """
     session.ensure_checkpoint_dir(own.sparkSession)
-    passed = edges.join(stops.select(key, F.col("name").alias("dst")), [key, "dst"], "left_anti").checkpoint()
+    apart = session.shuffled
+    passed = edges.join(apart(stops.select(key, F.col("name").alias("dst"))), [key, "dst"], "left_anti").checkpoint()
     member = components(passed, key).checkpoint()
     of = lambda end: member.select(key, F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
-    condensed = passed.join(of("src"), [key, "src"]).join(of("dst"), [key, "dst"]).where("c_src <> c_dst").select(key, F.col("c_src").alias("up"), F.col("c_dst").alias("down")).distinct().checkpoint()
-    known = own.join(member, (own[key] == member[key]) & (own["name"] == member["node"])).select(own[key], "component", "trait").distinct().checkpoint()
+    condensed = passed.join(apart(of("src")), [key, "src"]).join(apart(of("dst")), [key, "dst"]).where("c_src <> c_dst").select(key, F.col("c_src").alias("up"), F.col("c_dst").alias("down")).distinct().checkpoint()
+    known = own.join(apart(member), (own[key] == member[key]) & (own["name"] == member["node"])).select(own[key], "component", "trait").distinct().checkpoint()
     new = known
     for _ in range(rounds):
-        step = new.select(key, F.col("component").alias("down"), "trait").join(condensed, [key, "down"]).select(key, F.col("up").alias("component"), "trait").distinct()
-        new = step.join(known, [key, "component", "trait"], "left_anti").checkpoint()
+        step = new.select(key, F.col("component").alias("down"), "trait").join(apart(condensed), [key, "down"]).select(key, F.col("up").alias("component"), "trait").distinct()
+        new = step.join(apart(known), [key, "component", "trait"], "left_anti").checkpoint()
         if new.isEmpty():
             break
         known = known.unionByName(new).checkpoint()
     else:
         raise RuntimeError(f"calls nest deeper than {rounds}")
-    has = member.join(known, [key, "component"]).select(key, F.col("node").alias("dst"), "trait")
-    through = passed.join(has, [key, "dst"]).groupBy(key, F.col("src").alias("name"), "trait").agg(F.min("dst").alias("via"))
+    has = member.join(apart(known), [key, "component"]).select(key, F.col("node").alias("dst"), "trait")
+    through = passed.join(apart(has), [key, "dst"]).groupBy(key, F.col("src").alias("name"), "trait").agg(F.min("dst").alias("via"))
     mine = own.select(key, "name", "trait", F.col("name").alias("via")).distinct()
-    rest = through.join(mine.select(key, "name", "trait"), [key, "name", "trait"], "left_anti")
+    rest = through.join(apart(mine.select(key, "name", "trait")), [key, "name", "trait"], "left_anti")
     return mine.unionByName(rest.select(key, "name", "trait", "via"))
 
 
@@ -85,21 +87,22 @@ def findings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     - growing-loop: an array that it lengthens is run through to its end by some function (``via``).
     """
     session.ensure_checkpoint_dir(docs.sparkSession)
+    apart = session.shuffled
     blocks = lexer.functions(docs, key).checkpoint()
     edges = code.calls(blocks, key).checkpoint()
     flags = traits(blocks, key).checkpoint()
     loops = lexer.loops(docs, key).checkpoint()
     named = lambda trait: flags.where(trait).select(key, "name", F.lit(trait).alias("trait"))
     guarded = flags.where("guarded").select(key, "name")
-    reached = folded(named("privileged"), edges, guarded, key).join(flags.where("open and not guarded").select(key, "name"), [key, "name"], "left_semi")
+    reached = folded(named("privileged"), edges, guarded, key).join(apart(flags.where("open and not guarded").select(key, "name")), [key, "name"], "left_semi")
     privilege = reached.select(key, F.lit("open-privilege").alias("rule"), "name", "via")
     nobody = guarded.limit(0)
     out = folded(named("calls_out"), edges, nobody, key)
     called = loops.select(key, "name", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(code.CALL), F.lit(1)))).alias("callee"))
-    deep = called.join(out.select(key, F.col("name").alias("callee")).distinct(), [key, "callee"], "left_semi").select(key, "name")
+    deep = called.join(apart(out.select(key, F.col("name").alias("callee")).distinct()), [key, "callee"], "left_semi").select(key, "name")
     looping = loops.where(F.col("body").rlike(CALLS_OUT)).select(key, "name").unionByName(deep).distinct().withColumn("trait", F.lit("loops_out"))
-    loop = folded(looping, edges, nobody, key).join(flags.where("open").select(key, "name"), [key, "name"], "left_semi").select(key, F.lit("call-in-loop").alias("rule"), "name", "via")
-    grown = blocks.join(flags.where("open and not guarded").select(key, "name"), [key, "name"], "left_semi").select(key, "name", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(GROWS), F.lit(1)))).alias("array"))
+    loop = folded(looping, edges, nobody, key).join(apart(flags.where("open").select(key, "name")), [key, "name"], "left_semi").select(key, F.lit("call-in-loop").alias("rule"), "name", "via")
+    grown = blocks.join(apart(flags.where("open and not guarded").select(key, "name")), [key, "name"], "left_semi").select(key, "name", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(GROWS), F.lit(1)))).alias("array"))
     run = loops.select(key, F.col("name").alias("via"), F.explode(F.array_distinct(F.regexp_extract_all("head", F.lit(OVER), F.lit(1)))).alias("array"))
-    growing = grown.join(run, [key, "array"]).groupBy(key, "name").agg(F.min("via").alias("via")).select(key, F.lit("growing-loop").alias("rule"), "name", "via")
+    growing = grown.join(apart(run), [key, "array"]).groupBy(key, "name").agg(F.min("via").alias("via")).select(key, F.lit("growing-loop").alias("rule"), "name", "via")
     return privilege.unionByName(loop).unionByName(growing)
