@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pelagos import catalog, session
-from pelagos.operators import code, crossing, flows, graph, lexer, vindex
+from pelagos.operators import code, crossing, flows, graph, joins, lexer, vindex
 from pelagos.plans import views
 
 SF = "/root/testdata/sf0.01"
@@ -101,3 +101,15 @@ def test_nearest_of_blocks_with_ties(spark, tmp_path):
         np.fill_diagonal(s, -np.inf)
         want = {(q, r + 1): j for q in range(600) for r, j in enumerate(np.lexsort((np.arange(600), -s[q]))[:k])}
         assert found == want
+
+
+def test_lookup_shuffles_no_pairs_and_sums_as_a_loop_does(spark):
+    tags = [[("b", n % 3)] * (n % 5 > 0) + [("w", (n * n) % 7), ("w", n % 4), ("w", n % 2)] for n in range(60)]
+    index = spark.createDataFrame([(n, k, f"t{t}") for n, own in enumerate(tags) for k, t in own] + [(99, "w", None)], "doc long, kind string, tag string")
+    got = joins.weighted_lookup(index.where("doc % 5 = 0").withColumnRenamed("doc", "query"), index, "tag", {"b": 0.8, "w": 0.3}, "query", "doc", 0.6, most=3)
+    weight = lambda a, b: sum({"b": 0.8, "w": 0.3}[k] for k, _ in set(tags[a]) & set(tags[b]))
+    want = {(a, b): round(weight(a, b), 6) for a in range(0, 60, 5) for b in range(60) if weight(a, b) >= 0.6 - 1e-12}
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.query, r.doc): round(r.score, 6) for r in rows} == want
+    above, _, _ = plan(got).partition("SortMergeJoin")
+    assert "Exchange" not in above and "Aggregate" not in above
