@@ -113,3 +113,17 @@ def test_lookup_shuffles_no_pairs_and_sums_as_a_loop_does(spark):
     assert len(rows) == len(want) and {(r.query, r.doc): round(r.score, 6) for r in rows} == want
     above, _, _ = plan(got).partition("SortMergeJoin")
     assert "Exchange" not in above and "Aggregate" not in above
+
+
+def test_similar_sets_of_copies_meet_once_and_far_ones_stop_at_their_marks(spark):
+    import random
+
+    random.seed(5)
+    common = [f"w{i}" for i in range(60)]
+    sets = [random.sample(common, 25) for _ in range(25)]
+    sets += [s + [f"x{i}"] for i, s in enumerate(sets[:8])] + [list(reversed(s)) for s in sets[:5]] + [sets[0]] * 6 + [[]]
+    docs = spark.createDataFrame(list(enumerate(sets)), "doc_id long, s array<string>")
+    got = {(r.a, r.b): round(r.similarity, 6) for r in joins.similar_sets(docs, "doc_id", "s", 0.9).collect()}
+    alike = lambda x, y: len(set(x) & set(y)) / max(1, len(set(x) | set(y)))
+    assert got == {(a, b): round(alike(x, y), 6) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and alike(x, y) >= 0.9}
+    assert "bit_count" in plan(joins.similar_sets(docs, "doc_id", "s", 0.9))
