@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pelagos import catalog, session
-from pelagos.operators import code, crossing, flows, graph, joins, lexer, vindex
+from pelagos.operators import code, crossing, flows, graph, joins, lexer, verify, vindex
 from pelagos.plans import views
 
 SF = "/root/testdata/sf0.01"
@@ -127,3 +127,13 @@ def test_similar_sets_of_copies_meet_once_and_far_ones_stop_at_their_marks(spark
     alike = lambda x, y: len(set(x) & set(y)) / max(1, len(set(x) | set(y)))
     assert got == {(a, b): round(alike(x, y), 6) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and alike(x, y) >= 0.9}
     assert "bit_count" in plan(joins.similar_sets(docs, "doc_id", "s", 0.9))
+
+
+def test_contracts_that_no_finding_names_are_not_searched(spark):
+    contracts = spark.createDataFrame([(1, "contract A { using SafeMath for uint; }"), (2, None), (3, "function f() onlyOwner {}")], "doc_id long, text string")
+    findings = spark.createDataFrame([(0, 1), (1, 1), (2, 2), (3, 9), (4, None)], "ord long, doc_id long")
+    for most in (0, 100):
+        found = verify.signs_at(findings, contracts, most=most)
+        assert sorted((r.ord, r.uses_safemath) for r in found.collect()) == [(0, True), (1, True), (2, False)]
+    many = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    assert "semi" in verify.signed(findings, many)._jdf.queryExecution().optimizedPlan().toString().lower()
