@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pelagos import catalog, session
-from pelagos.operators import code, crossing, flows, graph, joins, lexer, verify, vindex
+from pelagos.operators import code, crossing, dedup, flows, graph, joins, lexer, verify, vindex
 from pelagos.plans import views
 
 SF = "/root/testdata/sf0.01"
@@ -137,3 +137,8 @@ def test_contracts_that_no_finding_names_are_not_searched(spark):
         assert sorted((r.ord, r.uses_safemath) for r in found.collect()) == [(0, True), (1, True), (2, False)]
     many = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     assert "semi" in verify.signed(findings, many)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_letters_are_not_counted_for_every_finding(spark):
+    f = spark.createDataFrame([(i, "f", "g", 1, f"said {i % 3}", "x") for i in range(9)], "ord long, file string, function string, line int, message string, type string")
+    assert "zip_with" not in plan(dedup.near_pairs(f))
