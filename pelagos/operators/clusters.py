@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelagos import schema
+from pelagos import schema, session
 from pelagos.functions import scalars as S
 
 
@@ -25,7 +26,13 @@ def _parts(row: tuple) -> tuple:
 def _reaches(a: tuple, b: tuple, least: float) -> bool:
     """Whether 0.3 type, 0.3 message, 0.2 file and 0.2 category come to ``least``. Bounds first: by lengths, then by letters;
     matching blocks are looked for only where both leave it open, and for the message only if the type leaves it open."""
-    rest = 0.2 * bool(a[2] and a[2] == b[2]) + 0.2
+    return _comes_to(a[:2], b[:2], bool(a[2] and a[2] == b[2]), least)
+
+
+@lru_cache(1 << 16)
+def _comes_to(a: tuple, b: tuple, same_file: bool, least: float) -> bool:
+    """``_reaches``, remembered over files: types and messages repeat in them."""
+    rest = 0.2 * same_file + 0.2
     pairs = [SequenceMatcher(None, a[i], b[i]) for i in (0, 1)]
     for bound in ("real_quick_ratio", "quick_ratio"):
         if 0.3 * getattr(pairs[0], bound)() + 0.3 * getattr(pairs[1], bound)() + rest < least - 1e-9:
@@ -44,7 +51,8 @@ def sub_clusters(findings: DataFrame, least: float = 0.7, within: str = "file")
     findings; sorted partitions are read row by row and only a group's first findings are held.
     """
     base = findings.select("ord", S.category(F.col("type")).alias("category"), F.col(within).alias("within"), "type", "message", "file")
-    kinds = base.groupBy("category", "within", "type", "message", "file").agg(F.min("ord").alias("first"))
+    by = ["category", "within", "type", "message", "file"]
+    kinds = base.groupBy(*by).agg(F.min("ord").alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, anchors = None, []
@@ -58,12 +66,12 @@ def sub_clusters(findings: DataFrame, least: float = 0.7, within: str = "file")
                 if found is None:
                     anchors.append(found := (first, own))
                 out.append(found[0])
-            yield pa.record_batch([batch.column(2), pa.array(out, pa.int64())], ["first", "cluster"])
+            yield pa.record_batch([batch.column(i) for i in (0, 1, 3, 4, 5)] + [pa.array(out, pa.int64())], [*by, "cluster"])
 
     n = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = kinds.repartition(n, "category", "within").sortWithinPartitions("category", "within", "first").select("category", "within", "first", "type", "message", "file")
-    named = kinds.join(dealt.mapInArrow(run, "first long, cluster long"), "first").select("category", "within", "type", "message", "file", "cluster")
-    on = [base[c].eqNullSafe(named[c]) for c in ("category", "within", "type", "message", "file")]
+    named = session.shuffled(dealt.mapInArrow(run, kinds.select(*by, F.col("first").cast("long").alias("cluster")).schema))
+    on = [base[c].eqNullSafe(named[c]) for c in by]
     return base.join(named, on).select("ord", "cluster")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pelagos import catalog, session
-from pelagos.operators import code, crossing, dedup, flows, graph, joins, lexer, verify, vindex
+from pelagos.operators import clusters, code, crossing, dedup, flows, graph, joins, lexer, verify, vindex
 from pelagos.plans import views
 
 SF = "/root/testdata/sf0.01"
@@ -142,3 +142,10 @@ def test_contracts_that_no_finding_names_are_not_searched(spark):
 def test_letters_are_not_counted_for_every_finding(spark):
     f = spark.createDataFrame([(i, "f", "g", 1, f"said {i % 3}", "x") for i in range(9)], "ord long, file string, function string, line int, message string, type string")
     assert "zip_with" not in plan(dedup.near_pairs(f))
+
+
+def test_verdicts_of_clusters_are_remembered_over_files():
+    a, b = ("reentrancy", "call in loop"), ("reentrancy", "call in a loop")
+    before = clusters._comes_to.cache_info().hits
+    assert clusters._reaches((*a, "x"), (*b, "x"), 0.7) and clusters._reaches((*a, "y"), (*b, "y"), 0.7)
+    assert clusters._comes_to.cache_info().hits > before
