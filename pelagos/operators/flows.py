@@ -142,12 +142,11 @@ def resolved(definitions: DataFrame, *by: str, rounds: int = 20) -> DataFrame:
     for _ in range(rounds):
         temporary = F.col("origin").rlike(TEMPORARY)
         further = pairs.select(*by, F.col("defined").alias("origin"), F.col("origin").alias("beyond"))
-        jumped = pairs.where(temporary).join(further, [*by, "origin"]).where("defined <> beyond").select(*by, "defined", F.col("beyond").alias("origin"))
-        stuck = pairs.where(temporary).join(further.select(*by, "origin").distinct(), [*by, "origin"], "left_anti").select(*by, "defined", "origin")
-        done = pairs.where(~temporary).unionByName(stuck).unionByName(jumped).distinct().checkpoint()
-        if jumped.where(temporary).join(further.select(*by, "origin").distinct(), [*by, "origin"], "left_semi").isEmpty():
-            return done
-        pairs = done
+        # One join a round: what has no pairs of its own stays.
+        moved = pairs.where(temporary).join(session.shuffled(further), [*by, "origin"], "left").where("beyond is null or defined <> beyond").select(*by, "defined", F.coalesce("beyond", "origin").alias("origin"))
+        pairs = pairs.where(~temporary).unionByName(moved).distinct().checkpoint()
+        if pairs.where(temporary).join(session.shuffled(pairs.select(*by, F.col("defined").alias("origin"))), [*by, "origin"], "left_semi").isEmpty():
+            return pairs
     raise RuntimeError(f"chains of temporaries are longer than 2^{rounds}")
 
 
@@ -159,10 +158,11 @@ def transitions(lines: DataFrame, state: DataFrame, *by: str) -> DataFrame:
     origins = resolved(definitions, *by)
     targets = origins.where(F.col("defined").rlike(r"^REF_\d+$")).join(state.select(F.col("variable").alias("origin")), "origin").select(*by, "defined", F.col("origin").alias("variable")).distinct()
     direct = definitions.join(state, definitions["defined"] == state["variable"]).select(*by, "n", "defined", "variable")
-    stored = F.col("line").rlike(r"^\s*REF_\d+\([^()]*\)\s*:=")
-    through = lines.where(stored).select(*by, "n", F.regexp_extract("line", r"^\s*(REF_\d+)", 1).alias("defined")).join(targets, [*by, "defined"]).select(*by, "n", "defined", "variable")
+    stored, calling = F.col("line").rlike(r"^\s*REF_\d+\([^()]*\)\s*:="), F.col("line").rlike(r"^\s*(?:HIGH_LEVEL_CALL|LOW_LEVEL_CALL|SEND|TRANSFER)\b")
+    marked = lines.where(stored | calling).select(*by, "n", F.when(stored, F.regexp_extract("line", r"^\s*(REF_\d+)", 1)).alias("defined"), calling.alias("calling")).checkpoint()  # lines are read once more for both
+    through = marked.where("defined is not null").select(*by, "n", "defined").join(targets, [*by, "defined"]).select(*by, "n", "defined", "variable")
     writes = direct.unionByName(through)
-    first_call = definitions.where("calls_out").select(*by, "n").unionByName(lines.where(F.col("line").rlike(r"^\s*(?:HIGH_LEVEL_CALL|LOW_LEVEL_CALL|SEND|TRANSFER)\b")).select(*by, "n")).groupBy(*by).agg(F.min("n").alias("call"))
+    first_call = definitions.where("calls_out").select(*by, "n").unionByName(marked.where("calling").select(*by, "n")).groupBy(*by).agg(F.min("n").alias("call"))
     values = definitions.select(*by, "n", "defined", F.explode_outer("read").alias("read"))
     of_write = writes.join(values, [*by, "n", "defined"]).select(*by, "variable", "n", "read")
     reached = of_write.join(origins.select(*by, F.col("defined").alias("read"), "origin"), [*by, "read"], "left")

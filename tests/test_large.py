@@ -162,3 +162,10 @@ def test_groups_are_the_components_of_the_pairs_and_list_none(spark):
         assert sorted(map(tuple, correlate.groups(f, tolerance).collect())) == sorted(map(tuple, want.collect()))
     one_line = spark.range(300).select(F.col("id").alias("ord"), F.lit("f").alias("file"), F.lit("").alias("function"), F.lit(1).alias("line"), F.lit("odd").alias("type"))
     assert correlate.groups(one_line, 1).where(F.col("group") == 0).count() == 300
+
+
+def test_transitions_do_not_read_lines_again_for_their_result(spark):
+    lines = spark.range(3).select(F.lit("f").alias("fn"), F.col("id").cast("int").alias("n"), F.lit("s(x) := a(x)").alias("line"))
+    found = flows.transitions(lines, spark.createDataFrame([("s",)], "variable string"), "fn")
+    assert "Range (" not in plan(found)
+    assert [(r.variable, r.depends_on, r.after_call) for r in found.collect()] == [("s", ["a"], False)]
