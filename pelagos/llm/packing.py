@@ -10,12 +10,16 @@ each length and look their places up in the plan.
 from __future__ import annotations
 
 import re
+import string
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,10 +28,16 @@ from pelagos.llm import common
 
 #: Tokenizer results kept per Python worker, about 200 bytes each.
 CACHE = 300_000
-#: Longest chunk that is kept, in bytes.
+#: Longest chunk that is kept, in characters.
 KEPT = 64
-#: Marks that end a word; the tokenizer never joins them to the letter or digit before.
-ENDING = re.compile(rb"(?<=[a-z0-9])([.,;:!?]+)(?=\s|$)")
+#: Bytes of text whose chunks are told apart together.
+TOGETHER = 8 << 20
+#: Words that the tokenizer's normalizer only lowers and its pre-tokenizer leaves whole.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Marks that end a chunk; the tokenizer never joins them to the letter before.
+MARKS = string.punctuation
+#: The vocabulary writes each byte as a letter: those without a visible form of their own are numbered from 256 on.
+HIDDEN = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 class ChunkIds(dict):
@@ -37,21 +47,38 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
+        self.model = self.tokenizer.model
+
+    def __missing__(self, chunk: str) -> bytes:
+        """A word goes straight to the tokenizer's model, since most of the time of the whole tokenizer is spent before
+        it; marks at its end are looked up apart. All other chunks take the whole way."""
+        word = chunk.rstrip(MARKS)
+        if not LETTERS.fullmatch(word):
+            found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        elif len(word) < len(chunk):
+            return self[word] + self[chunk[len(word) :]]
+        else:
+            word = word.lower()
+            found = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(HIDDEN))]
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(chunk) <= KEPT:
             if len(self) >= CACHE:
                 self.clear()
             self[chunk] = ids
         return ids
 
+    def of_texts(self, texts: pa.Array) -> pa.Array:
+        """Ids of whole texts, null ones empty. The tokenizer lowers case, drops white space and never joins across it, so
+        chunks are looked up with A-Z lowered, each once for all the texts; a text that may hold special tokens keeps its case."""
+        texts = texts.fill_null("")
+        chunks = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        told = chunks.flatten().dictionary_encode()
+        ids = pa.array(map(self.__getitem__, told.dictionary.to_pylist()), pa.large_binary()).take(told.indices)
+        return pc.binary_join(pa.ListArray.from_arrays(chunks.offsets, ids), pa.scalar(b"", pa.large_binary()))
+
     def of(self, text: str) -> bytes:
-        """Ids of a whole text. The tokenizer lowers case, drops white space and never joins across it, so chunks
-        are looked up with A-Z lowered and end marks apart; a text that may hold special tokens keeps its case."""
-        data = text.encode("utf-8", "surrogatepass")
-        chunks = data.split() if b"<|" in data else ENDING.sub(rb" \1", data.lower()).split()
-        return b"".join(map(self.__getitem__, chunks))
+        """Ids of a whole text."""
+        return self.of_texts(pa.array([text]))[0].as_py()
 
 
 @lru_cache(maxsize=2)
@@ -59,6 +86,12 @@ def _chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
 
 
+def slices(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    """Consecutive rows, first and end, of less than ``most`` bytes of text besides their first row's."""
+    shelf = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64) // most
+    return list(pairwise([0, *(np.flatnonzero(np.diff(shelf)) + 1).tolist(), len(texts)]))
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every row of ``docs(doc_id, text)``.
 
@@ -71,11 +104,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
         width = 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = known.of(text.as_py() or "") + bytes(4)
-                for k, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            texts = batch.column(1)
+            for first, end in slices(texts, TOGETHER):
+                found = known.of_texts(texts[first:end])
+                for doc_id, own in zip(batch.column(0)[first:end].to_pylist(), found, strict=True):
+                    ids = own.as_py() + bytes(4)
+                    for k, at in enumerate(range(0, len(ids), width)):
+                        part = ids[at : at + width]
+                        rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]

@@ -2,6 +2,7 @@ import zlib
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 
 from pelagos.llm import packing, queries
 
@@ -57,3 +58,47 @@ def test_chunks_give_the_tokenizer_s_own_ids():
     known = packing.ChunkIds(queries.tokenizer_path())
     for text in ("Don't stop, it's 3.14!? OK... a,b ,c", "ÀÉÎ naïve É é İstanbul ΣΑΣ, ſ K.", "<|ENDOFTEXT|> <|endoftext|>x, y.", "tab\tnew\nline\x0b\x0c\x1c  x.", "'S 'll. a's, x'", "ab.!? cd!x e,."):
         assert known.of(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_words_go_to_the_model_alone_and_once():
+    """Of a new word the tokenizer's normalizer, pre-tokenizer and bookkeeping cost seven times its model."""
+    known = packing.ChunkIds(queries.tokenizer_path())
+    whole, asked = known.tokenizer, []
+
+    class Counting:
+        def encode(self, chunk, **options):
+            asked.append(chunk)
+            return whole.encode(chunk, **options)
+
+    known.tokenizer = Counting()
+    text = "Anblewh sttible, éèauxai. ÉÈAUXAI%%% ñasíñ; straße*** Anblewh&&& sttible 12 don't"
+    for _ in range(2):
+        assert known.of(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert sorted(asked) == sorted([",", ".", "%%%", ";", "***", "&&&", "12", "don't"])
+
+
+def test_words_of_all_letters_and_marks():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    known = packing.ChunkIds(queries.tokenizer_path())
+    rng = np.random.default_rng(5)
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xAA, 0x180), 0x301, 0x345, 0x2028, 0x4E2D, 0x1F600)]
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    some = lambda of, n: "".join(rng.choice(of, rng.integers(0, n)))
+    for _ in range(3000):
+        text = some(marks, 2) + some(letters[:52] if rng.random() < 0.5 else letters, 9) + some(marks, 4) + some(["", " ", "\n", "s"], 3) + some(letters, 5)
+        assert known.of(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_texts_are_cut_into_slices_anywhere(awkward):
+    docs = awkward.select("doc_id", "text")
+    want = sorted(map(tuple, packing.pieces(docs, queries.tokenizer_path(), 64).collect()), key=str)
+    for most in (1, 60, 16_000):
+        known = packing.ChunkIds(queries.tokenizer_path())
+        texts = pa.array([r.text for r in docs.collect()])
+        parts = packing.slices(texts, most)
+        assert [a for a, _ in parts] == [0, *[b for _, b in parts]][: len(parts)] and parts[-1][1] == len(texts)
+        found = [i for a, b in parts for i in known.of_texts(texts[a:b]).to_pylist()]
+        assert found == known.of_texts(texts).to_pylist()
+    assert len(want) == sum(-(-(len(i) // 4 + 1) // 64) for i in found)
