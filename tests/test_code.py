@@ -140,3 +140,12 @@ def test_sub_clusters(spark):
     got = {r.ord: r.cluster for r in clusters.sub_clusters(f).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 3}
     assert {r.cluster: r.n for r in clusters.summary(f, clusters.sub_clusters(f)).collect()} == {0: 2, 2: 1, 3: 1}
+
+
+def test_sub_clusters_compare_whole_messages(spark):
+    from pelagos.operators import clusters
+
+    head, other, same = "sum may overflow " * 13, "quite unlike it " * 60, "balances are kept " * 60
+    said = [head + same, head + other, "x" + head + same]
+    f = spark.createDataFrame([(i, "t", "High", "arithmetic", None, "f", i, m, 0.5) for i, m in enumerate(said)], FINDING)
+    assert {r.ord: r.cluster for r in clusters.sub_clusters(f).collect()} == {0: 0, 1: 1, 2: 0}
