@@ -61,6 +61,17 @@ def test_calls_of_a_repository_leave_the_join_once(spark, many):
     assert "HashAggregate" not in text[: text.index("Union")]
 
 
+def test_calls_of_a_repository_are_dealt_to_tasks_by_their_edges(spark):
+    """300 calls to 300 functions of a name are 90,000 edges although both sides are small; a name that nobody calls is sent nowhere."""
+    body = "CASE WHEN id < 300 THEN 'far(1); near(2);' ELSE '' END"
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), (F.col("id") * 0).alias("repo"), F.when(F.col("id") < 300, "near").otherwise("far").alias("name"), F.expr(body).alias("body"))
+    edges = code.repo_calls(rows, "repo", most=10_000)
+    per_task = [r[1] for r in edges.where("dst = 'far'").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 90_000 and max(per_task) <= 45_000
+    assert sorted(map(tuple, edges.where("dst = 'near'").collect())) == [(0, i, "near", i, "near") for i in range(300)]
+    assert edges.distinct().count() == 90_300
+
+
 def test_joins_of_paths_broadcast_nothing(spark, monkeypatch):
     """Every round's join, as the checkpoints leave it."""
     edges = spark.range(1, 400).select(F.col("id").alias("src"), F.floor(F.col("id") / 2).cast("long").alias("dst"))
