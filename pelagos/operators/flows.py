@@ -8,8 +8,14 @@ checks, marked as checked. Branches are read as they stand in the text: what a b
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pelagos import session
 
@@ -123,50 +129,99 @@ VALUE = r"([A-Za-z_][\w.]*)\((?:[^()]|\([^()]*\))*\)"
 def ir_definitions(lines: DataFrame, *by: str, line: str = "line") -> DataFrame:
     """``(by..., n, defined, read, calls_out)`` of lines that define a value: ``X(type) = ...``, ``X(type) := ...``,
     ``X(type) -> ...``; ``read`` are the values on the right."""
+    return lines.select(*by, "n", *_definition(line)).where("defined <> ''")
+
+
+def _definition(line: str) -> list[Column]:
+    """Columns of ``ir_definitions``; ``defined`` is empty where a line defines nothing."""
     left = F.regexp_extract(line, rf"^\s*{VALUE}\s*(?::?=(?!=)|->)", 1)
     right = F.regexp_extract(line, rf"^\s*{VALUE}\s*(?::?=(?!=)|->)\s*(.*)$", 2)
     read = F.array_distinct(F.regexp_extract_all(right, F.lit(VALUE), F.lit(1)))
     inner = F.regexp_extract_all(right, F.lit(r"([A-Za-z_]\w*)\s*\["), F.lit(1))
     out = right.rlike(r"\b(?:HIGH_LEVEL_CALL|LOW_LEVEL_CALL|SEND|TRANSFER)\b")
-    return lines.select(*by, "n", left.alias("defined"), F.array_distinct(F.concat(read, inner)).alias("read"), out.alias("calls_out")).where("defined <> ''")
-
-
-def resolved(definitions: DataFrame, *by: str, rounds: int = 20) -> DataFrame:
-    """``(by..., defined, origin)``: every value with what its temporaries stand for in the end.
-
-    Pointer jumping: a pair whose origin is a temporary is replaced by the pairs of that temporary, so that chains halve
-    in each round; temporaries that nothing defines stay as they are.
-    """
-    session.ensure_checkpoint_dir(definitions.sparkSession)
-    pairs = definitions.select(*by, "defined", F.explode("read").alias("origin")).where("defined <> origin").distinct().checkpoint()
-    for _ in range(rounds):
-        temporary = F.col("origin").rlike(TEMPORARY)
-        further = pairs.select(*by, F.col("defined").alias("origin"), F.col("origin").alias("beyond"))
-        # One join a round: what has no pairs of its own stays.
-        moved = pairs.where(temporary).join(session.shuffled(further), [*by, "origin"], "left").where("beyond is null or defined <> beyond").select(*by, "defined", F.coalesce("beyond", "origin").alias("origin"))
-        pairs = pairs.where(~temporary).unionByName(moved).distinct().checkpoint()
-        if pairs.where(temporary).join(session.shuffled(pairs.select(*by, F.col("defined").alias("origin"))), [*by, "origin"], "left_semi").isEmpty():
-            return pairs
-    raise RuntimeError(f"chains of temporaries are longer than 2^{rounds}")
-
-
-def transitions(lines: DataFrame, state: DataFrame, *by: str) -> DataFrame:
+    return [left.alias("defined"), F.array_distinct(F.concat(read, inner)).alias("read"), out.alias("calls_out")]
+
+
+@lru_cache(1 << 14)
+def _temporary(name: str) -> bool:
+    return re.match(TEMPORARY, name) is not None
+
+
+def origins_of(name: str, reads: dict[str, set[str]], known: dict[str, set[str]]) -> set[str]:
+    """What the temporary ``name`` stands for in the end, by what values are made of; temporaries that nothing defines stay as
+    they are, circles add nothing. ``known`` keeps what was found."""
+    if name not in known:
+        seen, ahead, found = {name}, [name], set()
+        while ahead:
+            for x in reads.get(ahead.pop(), ()):
+                if x in seen:
+                    continue
+                seen.add(x)
+                if x in known:
+                    found |= known[x]
+                elif x in reads and _temporary(x):
+                    ahead.append(x)
+                else:
+                    found.add(x)
+        known[name] = found
+    return known[name]
+
+
+def writes_of(rows: list[tuple]) -> list[tuple[str, list[str], bool]]:
+    """``(variable, depends_on, after_call)`` of the lines ``(n, defined, read, calls, stores)`` of one function: what is written
+    to names other than temporaries, and to what references point at."""
+    reads, at, known, found = {}, {}, {}, {}
+    for n, defined, read, *_ in rows:
+        if defined:
+            at.setdefault((n, defined), set()).update(read)
+            if others := [r for r in read if r != defined]:
+                reads.setdefault(defined, set()).update(others)
+    call = min((n for n, _, _, calls, _ in rows if calls and n is not None), default=None)
+    for n, defined, _, _, stores in rows:
+        if not defined or n is None or not stores and _temporary(defined):
+            continue
+        made = set()
+        for r in at[n, defined]:
+            made |= (origins_of(r, reads, known) or {r}) if _temporary(r) else {r}
+        for variable in origins_of(defined, reads, known) if stores else (defined,):
+            depends, after = found.get(variable, (set(), False))
+            found[variable] = depends | made, after or (call is not None and call < n)
+    return [(v, sorted(depends), after) for v, (depends, after) in found.items() if not _temporary(v)]
+
+
+def transitions(lines: DataFrame, state: DataFrame, *by: str, most: int = 100_000) -> DataFrame:
     """``(by..., variable, depends_on, after_call)``: the state variables that a function of intermediate code writes, the
     state variables and inputs that their new values come from, and whether a call out stands before a write.
-    ``state(variable)`` lists the state variables; writes to what a reference points at are writes of its variable."""
-    definitions = ir_definitions(lines, *by).checkpoint()
-    origins = resolved(definitions, *by)
-    targets = origins.where(F.col("defined").rlike(r"^REF_\d+$")).join(state.select(F.col("variable").alias("origin")), "origin").select(*by, "defined", F.col("origin").alias("variable")).distinct()
-    direct = definitions.join(state, definitions["defined"] == state["variable"]).select(*by, "n", "defined", "variable")
-    stored, calling = F.col("line").rlike(r"^\s*REF_\d+\([^()]*\)\s*:="), F.col("line").rlike(r"^\s*(?:HIGH_LEVEL_CALL|LOW_LEVEL_CALL|SEND|TRANSFER)\b")
-    marked = lines.where(stored | calling).select(*by, "n", F.when(stored, F.regexp_extract("line", r"^\s*(REF_\d+)", 1)).alias("defined"), calling.alias("calling")).checkpoint()  # lines are read once more for both
-    through = marked.where("defined is not null").select(*by, "n", "defined").join(targets, [*by, "defined"]).select(*by, "n", "defined", "variable")
-    writes = direct.unionByName(through)
-    first_call = definitions.where("calls_out").select(*by, "n").unionByName(marked.where("calling").select(*by, "n")).groupBy(*by).agg(F.min("n").alias("call"))
-    values = definitions.select(*by, "n", "defined", F.explode_outer("read").alias("read"))
-    of_write = writes.join(values, [*by, "n", "defined"]).select(*by, "variable", "n", "read")
-    reached = of_write.join(origins.select(*by, F.col("defined").alias("read"), "origin"), [*by, "read"], "left")
-    origin = F.when(F.col("read").rlike(TEMPORARY), F.coalesce("origin", "read")).otherwise(F.col("read"))
-    grouped = reached.withColumn("origin", origin).join(first_call, list(by), "left").groupBy(*by, "variable").agg(F.sort_array(F.collect_set("origin")).alias("depends_on"), F.coalesce(F.bool_or(F.col("call") < F.col("n")), F.lit(False)).alias("after_call"))
-    return grouped
+    ``state(variable)`` lists the state variables, none of which has a temporary's name; writes to what a reference points at
+    are writes of its variable.
 
+    Lines are read once and a function's lines are brought together once (by a window, which takes them as they lie where they
+    are together already); sorted partitions are then read function by function, and only one function's lines are held.
+    """
+    session.ensure_checkpoint_dir(lines.sparkSession)
+    stores, calling = F.col("line").rlike(r"^\s*REF_\d+\([^()]*\)\s*:="), F.col("line").rlike(r"^\s*(?:HIGH_LEVEL_CALL|LOW_LEVEL_CALL|SEND|TRANSFER)\b")
+    parsed = lines.select(*by, "n", *_definition("line"), stores.alias("stores"), calling.alias("calling")).where(" and ".join(f"`{b}` is not null" for b in by))
+    told = parsed.where("defined <> '' or calling").select(*by, "n", "defined", F.array_join("read", " ").alias("read"), F.expr("(defined <> '' and calls_out) or calling").alias("calls"), "stores")
+    together = told.withColumn("size__", F.count("*").over(Window.partitionBy(*by)))
+    schema = T.StructType([*lines.select(*by).schema, *T.StructType.fromDDL("variable string, depends_on array<string>, after_call boolean")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            batch = pa.concat_batches([left, batch]) if left else batch
+            n, defined, read, calls, stores, sizes = (batch.column(i).to_pylist() for i in range(len(by), batch.num_columns))
+            begin, rows, first = 0, [], []
+            while begin < len(n) and (end := begin + sizes[begin]) <= len(n):
+                own = [(n[i], defined[i], read[i].split(), calls[i], stores[i]) for i in range(begin, end)]
+                found = writes_of(own)
+                rows += found
+                first += [begin] * len(found)
+                begin = end
+            left = batch.slice(begin)
+            if rows:
+                keys = [batch.column(i).take(pa.array(first)) for i in range(len(by))]
+                yield pa.record_batch([*keys, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.list_(pa.string()), pa.bool_()), strict=True))], schema.names)
+
+    names = state.select("variable").distinct()
+    names = F.broadcast(names) if names.count() <= most else names  # writes to one variable would meet in one task
+    return together.mapInArrow(run, schema).join(names, "variable", "left_semi").select(schema.names).checkpoint()

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from pelagos import catalog
 from pelagos.operators import crossing, flows, lexer
 
 
@@ -135,3 +136,21 @@ def test_circles_of_temporaries_end(spark):
     state = spark.createDataFrame([("s",)], "variable string")
     (row,) = flows.transitions(rows, state, "fn").collect()
     assert {"a", "b"} <= set(row.depends_on)
+
+
+def test_transitions_shuffle_lines_once_and_circles_end(spark):
+    """Lines that lie together by function are not dealt again, functions may be longer than a batch, circles of three end."""
+    ring = ["TMP_1(x) = TMP_2(x) + a(x)", "TMP_2(x) = TMP_3(x)", "TMP_3(x) = TMP_1(x)", "s(x) := TMP_1(x)", "SEND dest:q value:1", "s(x) := TMP_9(x)", "q(x) := b(x)"]
+    rows = [("ring", i, line) for i, line in enumerate(ring)] + [(None, 0, "s(x) := a(x)")] + [("long", i, f"TMP_{i}(x) = TMP_{i - 1}(x) + c{i % 3}(x)" if i else "TMP_0(x) = a(x)") for i in range(12_000)] + [("long", 12_000, "s(x) := TMP_11999(x)")]
+    lines = spark.createDataFrame(rows, "fn string, n int, line string")
+    state = spark.createDataFrame([("s",), ("s",)], "variable string")
+    plans, frame = [], type(lines)
+    keep = frame.checkpoint
+    frame.checkpoint = lambda df, *a, **k: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, *a, **k))[1]
+    try:
+        found = flows.transitions(lines, state, "fn")
+        catalog.queries()["p30_state_transitions"](spark, "/root/testdata/sf0.001")
+    finally:
+        frame.checkpoint = keep
+    assert {tuple(map(str, r)) for r in found.collect()} == {("ring", "s", "['TMP_9', 'a']", "True"), ("long", "s", "['a', 'c0', 'c1', 'c2']", "False")}
+    assert [p.count("hashpartitioning(fn") for p in plans] == [1, 1]
