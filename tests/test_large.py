@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,17 @@ def test_similar_sets_of_copies_meet_once_and_far_ones_stop_at_their_marks(spark
     assert "bit_count" in plan(joins.similar_sets(docs, "doc_id", "s", 0.9))
 
 
+def test_similar_documents_may_be_short(spark, tmp_path):
+    texts = ["alpha beta", "Beta, alpha: alpha.", "alpha", "gamma", "alpha", "", None, "", "1 2", " ".join(chr(97 + i) for i in range(10)), " ".join(chr(97 + i) for i in range(9))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(0, 1, 1.0), (2, 4, 1.0), (9, 10, 0.9)]
+    assert sorted(map(tuple, catalog.queries()["j9_similar_sets"](spark, str(tmp_path)).collect())) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = catalog.oracle_sql()["j9_similar_sets"]
+    assert sorted(con.execute(f"WITH {sql[sql.index('t AS (SELECT doc_id, list_distinct') :]}").fetchall()) == want
+
+
 def test_contracts_that_no_finding_names_are_not_searched(spark):
     contracts = spark.createDataFrame([(1, "contract A { using SafeMath for uint; }"), (2, None), (3, "function f() onlyOwner {}")], "doc_id long, text string")
     findings = spark.createDataFrame([(0, 1), (1, 1), (2, 2), (3, 9), (4, None)], "ord long, doc_id long")
