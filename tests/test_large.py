@@ -141,6 +141,28 @@ def test_similar_sets_of_copies_meet_once_and_far_ones_stop_at_their_marks(spark
     assert "bit_count" in plan(joins.similar_sets(docs, "doc_id", "s", 0.9))
 
 
+def test_similar_sets_at_the_bound_meet_in_a_part_and_no_item_is_shuffled(spark, monkeypatch):
+    """Sets of all sizes and others that differ from them in just as many items as they may, or in one more."""
+    import random
+
+    random.seed(8)
+    least, sets = 0.8, []
+    for n in [*range(1, 40), 77, 150, 151]:
+        one = [f"w{i}" for i in random.sample(range(2_000), n)]
+        for k in {0, n // 9, n // 9 + 1, n // 5, n // 5 + 1}:
+            sets += [one[k:], one[k:] + [f"n{n}x{i}" for i in range(k)], [f"o{n}x{i}" for i in range(k // 2)] + one[: n - k // 2]]
+    alike = lambda x, y: len(set(x) & set(y)) / max(1, len(set(x) | set(y)))
+    want = {(a, b): round(alike(x, y), 6) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and alike(x, y) >= least}
+    docs = spark.createDataFrame(list(enumerate(sets)), "doc_id long, s array<string>")
+    frame, plans = type(docs), []
+    keep = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda df, *a, **k: (plans.append(plan(df)), keep(df, *a, **k))[1])
+    for most in (0, 1_000):
+        found = joins.similar_sets(docs, "doc_id", "s", least, most=most)
+        assert {(r.a, r.b): round(r.similarity, 6) for r in found.collect()} == want
+    assert len(want) > 500 and not [p for p in plans if "Generate explode(items" in p]
+
+
 def test_similar_documents_may_be_short(spark, tmp_path):
     texts = ["alpha beta", "Beta, alpha: alpha.", "alpha", "gamma", "alpha", "", None, "", "1 2", " ".join(chr(97 + i) for i in range(10)), " ".join(chr(97 + i) for i in range(9))]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
