@@ -36,6 +36,22 @@ def test_recall_of_probes_and_the_exact_way(spark, clustered, tmp_path):
     assert key(vindex.search(spark, path, asked, 10, None, block=7)) == key(exact)
 
 
+def test_blocks_of_queries_read_the_lists_and_shuffle_no_vector(spark, clustered, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    vindex.build(clustered, path, lists=8, chunk=100)
+    asked = clustered.where("vec_id % 10 = 0")
+    frame, plans = type(clustered), []
+    keep = frame.checkpoint
+    show = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(frame, "checkpoint", lambda df, *a, **k: (plans.append(show(df)), keep(df, *a, **k))[1])
+    found = vindex.search(spark, path, asked, 4, None, block=64)
+    plans.append(show(found))
+    assert not [p for p in plans if "CoGroup" in p or "Join" in p] and sum("MapInArrow" in p for p in plans) == 5
+    assert all("embedding" not in line for p in plans for line in p.splitlines() if "Exchange" in line)
+    key = lambda df: sorted((r.query, r.rank, r.vec_id, r.similarity) for r in df.collect())
+    assert key(found) == key(vectors.top_k(clustered, asked, 4))
+
+
 def test_rows_added_later_are_found(spark, clustered, tmp_path):
     path = str(tmp_path / "index")
     vindex.build(clustered.where("vec_id < 1500"), path, lists=8)
