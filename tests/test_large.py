@@ -163,6 +163,16 @@ def test_similar_sets_at_the_bound_meet_in_a_part_and_no_item_is_shuffled(spark,
     assert len(want) > 500 and not [p for p in plans if "Generate explode(items" in p]
 
 
+def test_many_near_copies_are_scored_by_blocks(spark, monkeypatch):
+    """60 near copies are 1,770 pairs; a set goes to a place per two blocks, not per pair."""
+    monkeypatch.setattr(joins, "_BLOCK", 16)
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda x: F.concat(F.lit("w"), x)), F.array(F.concat(F.lit("own"), "id"))).alias("s"))
+    found = joins.similar_sets(docs, "doc_id", "s", 0.9)
+    assert found.count() == found.distinct().count() == 1_770
+    assert [round(r.similarity, 6) for r in found.select("similarity").distinct().collect()] == [round(100 / 102, 6)]
+    assert "place" in plan(found) and "items_a" not in plan(found)
+
+
 def test_similar_documents_may_be_short(spark, tmp_path):
     texts = ["alpha beta", "Beta, alpha: alpha.", "alpha", "gamma", "alpha", "", None, "", "1 2", " ".join(chr(97 + i) for i in range(10)), " ".join(chr(97 + i) for i in range(9))]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
